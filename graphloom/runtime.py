@@ -66,3 +66,12 @@ def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column])
         *df.columns,
         *[(F.col(f"_o_{k}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(k) for k, c in sums.items()],
     )
+
+
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
+    """Let no Arrow batch hold more than so many rows or bytes; long texts by the ten thousand don't fit into an executor."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key)
+        if not now.isdigit() or int(now) > most or int(now) == 0:
+            spark.conf.set(key, str(most))
