@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import component_roots
-from ..runtime import stash
+from ..runtime import small_batches, stash
 
 BITS = 64
 #: Bytes of a text that are split into words at once.
@@ -64,6 +64,7 @@ def fingerprints(documents: DataFrame, *keep: str, words: int = 3, seed: int = 4
             found = np.fromiter((fingerprint(x.as_py(), words, seed) for x in batch.column(0)), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found.view(np.int64))], names=[*keep, "fp"])
 
+    small_batches(documents.sparkSession)
     kinds = documents.select(*keep).schema.simpleString()[7:-1]
     return documents.select("text", *keep).mapInArrow(run, f"{kinds}{', ' * bool(keep)}fp: bigint")
 
