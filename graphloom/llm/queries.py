@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, mixing, secrets, simhash, toxicity
+from . import jpeg, language_id, line_dedup, mixing, secrets, simhash, toxicity
 from .common import table
 
 
@@ -32,11 +32,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_columns(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_line_dedup, op5_toxicity, op6_simhash_near_dedup, op7_language_id, op9_secret_scans)
+    f.__name__: f for f in (op1_source_mixing, op2_line_dedup, op5_toxicity, op6_simhash_near_dedup, op7_language_id, op8_media_columns, op9_secret_scans)
 }
 ORACLES: dict[str, str] = {}
