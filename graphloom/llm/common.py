@@ -35,3 +35,15 @@ def fresh(df: DataFrame, *keys: str) -> DataFrame:
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the id as text falls into the named remainder; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """``text, label, part`` of at most ``rows`` labelled rows, the same at every run; ``part`` is crc32 of the id modulo 5, never 0.
+
+    The chosen ids (at most ``rows`` longs) are broadcast, so the texts aren't shuffled to find them. Null ids and labels teach
+    nothing; of several labels of an id the greatest holds.
+    """
+    learn = labels.where(~held_out(F.col("doc_id"), 5, 0) & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    marks = learn.groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    part = (F.crc32(F.col("doc_id").cast("string")) % 5).alias("part")
+    return documents.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", F.col("label").cast("int").alias("label"), part)

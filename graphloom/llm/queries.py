@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, language_id, line_dedup, mixing, secrets, simhash, toxicity
+from . import jpeg, language_id, line_dedup, mixing, quality, secrets, simhash, topk, toxicity
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,7 +44,11 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_line_dedup, op5_toxicity, op6_simhash_near_dedup, op7_language_id, op8_media_columns, op9_secret_scans)
+    f.__name__: f for f in (op1_source_mixing, op2_line_dedup, op4_exact_top_k, op5_toxicity, op6_simhash_near_dedup, op7_language_id, op8_media_columns, op9_secret_scans, op10_quality)
 }
 ORACLES: dict[str, str] = {}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import small_batches
-from .common import held_out
+from .common import held_out, labelled_sample
 from .trees import BoostedTrees, Isotonic
 
 #: Second-person words of the languages at hand.
@@ -88,17 +88,6 @@ class ToxicityModel:
         return np.clip(self.curve(self.trees.margin(x)), 0.0, 1.0) if len(x) else np.zeros(0)
 
 
-def _sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """``text, toxic, part`` of at most ``rows`` labelled rows outside the held-out part, the same at every run.
-
-    The chosen ids (at most ``rows`` longs) are broadcast, so the texts aren't shuffled to find them.
-    """
-    learn = labels.where(~held_out(F.col("doc_id"), 5, 0) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    marks = learn.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    part = (F.crc32(F.col("doc_id").cast("string")) % 5).alias("part")
-    return documents.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), part)
-
-
 def _lexicon(sample: DataFrame, most: int, odds: float) -> dict[str, float]:
     """Beginnings of words that stand in toxic texts far more often than chance has it, with their log odds."""
 
@@ -122,7 +111,7 @@ def _lexicon(sample: DataFrame, most: int, odds: float) -> dict[str, float]:
     def flush(seen: Counter, bad: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"term": list(seen), "n": pa.array(list(seen.values()), pa.int64()), "bad": pa.array([bad[t] for t in seen], pa.int64())})
 
-    counts = sample.where("part <> 4").select("text", "toxic").mapInArrow(count, "term string, n bigint, bad bigint")
+    counts = sample.where("part <> 4").select("text", "label").mapInArrow(count, "term string, n bigint, bad bigint")
     counts = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = counts.where("term = '\n'").first()
     if whole is None or not whole["bad"] or whole["bad"] == whole["n"]:
@@ -142,19 +131,19 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = 20_000, terms: int
     ``rows`` bounds the sample of labelled rows that the classifier is fitted on, ``terms`` the lexicon.
     """
     small_batches(documents.sparkSession)
-    sample = _sample(documents, labels, rows)
+    sample = labelled_sample(documents, labels, "toxic", rows)
     lexicon = _lexicon(sample, terms, odds)
     model = ToxicityModel(lexicon, BoostedTrees(), Isotonic())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = model.matrix(v.as_py() for v in batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "toxic", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "label", "part"])
 
     # At most ``rows`` rows of a few numbers each come to the driver.
-    found = sample.mapInArrow(measure, "x array<double>, toxic int, part bigint").toPandas()
+    found = sample.mapInArrow(measure, "x array<double>, label int, part bigint").toPandas()
     x = np.array(found["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
-    y, part = found["toxic"].to_numpy(float), found["part"].to_numpy(int)
+    y, part = found["label"].to_numpy(float), found["part"].to_numpy(int)
     order = np.lexsort([*x.T, y, part])  # whatever the order in which tasks end
     x, y, part = x[order], y[order], part[order]
     model.trees.fit(x[part != 4], y[part != 4])
