@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, language_id, line_dedup, mixing, quality, secrets, simhash, topk, toxicity
+from . import jpeg, language_id, line_dedup, mixing, pieces, quality, secrets, simhash, topk, toxicity
 from .common import table
 
 
@@ -19,6 +19,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+#: Where the public tokenizer models lie; a parameter of the operators.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), MODEL_FILE)
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -49,6 +57,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_line_dedup, op4_exact_top_k, op5_toxicity, op6_simhash_near_dedup, op7_language_id, op8_media_columns, op9_secret_scans, op10_quality)
+    f.__name__: f for f in (op1_source_mixing, op2_line_dedup, op3_sentencepiece, op4_exact_top_k, op5_toxicity, op6_simhash_near_dedup, op7_language_id, op8_media_columns, op9_secret_scans, op10_quality)
 }
 ORACLES: dict[str, str] = {}
