@@ -130,12 +130,13 @@ def line_dedup(documents: DataFrame, least_words: int = 5, columns: bool = False
     gone = going.groupBy("_k1", "_k2").agg(F.collect_set("line_no").alias("_gone")).select(F.col("_k1").alias("_g1"), F.col("_k2").alias("_g2"), "_gone")
     # Other columns travel in one struct, so that no name of theirs can clash.
     keyed = documents.select(F.struct(*documents.columns).alias("row"), "doc_id", "text", *row_key("doc_id", "text"))
-    joined = keyed.join(gone, (F.col("_k1") == F.col("_g1")) & (F.col("_k2") == F.col("_g2")), "left")
+    # The small side is hashed, so that the texts needn't be sorted.
+    joined = keyed.join(gone.hint("shuffle_hash"), (F.col("_k1") == F.col("_g1")) & (F.col("_k2") == F.col("_g2")), "left")
     parts = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(parts, i + 1)), "\n"))
     if columns:
-        changed = {"text": text} | ({"n_chars": F.char_length(text).cast("long")} if "n_chars" in documents.columns else {})
-        return joined.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in documents.columns])
+        changed = {"text": F.col("_new")} | ({"n_chars": F.char_length("_new").cast("long")} if "n_chars" in documents.columns else {})
+        return joined.select("row", text.alias("_new")).select(*[changed.get(c, F.col("row")[c]).alias(c) for c in documents.columns])
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
-    return joined.select("doc_id", text.alias("text"), n.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select("doc_id", text.alias("_new"), n.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")).withColumnRenamed("_new", "text")

@@ -146,5 +146,5 @@ def mixed_documents(documents: DataFrame, block_words: int = 256, seed: int = 11
     each = met.select("row", "size", "_n", F.explode("_takes").alias("_take")).withColumn("_take", F.least(F.expr("(_take + _n - 1) div _n"), F.col("size"))).where("_take > 0")
     words = F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col("_take").cast("int"))
     text = F.when(F.col("_take") == F.col("size"), F.col("row.text")).otherwise(F.array_join(words, ""))
-    changed = {"text": text} | ({"n_chars": F.char_length(text).cast("long")} if "n_chars" in documents.columns else {})
-    return each.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in documents.columns])
+    changed = {"text": F.col("_new")} | ({"n_chars": F.char_length("_new").cast("long")} if "n_chars" in documents.columns else {})
+    return each.select("row", text.alias("_new")).select(*[changed.get(c, F.col("row")[c]).alias(c) for c in documents.columns])
