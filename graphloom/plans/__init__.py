@@ -1 +1 @@
-
+"""Graphs derived from relational tables, and the registered queries over them."""

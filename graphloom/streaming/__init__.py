@@ -1 +1 @@
-
+"""No streaming operators: graphs are batches of edges. A stream of edits can feed :meth:`Graph.set_edges` per micro-batch (``foreachBatch``)."""
