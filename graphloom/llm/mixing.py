@@ -101,7 +101,9 @@ def taken(sizes: DataFrame, block_words: int, seed: int, most: int, *keep: str)
     whole = F.expr(f"(source_size + {block_words - 1}) div {block_words}")
     plan = slots.select("place", F.expr("rank").alias("rank"), whole.alias("_blocks")).select("place", (F.col("rank") % F.col("_blocks")).alias("_block"), F.expr("rank div _blocks").alias("_pass"))
     plan = plan.where(F.col("_pass") < most).groupBy("place", "_block").agg(F.count("*").alias("_times"))
-    order = [F.col("source").asc_nulls_last(), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.col("doc_id"), F.col("size"), *map(F.col, keep)]
+    # Shuffled by a digest that SQL engines share.
+    shuffled = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("size").cast("string")))
+    order = [F.col("source").asc_nulls_last(), shuffled, F.col("doc_id"), F.col("size"), *map(F.col, keep)]
     laid = running_totals(sizes, order, {"_start": F.col("size")})
     laid = laid.withColumn("_s1", F.coalesce(F.col("source"), F.lit(""))).withColumn("_s2", F.col("source").isNull())
     # Where a source's stream begins: the sizes of all sources before it.

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import jpeg, language_id, line_dedup, mixing, pieces, quality, secrets, simhash, topk, toxicity
 from .common import table
+from .oracles import ORACLES
+
+__all__ = ["MODEL_FILE", "ORACLES", "QUERIES"]
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +62,3 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_source_mixing, op2_line_dedup, op3_sentencepiece, op4_exact_top_k, op5_toxicity, op6_simhash_near_dedup, op7_language_id, op8_media_columns, op9_secret_scans, op10_quality)
 }
-ORACLES: dict[str, str] = {}

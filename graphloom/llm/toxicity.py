@@ -133,7 +133,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = 20_000, terms: int
     small_batches(documents.sparkSession)
     sample = labelled_sample(documents, labels, "toxic", rows)
     lexicon = _lexicon(sample, terms, odds)
-    model = ToxicityModel(lexicon, BoostedTrees(), Isotonic())
+    model = ToxicityModel(lexicon, BoostedTrees(prior=0.1), Isotonic())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +169,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, **
 
     Null and empty texts are scored like a text without words. Rows with a null doc_id are scored, not learnt from; a null
     label isn't a label; of several labels of one id the greatest holds. Without labels, or with one kind only, the score is their smoothed
-    rate. Repeated rows have equal scores. An empty table gives an empty result.
+    rate (without any 0.1). Repeated rows have equal scores. An empty table gives an empty result.
     """
     model = fit(documents, labels, **limits)
     out = scores(documents.select("text", "doc_id"), model)

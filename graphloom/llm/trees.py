@@ -1,4 +1,4 @@
-"""Gradient-boosted trees, isotonic calibration and logistic regression in numpy, for fits on bounded samples."""
+"""Gradient-boosted trees and isotonic calibration in numpy, for fits on bounded samples."""
 
 from __future__ import annotations
 
@@ -10,16 +10,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class BoostedTrees:
-    """Second-order boosting of the logistic loss over histogram bins; every tree is complete to ``depth``."""
+    """Second-order boosting of the logistic loss over histogram bins; every tree is complete to ``depth``.
 
-    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 32, ridge: float = 1.0, least: float = 1.0):
+    ``prior`` is the rate that is assumed where there are no labels to learn from.
+    """
+
+    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 32, ridge: float = 1.0, least: float = 1.0, prior: float = 0.5):
+        self.prior = prior
         self.rounds, self.depth, self.rate, self.bins, self.ridge, self.least = rounds, depth, rate, bins, ridge, least
         self.base, self.feature, self.cut, self.leaf = 0.0, np.zeros((0, 0), int), np.zeros((0, 0)), np.zeros((0, 0))
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         n, width = x.shape
         if not n or not 0 < y.mean() < 1:
-            self.base = float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))) if n else 0.0
+            # Labels of one kind or none: their rate, with one pseudo-label of the prior.
+            p = (y.sum() + self.prior) / (n + 1)
+            self.base = float(np.log(p / (1 - p)))
             return self
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(width)]
         # A value that most rows share leaves few quantiles; the greatest values then get cuts of their own.
@@ -98,26 +104,3 @@ class Isotonic:
 
     def __call__(self, margin: np.ndarray) -> np.ndarray:
         return np.interp(margin, self.at, self.value) if len(self.at) else _sigmoid(margin)
-
-
-class Logistic:
-    """Ridge logistic regression by Newton steps on standardised features."""
-
-    def __init__(self, ridge: float = 1.0, steps: int = 25):
-        self.ridge, self.steps = ridge, steps
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
-        self.mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
-        self.scale = np.maximum(x.std(axis=0), 1e-9) if len(x) else np.ones(x.shape[1])
-        z = np.column_stack([np.ones(len(x)), (x - self.mean) / self.scale])
-        self.weight = np.zeros(z.shape[1])
-        penalty = np.eye(z.shape[1]) * self.ridge
-        penalty[0, 0] = 1e-3
-        for _ in range(self.steps if len(x) else 0):
-            p = _sigmoid(z @ self.weight)
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ self.weight)
-            self.weight += np.clip(step, -5, 5)
-        return self
-
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        return self.weight[0] + ((x - self.mean) / self.scale) @ self.weight[1:]
