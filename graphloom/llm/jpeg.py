@@ -326,9 +326,9 @@ def read_media(stored: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    long, text = F.lit(0).cast("long"), F.lit("")
-    kinds = dict(zip(names[2:], [long, text, long, long, text, text], strict=True))
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, stored.select("doc_id", "n_bytes", *[c.alias(k) for k, c in kinds.items()]).schema)
+    kinds = stored.select("doc_id", "n_bytes").schema.simpleString()[7:-1]
+    kinds += ", payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, kinds)
 
 
 def media_columns(documents: DataFrame) -> DataFrame:

@@ -233,7 +233,7 @@ def fit(documents: DataFrame, each: int = 1500, calibration: int = 1000, order:
                     for i in range(len(word) - order + 1):
                         own[word[i : i + order]] += n
         for lang, own in seen.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(own), "gram": list(own), "n": pa.array(list(own.values()), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(own), pa.string()), "gram": pa.array(list(own), pa.string()), "n": pa.array(list(own.values()), pa.int64())})
 
     sample = learn.where((part != 3) & (share < F.element_at(take, F.col("lang")))).select("text", "lang")
     grams = sample.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toPandas()

@@ -106,10 +106,10 @@ def _lexicon(sample: DataFrame, most: int, odds: float) -> dict[str, float]:
                 yield flush(seen, bad)
                 seen, bad = Counter(), Counter()
         yield flush(seen, bad)
-        yield pa.RecordBatch.from_pydict({"term": ["\n"], "n": pa.array([texts], pa.int64()), "bad": pa.array([toxic], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"term": pa.array(["\n"], pa.string()), "n": pa.array([texts], pa.int64()), "bad": pa.array([toxic], pa.int64())})
 
     def flush(seen: Counter, bad: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"term": list(seen), "n": pa.array(list(seen.values()), pa.int64()), "bad": pa.array([bad[t] for t in seen], pa.int64())})
+        return pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64()), "bad": pa.array([bad[t] for t in seen], pa.int64())})
 
     counts = sample.where("part <> 4").select("text", "label").mapInArrow(count, "term string, n bigint, bad bigint")
     counts = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
