@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,11 +17,17 @@ def shared_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        own = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
         context.setCheckpointDir(root)
     return root
 
 
+def _stash_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark).rstrip('/')}/graphloom-stash/{spark.sparkContext.applicationId}"
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor costs nothing twice.
 
@@ -27,11 +35,17 @@ def stash(df: DataFrame) -> DataFrame:
     pushed filters, and each branch that uses the table reads only the columns it needs.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark).rstrip('/')}/graphloom-stash/{uuid.uuid4().hex}"
+    path = f"{_stash_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stash(spark: SparkSession) -> None:
+    """Delete all tables that this application has written; to be called when no result of it will be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stash_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stash(*tables: DataFrame) -> None:
     """Delete the files of tables that :func:`stash` returned and that no later plan reads."""
     for table in tables:
