@@ -42,6 +42,11 @@ def _edges(name: str, graph: Callable[[SparkSession, str], Graph], change: Calla
     _add(name, query, f"WITH {base} {sql}")
 
 
+def _written(graph: Callable[[SparkSession, str], Graph]) -> Callable[[SparkSession, str], Graph]:
+    """The graph with its cells written, for operators that read them several times: the joins that derive it run once."""
+    return lambda spark, sf_dir: graph(spark, sf_dir).checkpointed()
+
+
 def _vertices(name: str, graph, change: Callable, base: str, value: str, integer: bool = False, recursive: bool = False) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = change(graph(spark, sf_dir))
@@ -117,13 +122,13 @@ _add("stat_counts_directed", lambda s, d: _round(G.trade(s, d).counts(), "weight
 for _side, _word in (("src", "out"), ("dst", "in")):
     _vertices(f"stat_{_word}_degrees", G.copart, lambda g, w=_word: getattr(g, f"{w}_degrees")(), G.COPART, f"SELECT v.id, count({_side}) AS value FROM v LEFT JOIN e ON {_side} = v.id GROUP BY 1", integer=True)
     _vertices(f"stat_{_word}_weights", G.trade, lambda g, w=_word: getattr(g, f"{w}_weights")(), G.TRADE, f"SELECT v.id, {_r('coalesce(sum(weight), 0)')} AS value FROM v LEFT JOIN e ON {_side} = v.id GROUP BY 1")
-_vertices("stat_degree_anomalies", G.copart, lambda g: g.degree_anomalies(), f"{G.COPART}, d AS (SELECT src AS id, count(*) AS d FROM e GROUP BY 1)", f"SELECT v.id, {_r('coalesce(count(d.d) - sum(d.d) / count(d.d), 0)')} AS value FROM v LEFT JOIN e ON src = v.id LEFT JOIN d ON d.id = dst GROUP BY 1")
-_vertices("stat_weight_anomalies", G.copart, lambda g: g.weight_anomalies(), f"{G.COPART}, d AS (SELECT src AS id, sum(weight) AS d FROM e GROUP BY 1)", f"SELECT v.id, {_r('coalesce(sum(weight) - sum(weight::DOUBLE * d.d) / sum(weight), 0)')} AS value FROM v LEFT JOIN e ON src = v.id LEFT JOIN d ON d.id = dst GROUP BY 1")
+_vertices("stat_degree_anomalies", _written(G.copart), lambda g: g.degree_anomalies(), f"{G.COPART}, d AS (SELECT src AS id, count(*) AS d FROM e GROUP BY 1)", f"SELECT v.id, {_r('coalesce(count(d.d) - sum(d.d) / count(d.d), 0)')} AS value FROM v LEFT JOIN e ON src = v.id LEFT JOIN d ON d.id = dst GROUP BY 1")
+_vertices("stat_weight_anomalies", _written(G.copart), lambda g: g.weight_anomalies(), f"{G.COPART}, d AS (SELECT src AS id, sum(weight) AS d FROM e GROUP BY 1)", f"SELECT v.id, {_r('coalesce(sum(weight) - sum(weight::DOUBLE * d.d) / sum(weight), 0)')} AS value FROM v LEFT JOIN e ON src = v.id LEFT JOIN d ON d.id = dst GROUP BY 1")
 _one("stat_density", lambda s, d: G.copart(s, d).density_table(), "density", G.COPART, f"SELECT {_r('(SELECT count(*) / 2.0 FROM e) / (count(*) * (count(*) - 1) / 2)')} AS density FROM v")
 _one("stat_reciprocity", lambda s, d: G.trade(s, d).filter_weights(25, 1e9).reciprocity_table(), "reciprocity", G.TRADE + ", h AS (SELECT * FROM e WHERE weight >= 25)", f"SELECT {_r('CASE WHEN count(*) = 0 THEN CAST(\'NaN\' AS DOUBLE) ELSE count(b.src)::DOUBLE / count(*) END')} AS reciprocity FROM h a LEFT JOIN h b ON a.src = b.dst AND a.dst = b.src")
 _tri = "t AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM e a JOIN e b ON a.dst = b.src AND a.src < a.dst AND b.src < b.dst JOIN e c ON c.src = a.src AND c.dst = b.dst), k AS (SELECT src, count(*) AS d FROM e WHERE src <> dst GROUP BY 1)"
-_one("stat_transitivity", lambda s, d: G.copart(s, d).transitivity_table(), "transitivity", f"{G.COPART}, {_tri}", f"SELECT {_r('6.0 * (SELECT count(*) FROM t) / (SELECT sum(d * (d - 1)) FROM k)')} AS transitivity")
-_vertices("stat_clustering", G.copart, lambda g: g.clustering_coefficient(), f"{G.COPART}, {_tri}, q AS (SELECT unnest([x, y, z]) AS id FROM t), m AS (SELECT id, count(*) AS n FROM q GROUP BY 1)", f"SELECT v.id, {_r('coalesce(2.0 * n / (d * (d - 1)), 0)')} AS value FROM v LEFT JOIN m ON m.id = v.id LEFT JOIN k ON k.src = v.id")
+_one("stat_transitivity", lambda s, d: G.copart(s, d).checkpointed().transitivity_table(), "transitivity", f"{G.COPART}, {_tri}", f"SELECT {_r('6.0 * (SELECT count(*) FROM t) / (SELECT sum(d * (d - 1)) FROM k)')} AS transitivity")
+_vertices("stat_clustering", _written(G.copart), lambda g: g.clustering_coefficient(), f"{G.COPART}, {_tri}, q AS (SELECT unnest([x, y, z]) AS id FROM t), m AS (SELECT id, count(*) AS n FROM q GROUP BY 1)", f"SELECT v.id, {_r('coalesce(2.0 * n / (d * (d - 1)), 0)')} AS value FROM v LEFT JOIN m ON m.id = v.id LEFT JOIN k ON k.src = v.id")
 
 # Labels -------------------------------------------------------------------------------------------
 _add("lbl_count", lambda s, d: G.part_sizes(s, d).agg(F.countDistinct("label").alias("n")), "SELECT count(DISTINCT p_size) AS n FROM part")
@@ -138,7 +143,7 @@ _cls = lambda s, d: (G.regions(s, d), G.regions(s, d).select("id", (F.col("id")
 # Components of the partners, found by following links from every nation.
 _pc = "z AS (SELECT id AS src, id AS dst FROM v UNION SELECT z.src, e.dst FROM z JOIN e ON z.dst = e.src), cp AS (SELECT src AS id, min(dst) AS part FROM z GROUP BY 1)"
 _nat = "p AS (SELECT l.id, label AS label1, l.id % 3 AS label2, part FROM l JOIN cp ON cp.id = l.id)"
-_add("lbl_confusion_comp", lambda s, d: L.confusion(*_cls(s, d), G.partners(s, d).component_roots()), f"WITH RECURSIVE {G.PARTNERS}, {_pc}, {_nat}, {_conf.format(part='part,')} SELECT * FROM cf")
+_add("lbl_confusion_comp", lambda s, d: L.confusion(*_cls(s, d), G.partners(s, d).checkpointed().component_roots()), f"WITH RECURSIVE {G.PARTNERS}, {_pc}, {_nat}, {_conf.format(part='part,')} SELECT * FROM cf")
 # Pointers: each customer to the customer of the same nation whose key is a third; chains end at small keys.
 _add("lbl_decode", lambda s, d: L.decode_labels(G.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.expr("CASE WHEN c_custkey % 3 = 0 THEN c_custkey div 3 ELSE c_custkey + 100000000 END").alias("parent"))), "WITH RECURSIVE z AS (SELECT c_custkey AS id, c_custkey AS cur FROM customer UNION SELECT id, cur // 3 FROM z WHERE cur % 3 = 0) SELECT id, min(cur) AS label FROM z GROUP BY 1")
 _scores = {
@@ -153,7 +158,7 @@ _scores = {
 _dbl = "(SELECT a::DOUBLE AS a, b::DOUBLE AS b, c::DOUBLE AS c, d::DOUBLE AS d FROM cf)"
 for _name, _sql in _scores.items():
     _one(f"met_{_name}", lambda s, d, n=_name: L.pair_metrics(*G.rated(s, d)).select(n), _name, f"{G.RATED}, {_conf.format(part='')}", f"SELECT {_r(_sql)} AS {_name} FROM {_dbl}")
-_one("met_adj_rand_index_comp", lambda s, d: adj_rand_index_comp_table(G.partners(s, d), *_cls(s, d)), "adj_rand_index_comp", f"RECURSIVE {G.PARTNERS}, {_pc}, {_nat}, {_conf.format(part='part,')}", f"SELECT {_r(_scores['adj_rand_index'])} AS adj_rand_index_comp FROM {_dbl}")
+_one("met_adj_rand_index_comp", lambda s, d: adj_rand_index_comp_table(G.partners(s, d).checkpointed(), *_cls(s, d)), "adj_rand_index_comp", f"RECURSIVE {G.PARTNERS}, {_pc}, {_nat}, {_conf.format(part='part,')}", f"SELECT {_r(_scores['adj_rand_index'])} AS adj_rand_index_comp FROM {_dbl}")
 _nmi = """c AS (SELECT label1, label2, count(*)::DOUBLE AS n FROM p GROUP BY 1, 2), t AS (SELECT sum(n) AS t FROM c), r AS (SELECT label1, sum(n) AS r FROM c GROUP BY 1), k AS (SELECT label2, sum(n) AS k FROM c GROUP BY 1),
   mi AS (SELECT sum(n / t * ln(n * t / (r * k))) AS mi FROM c JOIN r USING (label1) JOIN k USING (label2), t), h1 AS (SELECT -sum(r / t * ln(r / t)) AS h1 FROM r, t), h2 AS (SELECT -sum(k / t * ln(k / t)) AS h2 FROM k, t)"""
 _one("met_norm_mutual_info", lambda s, d: L.norm_mutual_info_table(*G.classes(s, d)), "norm_mutual_info", f"{G.CLASSES}, {_nmi}", f"SELECT {_r('2 * mi / (h1 + h2)')} AS norm_mutual_info FROM mi, h1, h2")
@@ -166,26 +171,26 @@ _one("obj_modularity_directed", lambda s, d: G.trade(s, d).modularity_table(G.re
 _one("obj_antimodularity", lambda s, d: G.supply(s, d).antimodularity_table(G.sides(s, d)), "antimodularity", G.SUPPLY + """, a AS (SELECT label, dst, sum(weight) AS w FROM e JOIN l ON src = id GROUP BY 1, 2), k AS (SELECT label, sum(w) AS k FROM a GROUP BY 1)""", f"SELECT {_r('((SELECT sum(w * w) FROM a) - (SELECT sum(k * k) FROM k) / (SELECT count(*) FROM v)) / (SELECT count(*) FROM v)')} AS antimodularity")
 
 # Traversal ----------------------------------------------------------------------------------------
-_vertices("trv_components", G.accounts, lambda g: g.connected_components(), f"{G.ACCOUNTS}, z AS (SELECT id AS src, id AS dst FROM v UNION SELECT z.src, e.dst FROM z JOIN e ON z.dst = e.src), m AS (SELECT src AS id, min(dst) AS root FROM z GROUP BY 1)", "SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS label FROM m", integer=True, recursive=True)
+_vertices("trv_components", _written(G.accounts), lambda g: g.connected_components(), f"{G.ACCOUNTS}, z AS (SELECT id AS src, id AS dst FROM v UNION SELECT z.src, e.dst FROM z JOIN e ON z.dst = e.src), m AS (SELECT src AS id, min(dst) AS root FROM z GROUP BY 1)", "SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS label FROM m", integer=True, recursive=True)
 _hops = "z AS (SELECT 0::BIGINT AS cur, 0::BIGINT AS n UNION SELECT e.dst, z.n + 1 FROM z JOIN e ON z.cur = e.src WHERE z.n < {most}), h AS (SELECT cur, min(n) AS value FROM z GROUP BY 1)"
-_vertices("trv_hops_single", G.copart, lambda g: g.all_distances_count(0), f"{G.COPART}, {_hops.format(most=12)}", "SELECT id, value FROM v LEFT JOIN h ON cur = id", integer=True, recursive=True)
-_vertices("trv_hops_bounded", G.supply, lambda g: g.all_distances_count(0, 2), f"{G.SUPPLY}, {_hops.format(most=2)}", "SELECT id, value FROM v LEFT JOIN h ON cur = id", integer=True, recursive=True)
+_vertices("trv_hops_single", _written(G.copart), lambda g: g.all_distances_count(0), f"{G.COPART}, {_hops.format(most=12)}", "SELECT id, value FROM v LEFT JOIN h ON cur = id", integer=True, recursive=True)
+_vertices("trv_hops_bounded", _written(G.supply), lambda g: g.all_distances_count(0, 2), f"{G.SUPPLY}, {_hops.format(most=2)}", "SELECT id, value FROM v LEFT JOIN h ON cur = id", integer=True, recursive=True)
 # Shortest ways among nations by weight: few vertices, so eight rounds of relaxation are the closure.
 _bf = "z0 AS (SELECT id AS s, id AS t, 0::DOUBLE AS d FROM v)" + "".join(f", z{i + 1} AS (SELECT s, t, min(d) AS d FROM (SELECT s, t, d FROM z{i} UNION ALL SELECT s, dst, d + weight FROM z{i} JOIN e ON t = src) GROUP BY 1, 2)" for i in range(24))
-_vertices("trv_weight_single", G.partners, lambda g: g.all_distances_weight(0), f"{G.PARTNERS}, {_bf}", f"SELECT id, {_r('coalesce(d, CAST(\'Infinity\' AS DOUBLE))')} AS value FROM v LEFT JOIN z24 ON t = id AND s = 0")
-_vertices("trv_weight_bounded", G.partners, lambda g: g.all_distances_weight(0, 100), f"{G.PARTNERS}, {_bf}", f"SELECT id, {_r('coalesce(d, CAST(\'Infinity\' AS DOUBLE))')} AS value FROM v LEFT JOIN z24 ON t = id AND s = 0 AND d <= 100")
+_vertices("trv_weight_single", _written(G.partners), lambda g: g.all_distances_weight(0), f"{G.PARTNERS}, {_bf}", f"SELECT id, {_r('coalesce(d, CAST(\'Infinity\' AS DOUBLE))')} AS value FROM v LEFT JOIN z24 ON t = id AND s = 0")
+_vertices("trv_weight_bounded", _written(G.partners), lambda g: g.all_distances_weight(0, 100), f"{G.PARTNERS}, {_bf}", f"SELECT id, {_r('coalesce(d, CAST(\'Infinity\' AS DOUBLE))')} AS value FROM v LEFT JOIN z24 ON t = id AND s = 0 AND d <= 100")
 _ah = "z AS (SELECT id AS s, id AS t, 0::BIGINT AS n FROM v UNION SELECT s, dst, n + 1 FROM z JOIN e ON t = src WHERE n < 25), h AS (SELECT s, t, min(n) AS n FROM z GROUP BY 1, 2)"
-_add("trv_all_pairs_hops", lambda s, d: _round(G.partners(s, d).all_distances_graph().cells, "weight"), f"WITH RECURSIVE {G.PARTNERS}, {_ah} SELECT s AS src, t AS dst, n::DOUBLE AS weight FROM h WHERE s <> t")
-_edges("trv_all_pairs_weight", G.partners, lambda g, *_: g.all_distances_graph(True), f"{G.PARTNERS}, {_bf}", f"SELECT s AS src, t AS dst, {_r('d')} AS weight FROM z24 WHERE s <> t")
-_add("trv_bfs_tree", lambda s, d: _round(G.copart(s, d).bfs_count(0), "weight").select(F.col("from").alias("parent"), F.col("to").alias("vertex"), "count", "weight"))
-_add("trv_bfs_weight", lambda s, d: _round(G.copart(s, d).bfs_weight(0), "weight").select(F.col("from").alias("parent"), F.col("to").alias("vertex"), "count", "weight"))
+_add("trv_all_pairs_hops", lambda s, d: _round(G.partners(s, d).checkpointed().all_distances_graph().cells, "weight"), f"WITH RECURSIVE {G.PARTNERS}, {_ah} SELECT s AS src, t AS dst, n::DOUBLE AS weight FROM h WHERE s <> t")
+_edges("trv_all_pairs_weight", _written(G.partners), lambda g, *_: g.all_distances_graph(True), f"{G.PARTNERS}, {_bf}", f"SELECT s AS src, t AS dst, {_r('d')} AS weight FROM z24 WHERE s <> t")
+_add("trv_bfs_tree", lambda s, d: _round(G.copart(s, d).checkpointed().bfs_count(0), "weight").select(F.col("from").alias("parent"), F.col("to").alias("vertex"), "count", "weight"))
+_add("trv_bfs_weight", lambda s, d: _round(G.copart(s, d).checkpointed().bfs_weight(0), "weight").select(F.col("from").alias("parent"), F.col("to").alias("vertex"), "count", "weight"))
 
 # Centrality ---------------------------------------------------------------------------------------
 _n = "(SELECT count(*) - 1 FROM v)"
 _cen = f"{G.PARTNERS}, {_ah}, g AS (SELECT s, count(*) AS c, sum(n) AS t, sum(1.0 / n) AS i, sum(1.0 / n) FILTER (n <= 2) AS i2 FROM h WHERE s <> t GROUP BY 1)"
-_vertices("cen_closeness", G.partners, lambda g: g.closeness_centrality().withColumn("value", F.col("value") * 1e6), _cen, f"SELECT id, {_r(f'1e6 * {_n} / (coalesce(t, 0) + ({_n} - coalesce(c, 0)) * 4294967295.0::DOUBLE)')} AS value FROM v LEFT JOIN g ON s = id", recursive=True)
-_vertices("cen_harmonic", G.partners, lambda g: g.harmonic_centrality(), _cen, f"SELECT id, {_r(f'(coalesce(i, 0) + ({_n} - coalesce(c, 0)) / 4294967295.0::DOUBLE) / {_n}')} AS value FROM v LEFT JOIN g ON s = id", recursive=True)
-_vertices("cen_harmonic_bounded", G.partners, lambda g: g.harmonic_centrality(2, fast=True), _cen, f"SELECT id, {_r(f'coalesce(i2, 0) / {_n}')} AS value FROM v LEFT JOIN g ON s = id", recursive=True)
+_vertices("cen_closeness", _written(G.partners), lambda g: g.closeness_centrality().withColumn("value", F.col("value") * 1e6), _cen, f"SELECT id, {_r(f'1e6 * {_n} / (coalesce(t, 0) + ({_n} - coalesce(c, 0)) * 4294967295.0::DOUBLE)')} AS value FROM v LEFT JOIN g ON s = id", recursive=True)
+_vertices("cen_harmonic", _written(G.partners), lambda g: g.harmonic_centrality(), _cen, f"SELECT id, {_r(f'(coalesce(i, 0) + ({_n} - coalesce(c, 0)) / 4294967295.0::DOUBLE) / {_n}')} AS value FROM v LEFT JOIN g ON s = id", recursive=True)
+_vertices("cen_harmonic_bounded", _written(G.partners), lambda g: g.harmonic_centrality(2, fast=True), _cen, f"SELECT id, {_r(f'coalesce(i2, 0) / {_n}')} AS value FROM v LEFT JOIN g ON s = id", recursive=True)
 
 # Communities: orders of merges and sweeps aren't SQL; what must hold for any result is checked beside them.
 _add("com_laprop", lambda s, d: G.copart(s, d).laprop())
