@@ -292,35 +292,36 @@ def encode(documents: DataFrame, model_file: str, chunk: int = 32_768) -> DataFr
     # No chunk may be shorter than two of the longest tokens.
     chunk = max(chunk, 64)
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole texts, encoded; of giant ones the chunks with what surrounds them."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts that fit into one chunk."""
         pieces = loaded(model)
-        names = ["doc_id", "_k1", "_k2", "ids", "exact", "no", "last", "low", "high", "part"]
-        kinds = [None, pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
         for batch in batches:
-            rows: list[tuple] = []
-            ids_of, k1_of, k2_of = batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ids, exact = [], []
+            for value in batch.column(0):
+                text = value.as_py() or ""
+                own = pieces.encode(SPACE + text.replace(" ", SPACE)) if text else []
+                ids.append(own)
+                exact.append(pieces.library.decode(own) == text)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(exact)], names=["doc_id", "ids", "exact"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The chunks of giant texts with what surrounds them, a few at a time."""
+        pieces = loaded(model)
+        names = ["doc_id", "_k1", "_k2", "no", "last", "low", "high", "part"]
+        kinds = [pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
+        for batch in batches:
             for i, value in enumerate(batch.column(0)):
-                text = value.as_py()
-                own = (i, k1_of[i], k2_of[i])
-                if not text:
-                    rows.append((*own, [], True, None, None, None, None, None))
-                    continue
-                full = SPACE + text.replace(" ", SPACE)
-                if len(full) <= chunk:
-                    ids = pieces.encode(full)
-                    rows.append((*own, ids, pieces.library.decode(ids) == text, None, None, None, None, None))
-                    continue
+                full = SPACE + value.as_py().replace(" ", SPACE)
                 # The last chunk isn't shorter than the longest token.
-                starts = list(range(0, len(full) - pieces.longest, chunk))
+                starts, rows = list(range(0, len(full) - pieces.longest, chunk)), []
                 for no, low in enumerate(starts):
                     high = starts[no + 1] if no + 1 < len(starts) else len(full)
                     side = max(0, low - pieces.longest)
-                    rows.append((*own, None, None, no, no + 1 == len(starts), low - side, high - side, full[side : high + pieces.longest]))
-            for a in range(0, len(rows), 500):
-                part = list(zip(*rows[a : a + 500], strict=True))
-                columns = [ids_of.take(pa.array(part[0]))] + [pa.array(c, k) for c, k in zip(part[1:], kinds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    rows.append((no, no + 1 == len(starts), low - side, high - side, full[side : high + pieces.longest]))
+                for a in range(0, len(rows), 50):
+                    part = rows[a : a + 50]
+                    keys = [batch.column(k).slice(i, 1).take(pa.array([0] * len(part))) for k in (1, 2, 3)]
+                    yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)]], names=names)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
@@ -362,13 +363,14 @@ def encode(documents: DataFrame, model_file: str, chunk: int = 32_768) -> DataFr
                 [batch.column("_k1"), batch.column("_k2"), batch.column("no"), pa.array(ids, pa.list_(pa.int32())), pa.array(exact)], names=["_k1", "_k2", "no", "ids", "exact"]
             )
 
+    # Texts that fit into a chunk go straight to the result; only what surrounds giant ones is written in between.
     keyed = documents.select("text", "doc_id", *row_key("doc_id", "text"))
-    schema = "_k1 bigint, _k2 bigint, ids array<int>, exact boolean, no int, last boolean, low int, high int, part string"
-    typed = keyed.select("doc_id").schema.simpleString()[7:-1]
-    done = stash(keyed.mapInArrow(first, f"{typed}, {schema}"))
-    small = done.where("no is null").select("doc_id", "ids", "exact")
+    giant = F.coalesce(F.char_length("text"), F.lit(0)) >= chunk
+    kind = keyed.select("doc_id").schema.simpleString()[7:-1]
+    small = keyed.where(~giant).select("text", "doc_id").mapInArrow(whole, f"{kind}, ids array<int>, exact boolean")
+    done = stash(keyed.where(giant).mapInArrow(cut, f"{kind}, _k1 bigint, _k2 bigint, no int, last boolean, low int, high int, part string"))
     # A document that is there several times has its chunks encoded once.
-    chunks = done.where("no is not null").select("_k1", "_k2", "no", "last", "low", "high", "part").dropDuplicates(["_k1", "_k2", "no"])
+    chunks = done.select("_k1", "_k2", "no", "last", "low", "high", "part").dropDuplicates(["_k1", "_k2", "no"])
     chunks = stash(chunks)
     cells = chunks.mapInArrow(second, "_k1 bigint, _k2 bigint, no int, cells array<struct<a:int,b:int,c:int,d:int>>")
     # A few dozen cells for each chunk meet by document, not its text.
@@ -376,10 +378,10 @@ def encode(documents: DataFrame, model_file: str, chunk: int = 32_768) -> DataFr
     states = matrices.mapInArrow(third, f"_s1 bigint, _s2 bigint, _no int, entry {STATE}, leave {STATE}")
     ready = chunks.join(states, (F.col("_k1") == F.col("_s1")) & (F.col("_k2") == F.col("_s2")) & (F.col("no") == F.col("_no")))
     coded = ready.select("_k1", "_k2", "no", "last", "low", "high", "part", "entry", "leave").mapInArrow(fourth, "_k1 bigint, _k2 bigint, no int, ids array<int>, exact boolean")
-    whole = coded.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("_parts"), F.every("exact").alias("exact"))
-    whole = whole.select(F.col("_k1").alias("_s1"), F.col("_k2").alias("_s2"), F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("ids"), "exact")
+    joined = coded.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("_parts"), F.every("exact").alias("exact"))
+    joined = joined.select(F.col("_k1").alias("_s1"), F.col("_k2").alias("_s2"), F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("ids"), "exact")
     giants = done.where("no = 0").select("doc_id", "_k1", "_k2")
-    giants = giants.join(whole, (F.col("_k1") == F.col("_s1")) & (F.col("_k2") == F.col("_s2"))).select("doc_id", "ids", "exact")
+    giants = giants.join(joined, (F.col("_k1") == F.col("_s1")) & (F.col("_k2") == F.col("_s2"))).select("doc_id", "ids", "exact")
     out = small.unionByName(giants)
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "exact")
 
