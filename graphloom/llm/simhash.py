@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -15,6 +15,11 @@ from ..operators.components import component_roots
 from ..runtime import small_batches, stash
 
 BITS = 64
+#: Least hashes of a text's shingles: bands of so many rows each. Two texts of similarity s share no band with probability
+#: (1 - s^ROWS)^BANDS, 3 in a million at 0.8.
+BANDS, ROWS = 24, 4
+#: Rounds in which the texts of a band are compared with one of them before all that are still apart meet.
+HUBS = 2
 #: Bytes of a text that are split into words at once.
 PIECE = 1 << 20
 
@@ -133,13 +138,137 @@ def keep_one(documents: DataFrame, words: int = 3, differing: int = 3, blocks: i
     Rows with the same doc_id and fingerprint are told apart by their text, and rows that agree in both are one
     document, of which one row stays. All columns come back as they were.
     """
+    held = _held(documents)
+    prints = stash(fingerprints(held, "_rank", words=words))
+    return _stay(held, grouped(prints, "_rank", differing, blocks))
+
+
+def _held(documents: DataFrame) -> DataFrame:
+    """``row, _rank, text``: whole rows and what names a document, smallest doc_id first, null last."""
     columns = documents.columns
     named = documents.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("_id"), F.col("text").alias("text"))
-    held = named.select("row", F.struct(F.col("_id").isNull().alias("late"), F.col("_id").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2")).alias("_rank"), "text")
-    prints = stash(fingerprints(held, "_rank", words=words))
-    best = grouped(prints, "_rank", differing, blocks)
-    winners = stash(best.groupBy("_least").agg(F.lit(1).alias("_one")).select(F.col("_least.*")))
+    return named.select("row", F.struct(F.col("_id").isNull().alias("late"), F.col("_id").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2")).alias("_rank"), "text")
+
+
+def _ranked(held: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The rows of ``held`` whose rank is in ``ranks`` (columns late, id, h1, h2)."""
     on = [F.col("_rank.late") == F.col("w.late"), F.col("_rank.id").eqNullSafe(F.col("w.id")), F.col("_rank.h1") == F.col("w.h1"), F.col("_rank.h2") == F.col("w.h2")]
-    stay = held.join(winners.alias("w"), on, "left_semi").select("row", "_rank")
+    return held.join(ranks.alias("w"), on, "left_semi")
+
+
+def _stay(held: DataFrame, best: DataFrame) -> DataFrame:
+    """The rows of ``held`` whose rank is the ``_least`` of a group."""
+    winners = stash(best.groupBy("_least").agg(F.lit(1).alias("_one")).select(F.col("_least.*")))
+    stay = _ranked(held, winners).select("row", "_rank")
     # Whole repeated rows: numbered within their own document only, so no group is large unless rows repeat.
     return stay.dropDuplicates(["_rank"]).select("row.*")
+
+
+def shingle_set(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """The distinct shingle hashes in ascending order; a text of fewer words is one shingle, one without words has none."""
+    parts = list(shingle_hashes((text or "").encode("utf-8", "surrogatepass").lower(), words, seed))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def _multipliers() -> np.ndarray:
+    """Odd numbers, the same at every run; products modulo 2^64 are one permutation of the hashes each."""
+    return np.array([xxhash.xxh64_intdigest(b"row", i) | 1 for i in range(BANDS * ROWS)], dtype=np.uint64)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band, from the least products of its rows; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64)
+    by, least = _multipliers(), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(hashes), 1 << 12):
+        np.minimum(least, (hashes[None, i : i + (1 << 12)] * by[:, None]).min(axis=1), out=least)
+    key = np.zeros(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = (key ^ (row >> np.uint64(29)) ^ row) * np.uint64(0x9E3779B97F4A7C15)
+    return key.view(np.int64)
+
+
+def _per_text(documents: DataFrame, kind: str, keep: str, of: Callable[[str | None], tuple]) -> DataFrame:
+    """``keep`` and the columns ``kind``, values of ``of`` for each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [of(x.as_py()) for x in batch.column(0)]
+            columns = [pa.array(c, type=t) for c, t in zip(zip(*found), types, strict=True)] if found else [pa.array([], type=t) for t in types]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=[keep, *names])
+
+    names = [x.split(":")[0] for x in kind.split(", ")]
+    types = [pa.list_(pa.int64()) if "array" in x else pa.int64() for x in kind.split(", ")]
+    small_batches(documents.sparkSession)
+    return documents.select("text", keep).mapInArrow(run, f"{documents.select(keep).schema.simpleString()[7:-1]}, {kind}")
+
+
+def similar_links(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """``a, b``: links whose components are those of all pairs of sets that share a band and are ``least`` similar or more.
+
+    ``keyed`` has ``_set, _n, _bands``, each set once; ``sets(chosen)`` gives ``_set, _hashes`` for the sets in ``chosen``.
+    First each set of a band meets one of them (another in each band and round), so a large group of copies makes rows in
+    proportion to its size; then all pairs of a band meet that no link has joined yet. All that meet are compared exactly.
+    """
+    every = keyed.select("_set", "_n", F.posexplode("_bands").alias("_b", "_v"))
+    shared = every.groupBy("_b", "_v").agg(F.count("*").alias("_many")).where("_many > 1").select(F.col("_b").alias("_b2"), F.bitwise_not("_v").alias("_v2"))
+    live = stash(every.join(shared, (F.col("_b") == F.col("_b2")) & (F.bitwise_not("_v") == F.col("_v2")), "left_semi"))
+    held = stash(sets(live.select("_set").distinct()))
+    one = held.select(F.col("_set").alias("_s1"), F.col("_hashes").alias("_h1"))
+    two = held.select(F.col("_set").alias("_s2"), F.col("_hashes").alias("_h2"))
+    # Sets of such different sizes can't be similar enough.
+    sizes = lambda m, n: F.least(m, n) >= F.lit(least) * F.greatest(m, n)
+    both = F.size(F.array_intersect("_h1", "_h2"))
+    found, done, rooted = None, None, live.withColumn("_root", F.col("_set"))
+    for i in range(HUBS + 1):
+        if i < HUBS:
+            # Links of different roots only: a band within one component has nothing left to compare.
+            hub = F.min_by(F.struct("_set", "_n", "_root"), F.struct(F.xxhash64(F.lit(i), "_b", "_set"), "_set"))
+            hubs = rooted.groupBy("_b", "_v").agg(hub.alias("_hub"), F.min("_root").alias("_r1"), F.max("_root").alias("_r2")).where("_r1 <> _r2")
+            hubs = hubs.select(F.col("_b").alias("_b2"), F.bitwise_not("_v").alias("_v2"), "_hub.*").toDF("_b2", "_v2", "_set2", "_n2", "_root2")
+            met = rooted.join(hubs, (F.col("_b") == F.col("_b2")) & (F.bitwise_not("_v") == F.col("_v2")))
+        else:
+            other = rooted.select("_b", "_v", "_set", "_n", "_root").toDF("_b2", "_v2", "_set2", "_n2", "_root2")
+            met = rooted.join(other, (F.col("_b") == F.col("_b2")) & (F.col("_v") == F.col("_v2")) & (F.col("_set") < F.col("_set2")))
+        met = met.where((F.col("_root") != F.col("_root2")) & sizes(F.col("_n"), F.col("_n2")))
+        pairs = met.select(F.least("_set", "_set2").alias("a"), F.greatest("_set", "_set2").alias("b")).distinct()
+        pairs = stash(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        judged = pairs.join(one, F.col("a") == F.col("_s1")).join(two, F.col("b") == F.col("_s2"))
+        # Whole numbers on both sides of the bound but for the factor, so a similarity of just ``least`` counts.
+        close = stash(judged.where(both >= F.lit(least) * (F.size("_h1") + F.size("_h2") - both)).select("a", "b"))
+        found, done = close if found is None else found.unionByName(close), pairs if done is None else done.unionByName(pairs)
+        if i < HUBS:
+            roots = component_roots(found, "a", "b")
+            rooted = stash(live.join(roots, F.col("_set") == F.col("id"), "left").select("_set", "_n", "_b", "_v", F.coalesce("root", "_set").alias("_root")))
+    return found
+
+
+def keep_one_similar(documents: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``documents`` of which one stays for each group of similar texts: the smallest doc_id (null last).
+
+    Texts link if their sets of ``words``-word shingles (lower-cased, split at white space) have a Jaccard similarity of ``least``
+    or more, and groups are what links reach. Candidates share a band of least hashes (:data:`BANDS`); each is compared exactly. Texts without
+    words are one group. Repeated rows and columns are as for :func:`keep_one`.
+    """
+    held = _held(documents)
+
+    def whole(text: str | None) -> tuple[int, np.ndarray]:
+        hashes = shingle_set(text, words)
+        return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64)), hashes.view(np.int64)
+
+    def keys(text: str | None) -> tuple[int, int, np.ndarray]:
+        key, hashes = whole(text)
+        return key, len(hashes), bands(hashes.view(np.uint64))
+
+    prints = stash(_per_text(held, "_set: bigint, _n: bigint, _bands: array<bigint>", "_rank", keys))
+    # Copies meet here, before any pair is made.
+    distinct = stash(prints.groupBy("_set").agg(F.min("_rank").alias("_own"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands")))
+
+    def sets(chosen: DataFrame) -> DataFrame:
+        ranks = stash(distinct.join(chosen, "_set", "left_semi").select("_own.*"))
+        texts = _ranked(held.select("_rank", "text"), ranks).dropDuplicates(["_rank"])
+        return _per_text(texts.withColumn("_one", F.lit(1)), "_set: bigint, _hashes: array<bigint>", "_one", whole).select("_set", "_hashes")
+
+    roots = component_roots(similar_links(distinct.select("_set", "_n", "_bands"), sets, least), "a", "b")
+    rooted = distinct.join(roots, F.col("_set") == F.col("id"), "left").select("_own", F.coalesce("root", "_set").alias("_root"))
+    return _stay(held, rooted.groupBy("_root").agg(F.min("_own").alias("_least")))

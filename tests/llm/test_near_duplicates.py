@@ -74,3 +74,53 @@ def test_odd_rows(spark, odd, nothing):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and simhash.keep_one(nothing).count() == 0
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, i) for i in (0, 3, 4, 5, 6, 7, 8, 9)] + [(True, 0)]
+
+
+def jaccard_groups(texts):
+    """Smallest id by links of 5-word Jaccard 0.8 or more, over all pairs of texts."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        sets[i] = frozenset(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    near = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b) and bool(a and b)
+    root = {i: i for i in texts}
+    ids = sorted(texts)
+    changed = True
+    while changed:
+        changed = False
+        for x, i in enumerate(ids):
+            for j in ids[x + 1 :]:
+                if root[i] != root[j] and near(sets[i], sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+                    changed = True
+    return root
+
+
+def test_similar_texts_by_brute_force(spark, odd, nothing):
+    rng, texts = random.Random(5), {}
+    for _ in range(12):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.choice([4, 9, 40, 150]))]
+        for _ in range(6):
+            own = list(base)
+            for k in rng.sample(range(len(own)), min(len(own), rng.randint(0, 4))):
+                own[k] = f"w{rng.randrange(500)}"
+            texts[len(texts)] = " ".join(own)
+    # 16 and 20 shingles, and 15 of 20: a similarity of just 0.8 links, one of 0.75 doesn't.
+    texts |= {100: " ".join(f"x{i}" for i in range(24)), 101: " ".join(f"x{i}" for i in range(20)), 110: " ".join(f"y{i}" for i in range(24)), 111: " ".join(f"y{i}" for i in range(19))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    root = jaccard_groups(texts)
+    assert root[101] == 100 and root[111] == 111
+    kept = {r["doc_id"] for r in simhash.keep_one_similar(docs).collect()}
+    assert kept == set(root.values())
+    # Operator 6's rule leaves near copies in.
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} - kept
+    assert simhash.keep_one_similar(nothing).count() == 0 and simhash.keep_one_similar(odd).columns == odd.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in simhash.keep_one_similar(odd).collect()) == [(False, i) for i in (0, 3, 4, 5, 6, 7, 8, 9)] + [(True, 0)]
+
+
+def test_stage_links_similar_texts(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:57]) + " other end here"), (3, "something else")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
