@@ -78,12 +78,14 @@ def schedule(goal: DataFrame, block_words: int) -> DataFrame:
     return dealt.withColumn("_n", F.row_number().over(inside) - 1).join(runs, ["place", "_run"]).select("slot", "place", "source_size", (F.col("_before") + F.col("_n")).alias("rank"))
 
 
-def mix(documents: DataFrame, block_words: int = 256, seed: int = 11, most: int = 2) -> DataFrame:
+def mix(documents: DataFrame, block_words: int = 256, seed: int = 11, most: int = 2, settle_below: int | None = None) -> DataFrame:
     """For each document what the mix takes of it: ``doc_id, size, source_size, target, taken`` and ``first_pass, second_pass``.
 
     A source's documents are shuffled by a seeded hash and laid end to end; the stream is cut into
     blocks of ``block_words`` words. The source's slot of rank r takes block ``r mod blocks`` in pass ``r div blocks``;
-    slots beyond ``most`` passes, which only rounding brings, take nothing.
+    slots beyond ``most`` passes, which only rounding brings, take nothing. So a source takes a beginning of its stream, laid
+    end to end ``most`` times; the slots say how far it goes, up to a block's rounding. Sources with a target below
+    ``settle_below`` words, all if it is None, go just as far as their target, rounded to a word.
 
     Null or blank texts have size 0 and are never taken; a null source is a source; rows repeated
     with all their values stay separate rows (which of them is cut at a block's end isn't told apart).
@@ -91,16 +93,28 @@ def mix(documents: DataFrame, block_words: int = 256, seed: int = 11, most: int
     """
     size = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count(F.col("text"), F.lit(WORD))).cast("long")
     sizes = stash(documents.select("doc_id", "source", size.alias("size")))
-    return taken(sizes, block_words, seed, most)
+    return taken(sizes, block_words, seed, most, settle_below=settle_below)
 
 
-def taken(sizes: DataFrame, block_words: int, seed: int, most: int, *keep: str) -> DataFrame:
-    """:func:`mix` from ``doc_id, source, size``; columns named in ``keep`` are carried along."""
-    goal = stash(targets(sizes, most=most))
+def _by_slots(laid: DataFrame, goal: DataFrame, block_words: int, most: int) -> DataFrame:
+    """``laid`` with ``_taken`` and ``_first``, the words that the slots of the schedule take of each document; null for none."""
     slots = schedule(goal, block_words)
     whole = F.expr(f"(source_size + {block_words - 1}) div {block_words}")
     plan = slots.select("place", F.expr("rank").alias("rank"), whole.alias("_blocks")).select("place", (F.col("rank") % F.col("_blocks")).alias("_block"), F.expr("rank div _blocks").alias("_pass"))
     plan = plan.where(F.col("_pass") < most).groupBy("place", "_block").agg(F.count("*").alias("_times"))
+    low, high = F.expr(f"_at div {block_words}"), F.expr(f"(_at + size - 1) div {block_words}")
+    pieces = laid.where("size > 0").select("place", "_at", "size", F.explode(F.sequence(low, high)).alias("_block"))
+    part = F.least(F.col("_at") + F.col("size"), (F.col("_block") + 1) * block_words) - F.greatest(F.col("_at"), F.col("_block") * block_words)
+    found = pieces.join(plan, ["place", "_block"]).groupBy(F.col("place").alias("_p"), F.col("_at").alias("_a")).agg(
+        F.sum(part * F.col("_times")).alias("_taken"), F.sum(part).alias("_first")
+    )
+    # A place in its source's stream names a document that has words.
+    return laid.join(found, (F.col("place") == F.col("_p")) & (F.col("_at") == F.col("_a")) & (F.col("size") > 0), "left")
+
+
+def taken(sizes: DataFrame, block_words: int, seed: int, most: int, *keep: str, settle_below: int | None = None) -> DataFrame:
+    """:func:`mix` from ``doc_id, source, size``; columns named in ``keep`` are carried along."""
+    goal = stash(targets(sizes, most=most))
     # Shuffled by a digest that SQL engines share.
     shuffled = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("size").cast("string")))
     order = [F.col("source").asc_nulls_last(), shuffled, F.col("doc_id"), F.col("size"), *map(F.col, keep)]
@@ -110,14 +124,14 @@ def taken(sizes: DataFrame, block_words: int, seed: int, most: int, *keep: str)
     begins = running_totals(goal, [F.col("place")], {"_begin": F.col("source_size")})
     begins = begins.select(F.coalesce(F.col("source"), F.lit("")).alias("_s1"), F.col("source").isNull().alias("_s2"), "place", "source_size", "target", "_begin")
     laid = stash(laid.join(begins, ["_s1", "_s2"]).withColumn("_at", F.col("_start") - F.col("_begin")).drop("_s1", "_s2", "_start", "_begin"))
-    low, high = F.expr(f"_at div {block_words}"), F.expr(f"(_at + size - 1) div {block_words}")
-    pieces = laid.where("size > 0").select("place", "_at", "size", F.explode(F.sequence(low, high)).alias("_block"))
-    part = F.least(F.col("_at") + F.col("size"), (F.col("_block") + 1) * block_words) - F.greatest(F.col("_at"), F.col("_block") * block_words)
-    found = pieces.join(plan, ["place", "_block"]).groupBy(F.col("place").alias("_p"), F.col("_at").alias("_a")).agg(
-        F.sum(part * F.col("_times")).alias("_taken"), F.sum(part).alias("_first")
-    )
-    # A place in its source's stream names a document that has words.
-    out = laid.join(found, (F.col("place") == F.col("_p")) & (F.col("_at") == F.col("_a")) & (F.col("size") > 0), "left")
+    # Words of the doubled stream up to the target, less those before the document, in each pass.
+    passes = [F.greatest(F.lit(0), F.least(F.col("size"), F.round("target").cast("long") - F.col("source_size") * i - F.col("_at"))) for i in range(most)]
+    exact = {"_taken": sum(passes[1:], passes[0]), "_first": passes[0]}
+    if settle_below is None:
+        out = laid.withColumns(exact)
+    else:
+        out = _by_slots(laid, goal, block_words, most)
+        out = out.withColumns({k: F.when(F.col("target") < settle_below, v).otherwise(F.col(k)) for k, v in exact.items()})
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return out.select(
         "doc_id",

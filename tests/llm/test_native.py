@@ -133,3 +133,21 @@ def test_weak_parts_with_prefixed_names(spark):
     found = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     spans = {r["doc_id"]: r["spans"] for r in found.collect()}
     assert spans[0] == "ident:4:38,access:18:38,phrase:43:82" and spans[1] == "ident:3:12,phrase:16:29" and spans[2] == ""
+
+
+def test_mix_of_skewed_sources(spark, tmp_path):
+    small = [20, 60, 100, 300, 900]
+    rows = [(i, "w " * 1000, "big") for i in range(60)] + [(1000 + i, "w " * small[i % 5], f"s{i:02d}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for found, off in ((mixing.mix(docs), 1), (queries.QUERIES["op1_source_mixing"](spark, str(tmp_path)), 256)):
+        took, target = Counter(), {}
+        for r in found.collect():
+            source = "big" if r["doc_id"] < 1000 else r["doc_id"]
+            took[source] += r["taken"]
+            target[source] = r["target"]
+        assert all(abs(took[s] - t) <= (off if s == "big" else 1) for s, t in target.items())
+    got = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        got[r["source"]] += len(WORD.findall(r["text"]))
+    assert len(got) == 41 and got["s00"] == 40
