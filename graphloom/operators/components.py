@@ -19,23 +19,25 @@ def component_roots(links: DataFrame, a: str = "src", b: str = "dst") -> DataFra
     ends = links.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src <> dst")
     edges = stash(ends.unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = stash(links.select(F.explode(F.array(a, b)).alias("id")).distinct().withColumn("root", F.col("id")))
+    # No later table is larger than these, so small ones needn't be dealt over all shuffle partitions.
+    many, most = edges.count(), labels.count()
     while not edges.isEmpty():
         # Least neighbour or itself; pointers only fall, so following them ends in a root.
         hooks = edges.groupBy("src").agg(F.min("dst").alias("_near")).select("src", F.least("src", "_near").alias("to"))
-        hooks = stash(hooks)
+        hooks = stash(hooks, many)
         while True:
             up = hooks.select(F.col("src").alias("_to"), F.col("to").alias("_top"))
-            jumped = stash(hooks.join(up, hooks["to"] == up["_to"], "left").select("src", F.coalesce("_top", "to").alias("to"), (F.coalesce("_top", "to") != F.col("to")).alias("moved")))
+            jumped = stash(hooks.join(up, hooks["to"] == up["_to"], "left").select("src", F.coalesce("_top", "to").alias("to"), (F.coalesce("_top", "to") != F.col("to")).alias("moved")), 2 * many)
             done = jumped.where("moved").isEmpty()
             drop_stash(hooks)
             hooks = jumped.select("src", "to")
             if done:
                 break
         up = hooks.select(F.col("src").alias("_was"), F.col("to").alias("_now"))
-        labels, old = stash(labels.join(up, F.col("root") == F.col("_was"), "left").select("id", F.coalesce("_now", "root").alias("root"))), labels
+        labels, old = stash(labels.join(up, F.col("root") == F.col("_was"), "left").select("id", F.coalesce("_now", "root").alias("root")), most + many), labels
         moved = edges.join(up, F.col("src") == F.col("_was")).select(F.col("_now").alias("src"), "dst")
         moved = moved.join(up, F.col("dst") == F.col("_was")).select("src", F.col("_now").alias("dst"))
-        edges, last = stash(moved.where("src <> dst").distinct()), edges
+        edges, last = stash(moved.where("src <> dst").distinct(), 2 * many), edges
         drop_stash(old, last, jumped)
     drop_stash(edges)
     return labels

@@ -6,17 +6,27 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: A table of which it is known that it has few rows gets a file, and so a task, for so many of them at least.
+FILE_ROWS = 20_000
+#: Folders of written tables, in the order of writing.
+_written: list[tuple[SparkSession, str]] = []
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share; a local one only where none is named."""
+    """The folder in ``spark.checkpoint.dir``, which all executors share; where none is named, a local one in local mode and an error on a cluster."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = f"file://{own}"
@@ -28,22 +38,41 @@ def _stash_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark).rstrip('/')}/graphloom-stash/{spark.sparkContext.applicationId}"
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor costs nothing twice.
 
     Parquet rather than ``checkpoint()``: the reread keeps column pruning, file statistics and
-    pushed filters, and each branch that uses the table reads only the columns it needs.
+    pushed filters, and each branch that uses the table reads only the columns it needs. ``rows`` bounds the rows that the last stage
+    reads, where that is known: a few rows then aren't dealt over as many files as there are shuffle partitions.
     """
     spark = df.sparkSession
     path = f"{_stash_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    files = partitions(spark) if rows is None else max(1, -(-rows // FILE_ROWS))
+    (df.coalesce(files) if files < partitions(spark) else df).write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that :func:`stash` writes inside are deleted at the end; what is still needed must have been written elsewhere by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for spark, path in _written[before:]:
+            _delete(spark, path)
+        del _written[before:]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear_stash(spark: SparkSession) -> None:
     """Delete all tables that this application has written; to be called when no result of it will be read any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stash_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _stash_folder(spark))
 
 
 def drop_stash(*tables: DataFrame) -> None:
@@ -54,7 +83,7 @@ def drop_stash(*tables: DataFrame) -> None:
         for name in table.inputFiles()[:1]:
             path = jvm.org.apache.hadoop.fs.Path(name).getParent()
             if "graphloom-stash" in path.toString():
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(spark, path.toString())
 
 
 def partitions(spark: SparkSession) -> int:
@@ -83,7 +112,10 @@ def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column])
 
 
 def small_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
-    """Let no Arrow batch hold more than so many rows or bytes; long texts by the ten thousand don't fit into an executor."""
+    """Let no Arrow batch hold more than so many rows or bytes; long texts by the ten thousand don't fit into an executor.
+
+    Spark reads these settings when a plan runs, which for a returned table is later, so they stay lowered in the caller's session (README).
+    """
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         key = f"spark.sql.execution.arrow.{key}"
         now = spark.conf.get(key)
