@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import small_batches
+from ..runtime import small_batches, stash
 from .common import held_out, labelled_sample
 from .trees import BoostedTrees, Isotonic
 
@@ -102,7 +102,7 @@ def _lexicon(sample: DataFrame, most: int, odds: float) -> dict[str, float]:
                 if label.as_py():
                     bad.update(terms)
                     toxic += 1
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 yield flush(seen, bad)
                 seen, bad = Counter(), Counter()
         yield flush(seen, bad)
@@ -112,7 +112,7 @@ def _lexicon(sample: DataFrame, most: int, odds: float) -> dict[str, float]:
         return pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64()), "bad": pa.array([bad[t] for t in seen], pa.int64())})
 
     counts = sample.where("part <> 4").select("text", "label").mapInArrow(count, "term string, n bigint, bad bigint")
-    counts = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    counts = stash(counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     whole = counts.where("term = '\n'").first()
     if whole is None or not whole["bad"] or whole["bad"] == whole["n"]:
         return {}
@@ -131,7 +131,8 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = 20_000, terms: int
     ``rows`` bounds the sample of labelled rows that the classifier is fitted on, ``terms`` the lexicon.
     """
     small_batches(documents.sparkSession)
-    sample = labelled_sample(documents, labels, "toxic", rows)
+    # Written once, so that the documents are read once for all that is learnt.
+    sample = stash(labelled_sample(documents, labels, "toxic", rows))
     lexicon = _lexicon(sample, terms, odds)
     model = ToxicityModel(lexicon, BoostedTrees(prior=0.1), Isotonic())
 
@@ -151,17 +152,22 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = 20_000, terms: int
     return model
 
 
-def scores(documents: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``row`` (all columns of ``documents`` in a struct) and ``score``."""
+def scores(documents: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
+    """The columns in ``keep`` as ``c0, c1`` and so on (whatever their names), and ``score``; a text crosses to Python once, and back only if it is kept."""
+    back = [c != "text" for c in keep]
+    held = documents.select("text", *[F.col(f"`{c}`") for c in keep if c != "text"]).toDF("_text", *[f"c{i}" for i, c in enumerate(keep) if back[i]])
+    held = held.select("_text", *[c for c in held.columns if c != "_text"])
+    places = [0 if c == "text" else sum(back[:i]) + 1 for i, c in enumerate(keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = model.score(v.as_py() for v in batch.column(0))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.float64())], names=["row", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(p) for p in places], pa.array(found, pa.float64())], names=names)
 
     small_batches(documents.sparkSession)
-    held = documents.select("text", F.struct(*documents.columns).alias("row"))
-    return held.mapInArrow(run, held.select("row").withColumn("score", F.lit(0.0)).schema)
+    kinds = held.select(*[F.col("_text" if c == "text" else f"c{i}").alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0.0).alias("score")).schema
+    names = kinds.names
+    return held.mapInArrow(run, kinds)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, **limits) -> DataFrame:
@@ -172,12 +178,11 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, **
     rate (without any 0.1). Repeated rows have equal scores. An empty table gives an empty result.
     """
     model = fit(documents, labels, **limits)
-    out = scores(documents.select("text", "doc_id"), model)
-    return out.select(
-        F.col("row.doc_id").alias("doc_id"), held_out(F.col("row.doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
-    )
+    out = scores(documents, model, ["doc_id"])
+    return out.select(F.col("c0").alias("doc_id"), held_out(F.col("c0"), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_civil(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, **limits) -> DataFrame:
     """The rows of ``documents``, all columns as they were, whose score stays below ``threshold``."""
-    return scores(documents, fit(documents, labels, **limits)).where(F.col("score") < threshold).select("row.*")
+    found = scores(documents, fit(documents, labels, **limits), documents.columns)
+    return found.where(F.col("score") < threshold).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(documents.columns)])
