@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..runtime import running_totals, stash
-from .common import WORD, row_key
+from .common import WORD
 
 #: 2^32 over the golden ratio, taken from 2^32 so that products fit into 64 bits, and its modulus.
 STEP, RING = 1640531527, 1 << 32
@@ -149,18 +149,19 @@ def mixed_documents(documents: DataFrame, block_words: int = 256, seed: int = 11
     """The mix itself: for each pass over a source that takes words of a document one row with these words, in all columns of ``documents``.
 
     A document that a pass takes whole comes back as it is; at the end of a source's slots one document is cut behind the last word that
-    is taken. Documents without words are never taken. ``n_chars``, where there is such a column, follows the text. Rows
-    that agree in doc_id, source, size and text share what their places take, largest first.
+    is taken. Documents without words are never taken. ``n_chars``, where there is such a column, follows the text. Repeated rows are rows of
+    their own, each with its own place in the stream: together they come back with just the words that :func:`mix` takes.
     """
-    size = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count(F.col("text"), F.lit(WORD))).cast("long")
-    keyed = documents.select(F.struct(*documents.columns).alias("row"), "doc_id", "source", size.alias("size"), *row_key("doc_id", "source", "text"))
-    parts = taken(stash(keyed.select("doc_id", "source", "size", "_k1", "_k2")), block_words, seed, most, "_k1", "_k2")
-    # What the rows of one key take together: rows that are there once, which is nearly all, have one entry.
-    takes = parts.where("taken > 0").groupBy("_k1", "_k2").agg(F.sum("first_pass").alias("_p0"), F.sum("second_pass").alias("_p1"), F.count("*").alias("_n"))
-    takes = takes.select(F.col("_k1").alias("_g1"), F.col("_k2").alias("_g2"), F.array("_p0", "_p1").alias("_takes"), "_n")
-    met = keyed.join(takes, (F.col("_k1") == F.col("_g1")) & (F.col("_k2") == F.col("_g2")))
-    each = met.select("row", "size", "_n", F.explode("_takes").alias("_take")).withColumn("_take", F.least(F.expr("(_take + _n - 1) div _n"), F.col("size"))).where("_take > 0")
-    words = F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col("_take").cast("int"))
-    text = F.when(F.col("_take") == F.col("size"), F.col("row.text")).otherwise(F.array_join(words, ""))
+    # Rows are told apart by a number of their own, written once so that it stays; no key is hot, however often a row is there.
+    held = stash(documents.select(F.struct(*documents.columns).alias("row"), F.monotonically_increasing_id().alias("_row")))
+    text = F.col("row.text")
+    size = F.when(text.isNull(), 0).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
+    sizes = stash(held.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), size.alias("size"), F.xxhash64(text).alias("_k1"), "_row"))
+    takes = taken(sizes, block_words, seed, most, "_k1", "_row").where("taken > 0").select("_row", "size", F.array("first_pass", "second_pass").alias("_takes"))
+    # Numbers and counts are hashed, so that the texts needn't be sorted.
+    met = held.join(takes.hint("shuffle_hash"), "_row")
+    each = met.select("row", "size", F.explode("_takes").alias("_take")).where("_take > 0")
+    words = F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), F.lit(1), F.col("_take").cast("int"))
+    new = F.when(F.col("_take") == F.col("size"), text).otherwise(F.array_join(words, ""))
     changed = {"text": F.col("_new")} | ({"n_chars": F.char_length("_new").cast("long")} if "n_chars" in documents.columns else {})
-    return each.select("row", text.alias("_new")).select(*[changed.get(c, F.col("row")[c]).alias(c) for c in documents.columns])
+    return each.select("row", new.alias("_new")).select(*[changed.get(c, F.col("row")[c]).alias(c) for c in documents.columns])
