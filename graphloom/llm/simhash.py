@@ -18,8 +18,10 @@ BITS = 64
 #: Least hashes of a text's shingles: bands of so many rows each. Two texts of similarity s share no band with probability
 #: (1 - s^ROWS)^BANDS, 3 in a million at 0.8.
 BANDS, ROWS = 24, 4
-#: Rounds in which the texts of a band are compared with one of them before all that are still apart meet.
-HUBS = 2
+#: Longs of a set's parity marks: no two sets differ in more marks than in members.
+MARKS = 16
+#: Buckets of so many fingerprints are compared pair by pair, larger ones with one of them first.
+SMALL = 16
 #: Bytes of a text that are split into words at once.
 PIECE = 1 << 20
 
@@ -84,32 +86,78 @@ def masks(differing: int, blocks: int) -> list[int]:
     return out
 
 
-def links(prints: DataFrame, differing: int = 3, blocks: int = 6) -> DataFrame:
-    """``a, b`` with a < b: all pairs of distinct fingerprints that differ in 1 to ``differing`` bits, each once.
+def finer(mask: int, differing: int) -> list[int]:
+    """Masks that keep more: the bits that ``mask`` leaves free are cut into blocks again, of which ``differing`` may differ. Few free bits stay free."""
+    free = [i for i in range(BITS) if not mask >> i & 1]
+    if len(free) <= 3 * differing:
+        return []
+    n = 2 * differing
+    blocks = [free[len(free) * i // n : len(free) * (i + 1) // n] for i in range(n)]
+    whole = mask % (1 << BITS)
+    out = [whole | sum(1 << i for block in kept for i in block) for kept in combinations(blocks, n - differing)]
+    return [m - (1 << BITS) * (m >> (BITS - 1)) for m in out]
 
-    With more blocks than differing bits, a close pair agrees in ``blocks - differing`` of them, so
-    joining on each such choice finds it. Six blocks give 20 keys of 32 bits, which chance hardly ever repeats. A
-    pair is kept only under the first choice it agrees in. ``prints`` holds each fingerprint once: copies make no pairs.
+
+def blocks_for(n: int, differing: int) -> int:
+    """Blocks that keep two bits more than it takes to number ``n`` fingerprints, so that chance seldom fills a bucket; twice ``differing`` at least."""
+    blocks = 2 * differing
+    while BITS * (blocks - differing) // blocks < n.bit_length() + 2 and blocks < BITS // 2:
+        blocks += 1
+    return blocks
+
+
+def class_links(prints: DataFrame, differing: int = 3, blocks: int | None = None, small: int = SMALL) -> DataFrame:
+    """``a, b``: links of distinct fingerprints that differ in ``differing`` bits or fewer, with the same components as all such pairs.
+
+    With more blocks than differing bits, a close pair agrees in ``blocks - differing`` of them, so it shares the bucket of one such
+    choice. In buckets of up to ``small`` fingerprints each meets each. In a larger one each meets the most central one (that shares the most
+    buckets); where that leaves several components in a bucket, it is cut into buckets that keep half of the free
+    bits as well, again for all choices, so that no close pair is lost, until so few bits are free that a bucket can't be large. Rows thus
+    grow with the fingerprints, not with the square of a group. ``prints`` holds each fingerprint once: copies make no pairs.
     """
-    chosen = masks(differing, blocks)
-    keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in chosen])).alias("_k", "_v"))
-    # Only keys that several fingerprints share go on, so nearly all rows end before the join.
-    shared = keyed.groupBy("_k", "_v").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_k").alias("_k2"), F.bitwise_not("_v").alias("_v2"))
-    live = stash(keyed.join(shared, (F.col("_k") == F.col("_k2")) & (F.bitwise_not("_v") == F.col("_v2")), "left_semi"))
-    other = live.select(F.col("fp").alias("_fp2"), F.col("_k").alias("_k2"), F.col("_v").alias("_v2"))
-    pairs = live.join(other, (F.col("_k") == F.col("_k2")) & (F.col("_v") == F.col("_v2")) & (F.col("fp") < F.col("_fp2")))
-    apart = F.col("fp").bitwiseXOR(F.col("_fp2"))
-    earlier = F.lit(len(chosen))
-    for i in reversed(range(len(chosen))):
-        earlier = F.when(apart.bitwiseAND(F.lit(chosen[i])) == 0, i).otherwise(earlier)
-    return pairs.where((F.bit_count(apart) <= differing) & (earlier == F.col("_k"))).select(F.col("fp").alias("a"), F.col("_fp2").alias("b"))
+    spark = prints.sparkSession
+    n = prints.count()
+    chosen = masks(differing, blocks or blocks_for(n, differing))
+    keyed = prints.select("fp", F.col("fp").alias("_root"), F.explode(F.array(*[F.lit(m) for m in chosen])).alias("_m")).withColumn("_v", F.col("fp").bitwiseAND(F.col("_m")))
+    same = (F.col("_m") == F.col("_m2")) & (F.bitwise_not("_v") == F.col("_v2"))
+    found = None
+    while True:
+        # Only buckets that hold several components go on, so nearly all rows end before the join.
+        shared = keyed.groupBy("_m", "_v").agg(F.count("*").alias("_n"), F.min("_root").alias("_r1"), F.max("_root").alias("_r2")).where("_r1 <> _r2")
+        shared = shared.select(F.col("_m").alias("_m2"), F.bitwise_not("_v").alias("_v2"), "_n")
+        live = stash(keyed.join(shared, same).select("fp", "_root", "_m", "_v", "_n"))
+        rows = live.count()
+        following = {m: finer(m, differing) for m in chosen}
+        last = not any(following.values())
+        few, many = (live, live.where("false")) if last else (live.where(F.col("_n") <= small), live.where(F.col("_n") > small))
+        close = F.bit_count(F.col("fp").bitwiseXOR(F.col("_fp2"))) <= differing
+        other = few.select(F.col("fp").alias("_fp2"), F.col("_root").alias("_root2"), F.col("_m").alias("_m2"), F.bitwise_not("_v").alias("_v2"))
+        pairs = few.join(other, same & (F.col("fp") < F.col("_fp2")) & (F.col("_root") != F.col("_root2")) & close).select(F.col("fp").alias("a"), F.col("_fp2").alias("b"))
+        crowded = 0 if last else many.count()
+        if crowded:
+            weight = many.groupBy(F.col("fp").alias("_f")).agg(F.sum("_n").alias("_w"))
+            hubs = many.join(weight, F.col("fp") == F.col("_f")).groupBy("_m", "_v").agg(F.max_by("fp", F.struct("_w", "fp")).alias("_fp2"))
+            hubs = hubs.select(F.col("_m").alias("_m2"), F.bitwise_not("_v").alias("_v2"), "_fp2")
+            pairs = pairs.unionByName(many.join(hubs, same & (F.col("fp") != F.col("_fp2")) & close).select(F.least("fp", "_fp2").alias("a"), F.greatest("fp", "_fp2").alias("b")))
+        pairs = stash(pairs.distinct(), rows)
+        found = pairs if found is None else found.unionByName(pairs)
+        if not crowded:
+            return found
+        roots = component_roots(found, "a", "b")
+        rooted = stash(many.join(roots, F.col("fp") == F.col("id"), "left").select("fp", F.coalesce("root", "fp").alias("_root"), "_m", "_v"), crowded)
+        torn = rooted.groupBy("_m", "_v").agg(F.min("_root").alias("_r1"), F.max("_root").alias("_r2")).where("_r1 <> _r2").select(F.col("_m").alias("_m2"), F.bitwise_not("_v").alias("_v2"))
+        # At most 20 masks for each mask of the level before, whatever the table's size (for three bits).
+        table = spark.createDataFrame([(m, f) for m, fs in following.items() for f in fs], "_m3 long, _f long")
+        cut = rooted.join(torn, same, "left_semi").join(F.broadcast(table), F.col("_m") == F.col("_m3")).select("fp", "_root", F.col("_f").alias("_m"))
+        keyed = stash(cut.distinct().withColumn("_v", F.col("fp").bitwiseAND(F.col("_m"))))
+        chosen = sorted({f for fs in following.values() for f in fs})
 
 
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(documents: DataFrame, words: int = 3, differing: int = 3, blocks: int = 6) -> DataFrame:
+def near_duplicates(documents: DataFrame, words: int = 3, differing: int = 3, blocks: int | None = None) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``documents``.
 
     Fingerprints within ``differing`` bits link; ``component_id`` is the smallest doc_id that links
@@ -121,47 +169,46 @@ def near_duplicates(documents: DataFrame, words: int = 3, differing: int = 3, bl
     return prints.join(grouped(prints, "doc_id", differing, blocks), prints["fp"] == F.col("_fp"), "left").select("doc_id", "fp", F.col("_least").alias("component_id"))
 
 
-def grouped(prints: DataFrame, least: str, differing: int = 3, blocks: int = 6) -> DataFrame:
+def grouped(prints: DataFrame, least: str, differing: int = 3, blocks: int | None = None) -> DataFrame:
     """``_fp, _least`` for each distinct fingerprint: the least value of ``least`` in its component."""
     # Copies meet here, before any pair is made; partial sums keep a hot fingerprint from one task.
     distinct = stash(prints.groupBy("fp").agg(F.min(least).alias("_own")))
-    roots = component_roots(links(distinct.select("fp"), differing, blocks), "a", "b")
+    roots = component_roots(class_links(distinct.select("fp"), differing, blocks), "a", "b")
     rooted = stash(distinct.join(roots, F.col("fp") == F.col("id"), "left").select("fp", "_own", F.coalesce("root", "fp").alias("_root")))
     least_of = rooted.groupBy("_root").agg(F.min("_own").alias("_least")).select(F.col("_root").alias("_r"), "_least")
     # The key is written anew (not twice), so that the callers' join has an exchange of its own on both sides.
     return rooted.join(least_of, F.col("_root") == F.col("_r")).select(F.col("fp").alias("_fp"), "_least")
 
 
-def keep_one(documents: DataFrame, words: int = 3, differing: int = 3, blocks: int = 6) -> DataFrame:
+def keep_one(documents: DataFrame, words: int = 3, differing: int = 3, blocks: int | None = None) -> DataFrame:
     """The rows of ``documents`` of which one stays for each group: the smallest doc_id (null last).
 
     Rows with the same doc_id and fingerprint are told apart by their text, and rows that agree in both are one
     document, of which one row stays. All columns come back as they were.
     """
     held = _held(documents)
-    prints = stash(fingerprints(held, "_rank", words=words))
+    prints = stash(fingerprints(held.select("row.text", _rank().alias("_rank")), "_rank", words=words))
     return _stay(held, grouped(prints, "_rank", differing, blocks))
 
 
 def _held(documents: DataFrame) -> DataFrame:
-    """``row, _rank, text``: whole rows and what names a document, smallest doc_id first, null last."""
-    columns = documents.columns
-    named = documents.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("_id"), F.col("text").alias("text"))
-    return named.select("row", F.struct(F.col("_id").isNull().alias("late"), F.col("_id").alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2")).alias("_rank"), "text")
+    """``row, _row``: whole rows and a number for each, written once so that it stays."""
+    return stash(documents.select(F.struct(*documents.columns).alias("row"), F.monotonically_increasing_id().alias("_row")))
+
 
+def _rank() -> Column:
+    """Which row of a group stays: the smallest doc_id, null last; of rows with one id the text decides, then any of the equal rows."""
+    return F.struct(F.col("row.doc_id").isNull().alias("late"), F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("h1"), F.col("_row").alias("_row"))
 
-def _ranked(held: DataFrame, ranks: DataFrame) -> DataFrame:
-    """The rows of ``held`` whose rank is in ``ranks`` (columns late, id, h1, h2)."""
-    on = [F.col("_rank.late") == F.col("w.late"), F.col("_rank.id").eqNullSafe(F.col("w.id")), F.col("_rank.h1") == F.col("w.h1"), F.col("_rank.h2") == F.col("w.h2")]
-    return held.join(ranks.alias("w"), on, "left_semi")
+
+def _of(held: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The rows of ``held`` whose number is in ``numbers``, which are hashed, so that the texts needn't be sorted."""
+    return held.join(numbers.hint("shuffle_hash"), "_row", "left_semi")
 
 
 def _stay(held: DataFrame, best: DataFrame) -> DataFrame:
-    """The rows of ``held`` whose rank is the ``_least`` of a group."""
-    winners = stash(best.groupBy("_least").agg(F.lit(1).alias("_one")).select(F.col("_least.*")))
-    stay = _ranked(held, winners).select("row", "_rank")
-    # Whole repeated rows: numbered within their own document only, so no group is large unless rows repeat.
-    return stay.dropDuplicates(["_rank"]).select("row.*")
+    """The rows of ``held`` that are the ``_least`` of a group; ``best`` may have a group many times."""
+    return _of(held, best.groupBy("_least._row").agg(F.lit(1)).select("_row")).select("row.*")
 
 
 def shingle_set(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -188,6 +235,14 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def marks(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the members in 64 * :data:`MARKS` cells, as bits: a member that only one set has changes one bit, so two sets
+    differ in as many members as bits, or more."""
+    cell = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (64 * MARKS - 1).bit_length())
+    odd = (np.bincount(cell.astype(np.int64), minlength=64 * MARKS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def _per_text(documents: DataFrame, kind: str, keep: str, of: Callable[[str | None], tuple]) -> DataFrame:
     """``keep`` and the columns ``kind``, values of ``of`` for each text."""
 
@@ -206,41 +261,47 @@ def _per_text(documents: DataFrame, kind: str, keep: str, of: Callable[[str | No
 def similar_links(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
     """``a, b``: links whose components are those of all pairs of sets that share a band and are ``least`` similar or more.
 
-    ``keyed`` has ``_set, _n, _bands``, each set once; ``sets(chosen)`` gives ``_set, _hashes`` for the sets in ``chosen``.
-    First each set of a band meets one of them (another in each band and round), so a large group of copies makes rows in
-    proportion to its size; then all pairs of a band meet that no link has joined yet. All that meet are compared exactly.
+    ``keyed`` has ``_set, _n, _bands, _marks``, each set once; ``sets(chosen)`` gives ``_set, _hashes`` for the sets in ``chosen``.
+    First each set of a band meets the band's most central one (that shares the most bands with others), so a large group of near copies makes
+    rows in proportion to its size and mostly falls into one component. Then, in bands that still hold several components, the
+    sets outside the band's largest component meet all others. Of these pairs only those go on whose sizes and marks allow the similarity, a bound that
+    loses none. Every pair that counts is compared on the whole sets.
     """
     every = keyed.select("_set", "_n", F.posexplode("_bands").alias("_b", "_v"))
-    shared = every.groupBy("_b", "_v").agg(F.count("*").alias("_many")).where("_many > 1").select(F.col("_b").alias("_b2"), F.bitwise_not("_v").alias("_v2"))
-    live = stash(every.join(shared, (F.col("_b") == F.col("_b2")) & (F.bitwise_not("_v") == F.col("_v2")), "left_semi"))
+    other = F.bitwise_not("_v").alias("_v2")
+    same = (F.col("_b") == F.col("_b2")) & (F.bitwise_not("_v") == F.col("_v2"))
+    shared = every.groupBy("_b", "_v").agg(F.count("*").alias("_many")).where("_many > 1").select(F.col("_b").alias("_b2"), other, "_many")
+    live = stash(every.join(shared, same).select("_set", "_n", "_b", "_v", "_many"))
+    rows = live.count()
     held = stash(sets(live.select("_set").distinct()))
     one = held.select(F.col("_set").alias("_s1"), F.col("_hashes").alias("_h1"))
     two = held.select(F.col("_set").alias("_s2"), F.col("_hashes").alias("_h2"))
-    # Sets of such different sizes can't be similar enough.
-    sizes = lambda m, n: F.least(m, n) >= F.lit(least) * F.greatest(m, n)
-    both = F.size(F.array_intersect("_h1", "_h2"))
-    found, done, rooted = None, None, live.withColumn("_root", F.col("_set"))
-    for i in range(HUBS + 1):
-        if i < HUBS:
-            # Links of different roots only: a band within one component has nothing left to compare.
-            hub = F.min_by(F.struct("_set", "_n", "_root"), F.struct(F.xxhash64(F.lit(i), "_b", "_set"), "_set"))
-            hubs = rooted.groupBy("_b", "_v").agg(hub.alias("_hub"), F.min("_root").alias("_r1"), F.max("_root").alias("_r2")).where("_r1 <> _r2")
-            hubs = hubs.select(F.col("_b").alias("_b2"), F.bitwise_not("_v").alias("_v2"), "_hub.*").toDF("_b2", "_v2", "_set2", "_n2", "_root2")
-            met = rooted.join(hubs, (F.col("_b") == F.col("_b2")) & (F.bitwise_not("_v") == F.col("_v2")))
-        else:
-            other = rooted.select("_b", "_v", "_set", "_n", "_root").toDF("_b2", "_v2", "_set2", "_n2", "_root2")
-            met = rooted.join(other, (F.col("_b") == F.col("_b2")) & (F.col("_v") == F.col("_v2")) & (F.col("_set") < F.col("_set2")))
-        met = met.where((F.col("_root") != F.col("_root2")) & sizes(F.col("_n"), F.col("_n2")))
+    sizes = F.least("_n", "_n2") >= F.lit(least) * F.greatest("_n", "_n2")
+
+    def close(met: DataFrame) -> DataFrame:
         pairs = met.select(F.least("_set", "_set2").alias("a"), F.greatest("_set", "_set2").alias("b")).distinct()
-        pairs = stash(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        judged = pairs.join(one, F.col("a") == F.col("_s1")).join(two, F.col("b") == F.col("_s2"))
+        judged = stash(pairs, rows).join(one, F.col("a") == F.col("_s1")).join(two, F.col("b") == F.col("_s2"))
+        both = F.size(F.array_intersect("_h1", "_h2"))
         # Whole numbers on both sides of the bound but for the factor, so a similarity of just ``least`` counts.
-        close = stash(judged.where(both >= F.lit(least) * (F.size("_h1") + F.size("_h2") - both)).select("a", "b"))
-        found, done = close if found is None else found.unionByName(close), pairs if done is None else done.unionByName(pairs)
-        if i < HUBS:
-            roots = component_roots(found, "a", "b")
-            rooted = stash(live.join(roots, F.col("_set") == F.col("id"), "left").select("_set", "_n", "_b", "_v", F.coalesce("root", "_set").alias("_root")))
-    return found
+        return stash(judged.where(both >= F.lit(least) * (F.size("_h1") + F.size("_h2") - both)).select("a", "b"))
+
+    weight = live.groupBy(F.col("_set").alias("_s")).agg(F.sum("_many").alias("_w"))
+    hubs = live.join(weight, F.col("_set") == F.col("_s")).groupBy("_b", "_v").agg(F.max_by(F.struct("_set", "_n"), F.struct("_w", "_set")).alias("_hub"))
+    hubs = hubs.select(F.col("_b").alias("_b2"), other, F.col("_hub._set").alias("_set2"), F.col("_hub._n").alias("_n2"))
+    found = close(live.join(hubs, same & (F.col("_set") != F.col("_set2")) & sizes))
+    roots = component_roots(found, "a", "b")
+    rooted = stash(live.join(roots, F.col("_set") == F.col("id"), "left").select("_set", "_n", "_b", "_v", F.coalesce("root", "_set").alias("_root")), rows)
+    largest = rooted.groupBy("_b", "_v", "_root").agg(F.count("*").alias("_k")).groupBy("_b", "_v").agg(F.max_by("_root", F.struct("_k", "_root")).alias("_top"), F.count("*").alias("_kinds"))
+    torn = largest.where("_kinds > 1").select(F.col("_b").alias("_b2"), other, "_top")
+    torn = rooted.join(torn, same).select("_set", "_n", "_b", "_v", "_root", "_top")
+    marked = keyed.select(F.col("_set").alias("_s"), *[F.element_at("_marks", i + 1).alias(f"_p{i}_") for i in range(MARKS)])
+    torn = stash(torn.join(marked, F.col("_set") == F.col("_s")).drop("_s"), rows)
+    right = torn.select(*[F.col(c).alias(f"{c}2") for c in torn.columns if c not in ("_v", "_top")], other)
+    apart = sum((F.bit_count(F.col(f"_p{i}_").bitwiseXOR(F.col(f"_p{i}_2"))) for i in range(1, MARKS)), F.bit_count(F.col("_p0_").bitwiseXOR(F.col("_p0_2"))))
+    # Sets of n and m members whose similarity is s differ in (n + m) * (1 - s) / (1 + s) members.
+    near = F.lit(1 + least) * apart <= F.lit(1 - least) * (F.col("_n") + F.col("_n2")) + 1e-6
+    once = (F.col("_root2") == F.col("_top")) | (F.col("_set") < F.col("_set2"))
+    return found.unionByName(close(torn.where("_root <> _top").join(right, same & (F.col("_root") != F.col("_root2")) & once & sizes & near)))
 
 
 def keep_one_similar(documents: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -248,7 +309,8 @@ def keep_one_similar(documents: DataFrame, words: int = 5, least: float = 0.8) -
 
     Texts link if their sets of ``words``-word shingles (lower-cased, split at white space) have a Jaccard similarity of ``least``
     or more, and groups are what links reach. Candidates share a band of least hashes (:data:`BANDS`); each is compared exactly. Texts without
-    words are one group. Repeated rows and columns are as for :func:`keep_one`.
+    words are one group. Repeated rows are one document, of which one row stays; columns come back as they were. An empty table gives an
+    empty result.
     """
     held = _held(documents)
 
@@ -256,19 +318,19 @@ def keep_one_similar(documents: DataFrame, words: int = 5, least: float = 0.8) -
         hashes = shingle_set(text, words)
         return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64)), hashes.view(np.int64)
 
-    def keys(text: str | None) -> tuple[int, int, np.ndarray]:
+    def keys(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
         key, hashes = whole(text)
-        return key, len(hashes), bands(hashes.view(np.uint64))
+        return key, len(hashes), bands(hashes.view(np.uint64)), marks(hashes.view(np.uint64))
 
-    prints = stash(_per_text(held, "_set: bigint, _n: bigint, _bands: array<bigint>", "_rank", keys))
+    texts = held.select("row.text", _rank().alias("_rank"))
+    prints = stash(_per_text(texts, "_set: bigint, _n: bigint, _bands: array<bigint>, _marks: array<bigint>", "_rank", keys))
     # Copies meet here, before any pair is made.
-    distinct = stash(prints.groupBy("_set").agg(F.min("_rank").alias("_own"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands")))
+    distinct = stash(prints.groupBy("_set").agg(F.min("_rank").alias("_own"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands"), F.first("_marks").alias("_marks")))
 
     def sets(chosen: DataFrame) -> DataFrame:
-        ranks = stash(distinct.join(chosen, "_set", "left_semi").select("_own.*"))
-        texts = _ranked(held.select("_rank", "text"), ranks).dropDuplicates(["_rank"])
-        return _per_text(texts.withColumn("_one", F.lit(1)), "_set: bigint, _hashes: array<bigint>", "_one", whole).select("_set", "_hashes")
+        numbers = distinct.join(chosen, "_set", "left_semi").select("_own._row")
+        return _per_text(_of(held.select("_row", "row.text"), numbers), "_set: bigint, _hashes: array<bigint>", "_row", whole).select("_set", "_hashes")
 
-    roots = component_roots(similar_links(distinct.select("_set", "_n", "_bands"), sets, least), "a", "b")
+    roots = component_roots(similar_links(distinct.select("_set", "_n", "_bands", "_marks"), sets, least), "a", "b")
     rooted = distinct.join(roots, F.col("_set") == F.col("id"), "left").select("_own", F.coalesce("root", "_set").alias("_root"))
     return _stay(held, rooted.groupBy("_root").agg(F.min("_own").alias("_least")))

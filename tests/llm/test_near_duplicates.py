@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from graphloom.llm import simhash
 
 
@@ -41,7 +44,26 @@ def test_fingerprint():
             simhash.PIECE = old
 
 
-def test_links_by_brute_force(spark):
+def components(pairs, every):
+    root = {p: p for p in every}
+
+    def top(p):
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    return {p: top(p) for p in every}
+
+
+def all_close(signed):
+    return [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3]
+
+
+@pytest.mark.parametrize("small", [1, 16])
+def test_links_by_brute_force(spark, small):
     rng = random.Random(2)
     prints = set()
     for _ in range(40):
@@ -50,9 +72,42 @@ def test_links_by_brute_force(spark):
         for _ in range(4):
             p ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4)))
             prints.add(p)
+    # A group around one fingerprint whose members are two to eight bits apart, and one that agrees in its lower half.
+    centre = rng.getrandbits(64)
+    for i in range(300):
+        prints.add(centre ^ sum(1 << b for b in rng.sample(range(64), 1 + i % 4)))
+        prints.add((rng.getrandbits(32) << 32) | 12345)
     signed = [p - (1 << 64) * (p >> 63) for p in prints]
-    found = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()}
-    assert found == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    found = [(r["a"], r["b"]) for r in simhash.class_links(spark.createDataFrame([(p,) for p in signed], "fp long"), small=small).collect()]
+    assert set(found) <= set(all_close(signed))
+    assert components(found, signed) == components(all_close(signed), signed)
+
+
+def test_rows_of_a_close_group_grow_with_the_group(spark):
+    rng = random.Random(3)
+    centre = rng.getrandbits(62)
+    prints = {centre} | {centre ^ sum(1 << b for b in rng.sample(range(62), 3)) for _ in range(3000)}
+    links = simhash.class_links(spark.createDataFrame([(p,) for p in prints], "fp long"))
+    # Every member is three bits from the centre; all pairs would be many more.
+    assert links.count() < 10 * len(prints)
+    assert set(components([tuple(r) for r in links.collect()], prints).values()) == {min(prints)}
+
+
+def test_blocks_follow_the_size():
+    assert simhash.blocks_for(1000, 3) == 6 and simhash.blocks_for(1 << 33, 3) == 7 and simhash.blocks_for(10**11, 3) > 7
+    for mask in simhash.masks(3, 6):
+        for other in simhash.finer(mask, 3):
+            assert other & mask == mask and len(simhash.finer(mask, 3)) == 20
+    assert simhash.finer(-1, 3) == []
+
+
+def test_marks_never_exceed_the_difference():
+    rng = random.Random(7)
+    for n in (0, 1, 30, 500, 5000):
+        a = {rng.getrandbits(64) for _ in range(n)}
+        b = set(rng.sample(sorted(a), n - n // 5)) | {rng.getrandbits(64) for _ in range(n // 7)}
+        x, y = (simhash.marks(np.array(sorted(s), dtype=np.uint64)) for s in (a, b))
+        assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(a ^ b)
 
 
 def test_groups_of_documents(spark, small):
