@@ -25,6 +25,8 @@ WEAK = [
 #: The same kinds as they are searched for: names may have a prefix that ends in '_' (``aws_secret_access_key``, ``DB_USER``), which ``\b`` rules
 #: out. A lookbehind forbids letters and digits only; the SQL keeps the plain form, as its engine has no lookbehind.
 SEARCHED = [(k, p.replace(r"\b", "(?<![A-Za-z0-9])", 1) if k in ("ident", "phrase") else p, g, n) for k, p, g, n in WEAK]
+#: Matches are added up in runs of so many, and then run by run, so that no list that grows with the text is copied for every match.
+RUN = 256
 #: Parts of kinds that stand in different roles complete each other. Base kinds have roles, too: an assigned value or a long hex
 #: string is a secret, an access identifier names its owner.
 ROLE = {"assign": "secret", "hex": "secret", "phrase": "secret", "access": "owner", "ident": "owner", "endpoint": "place"}
@@ -47,9 +49,20 @@ def spans(text: Column, pattern: str, group: int, least: int) -> Column:
         found = F.struct(begin.alias("start"), (begin + part["hit"]).alias("end"))
         return F.struct((begin + part["hit"]).alias("at"), F.when(part["held"] >= least, F.concat(state["out"], F.array(found))).otherwise(state["out"]).alias("out"))
 
+    def joined(state: Column, run: Column) -> Column:
+        moved = F.transform(run["out"], lambda x: F.struct((x["start"] + state["at"]).alias("start"), (x["end"] + state["at"]).alias("end")))
+        return F.struct((state["at"] + run["at"]).alias("at"), F.concat(state["out"], F.array(moved)).alias("out"))
+
+    def added(parts: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)), F.lit(RUN))
+        runs = F.transform(firsts, lambda i: F.aggregate(F.slice(parts, i, RUN), start, step))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int>>>").alias("out"))
+        return F.aggregate(runs, none, joined, lambda state: F.flatten(state["out"]))
+
     size = lambda name: lambda x: F.char_length(x).alias(name)
     parts = F.arrays_zip(F.transform(hits, size("hit")).alias("hit"), F.transform(F.slice(gaps, F.lit(1), F.size(hits)), size("gap")).alias("gap"), F.transform(held, size("held")).alias("held"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda s: s["out"])).otherwise(empty)
+    # The lengths are bound to a name, else every run would search the text again.
+    return F.when(text.rlike(pattern), F.element_at(F.transform(F.array(parts), added), 1)).otherwise(empty)
 
 
 def listed(parts: Column) -> Column:
