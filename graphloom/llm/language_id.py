@@ -47,26 +47,49 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+class Sparse:
+    """A sorted hash array; each hash has a run of languages that know it, with a number each. Others have ``fill``."""
+
+    def __init__(self, keys: list[np.ndarray], values: list[np.ndarray], fill: float):
+        self.fill = fill
+        every = np.concatenate([np.zeros(0, np.uint64), *keys])
+        who = np.concatenate([np.zeros(0, np.int32), *[np.full(len(k), i, np.int32) for i, k in enumerate(keys)]])
+        order = np.lexsort([who, every])
+        self.table, first = np.unique(every[order], return_index=True)
+        self.starts = np.append(first, len(every))
+        self.who, self.values = who[order], np.concatenate([np.zeros(0), *values])[order]
+
+    def rows(self, keys: np.ndarray, width: int) -> np.ndarray:
+        """A row for each key with the numbers of all languages."""
+        out = np.full((len(keys), width), self.fill)
+        at, found = find(self.table, keys)
+        own = np.flatnonzero(found)
+        first = self.starts[at[own]]
+        many = self.starts[at[own] + 1] - first
+        cells = np.arange(many.sum()) + np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) if len(own) else np.zeros(0, int)
+        out[np.repeat(own, many), self.who[cells]] = self.values[cells]
+        return out
+
+
 class CharModels:
     """One interpolated Kneser-Ney model for each language over the characters of words.
 
-    For every order a sorted array holds the hashes of the grams that any language has, beside a matrix of their log probabilities in
-    all languages, and another one the hashes of the contexts beside their log back-off weights. So a character costs one
-    search for all languages, and more only where its longest gram is new.
+    For every order a sorted array holds the hashes of the grams that any language has, each with the discounted shares of those languages only, and
+    another one the hashes of the contexts with their back-off weights. So a character costs two searches an order for all
+    languages together, and memory grows with what the languages have, not with their number times all grams.
     """
 
     def __init__(self, languages: list[str], order: int = 5):
         self.languages, self.order = languages, order
-        self.grams: list[np.ndarray] = []
-        self.probs: list[np.ndarray] = []
-        self.contexts: list[np.ndarray] = []
-        self.backoffs: list[np.ndarray] = []
-        self.unseen = np.zeros(len(languages))
+        self.shares: list[Sparse] = []
+        self.backoffs: list[Sparse] = []
+        self.letters = 0
 
     def fit(self, counts: dict[str, tuple[list[str], list[int]]]) -> CharModels:
         """``counts``: for each language its grams of the highest order and how often they stand in words."""
-        n, width = self.order, len(self.languages)
-        grams: list[list[tuple]] = [[] for _ in range(n)]
+        n = self.order
+        shares: list[tuple[list, list]] = [([], []) for _ in range(n)]
+        backoffs: list[tuple[list, list]] = [([], []) for _ in range(n)]
         for language in self.languages:
             texts, often = counts[language]
             codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, n)
@@ -80,73 +103,45 @@ class CharModels:
             weight = np.array(often, float)
             last = codes[:, -1]
             for k in reversed(range(n)):
-                # Below the highest order a gram counts once for each character that stands before it.
-                grams[k].append((hashes[k], hashes[k] - last, hashes[k - 1] if k else None, weight))
-                if k:
-                    _, first, often_ = np.unique(hashes[k - 1], return_index=True, return_counts=True)
-                    hashes, last, weight = hashes[:, first], last[first], often_.astype(float)
-        every = np.unique(np.concatenate([g[0] for g in grams[0]])) if width else np.zeros(0, np.uint64)
-        lower = np.zeros((0, width))
-        for k in range(n):
-            table = np.unique(np.concatenate([g[0] for g in grams[k]])) if width else np.zeros(0, np.uint64)
-            context = np.unique(np.concatenate([g[1] for g in grams[k]])) if width else np.zeros(0, np.uint64)
-            context_of, suffix_of = np.zeros(len(table), np.uint64), np.zeros(len(table), np.uint64)
-            alpha, gamma = np.zeros((len(table), width)), np.ones((len(context), width))
-            for i, (own, before, suffix, weight) in enumerate(grams[k]):
-                at = np.searchsorted(table, own)
-                context_of[at] = before
-                if suffix is not None:
-                    suffix_of[at] = suffix
+                where, back = np.unique(hashes[k] - last, return_inverse=True)
                 once, twice = (weight == 1).sum(), (weight == 2).sum()
                 discount = once / (once + 2 * twice) if once else 0.5
-                where, back = np.unique(before, return_inverse=True)
-                total, kinds = np.bincount(back, weight), np.bincount(back)
-                alpha[at, i] = np.maximum(weight - discount, 0) / total[back]
-                gamma[np.searchsorted(context, where), i] = np.maximum(discount * kinds / total, 1e-9)
-            weight_of = gamma[np.searchsorted(context, context_of)]
-            if k:
-                base = lower[np.searchsorted(self.grams[k - 1], suffix_of)]
-            else:
-                base = np.full((1, width), 1.0 / (len(every) + 1))
-                self.unseen = np.log(gamma[0] / (len(every) + 1)) if len(context) else self.unseen
-            lower = alpha + weight_of * base
-            self.grams.append(table)
-            self.probs.append(np.log(lower))
-            self.contexts.append(context)
-            self.backoffs.append(np.log(gamma))
+                whole, kinds = np.bincount(back, weight), np.bincount(back)
+                shares[k][0].append(hashes[k])
+                shares[k][1].append(np.maximum(weight - discount, 0) / whole[back])
+                backoffs[k][0].append(where)
+                backoffs[k][1].append(np.maximum(discount * kinds / whole, 1e-9))
+                if k:
+                    # Below the highest order a gram counts once for each character that stands before it.
+                    _, first, before = np.unique(hashes[k - 1], return_index=True, return_counts=True)
+                    hashes, last, weight = hashes[:, first], last[first], before.astype(float)
+        self.shares = [Sparse(*x, 0.0) for x in shares]
+        # A context that a language doesn't know leaves all to the shorter one.
+        self.backoffs = [Sparse(*x, 1.0) for x in backoffs]
+        self.letters = len(self.shares[0].table)
         return self
 
     def words(self, words: list[str]) -> np.ndarray:
         """A row for each word: log probability in each language, and the number of characters with the end."""
-        n = self.order
+        n, width = self.order, len(self.languages)
         text = "".join(padded(w, n) for w in words)
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         hashes = rolling(codes, n)
         asked = np.flatnonzero(codes != ord(BEGIN))
-        out = np.tile(self.unseen, (len(asked), 1))
-        level = np.zeros(len(asked), int)
-        open_ = np.arange(len(asked))
-        for k in reversed(range(n)):
-            at, found = find(self.grams[k], hashes[k][asked[open_]])
-            out[open_[found]] = self.probs[k][at[found]]
-            level[open_[found]] = k + 1
-            open_ = open_[~found]
-            if not len(open_):
-                break
-        for k in range(1, n):
-            rest = np.flatnonzero(level <= k)
-            if len(rest):
-                at, found = find(self.contexts[k], hashes[k][asked[rest]] - codes[asked[rest]])
-                out[rest[found]] += self.backoffs[k][at[found]]
+        p = np.full((len(asked), width), 1.0 / (self.letters + 1))
+        for k in range(n):
+            own = hashes[k][asked]
+            p = self.shares[k].rows(own, width) + self.backoffs[k].rows(own - codes[asked], width) * p
         sizes = np.array([len(w) + 1 for w in words])
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        return np.column_stack([np.add.reduceat(out, starts, axis=0), sizes])
+        return np.column_stack([np.add.reduceat(np.log(p), starts, axis=0), sizes])
 
 
 class Identifier:
     """Models, and what turns cross-entropies into a score: a temperature and the least score that is accepted."""
 
-    KEPT = 300_000
+    #: Numbers of words' rows that are remembered, and that are made at once.
+    KEPT, AT_ONCE = 1_500_000, 400_000
 
     def __init__(self, models: CharModels):
         self.models, self.temperature, self.least = models, 1.0, 0.0
@@ -164,12 +159,13 @@ class Identifier:
         """Cross-entropy a character in each language and, last, the number of characters; 0 characters: no letter."""
         found = [LETTERS.findall((t or "").lower()) for t in texts]
         new = list(set().union(*found) - self._place.keys())
-        if len(self._place) + len(new) > self.KEPT:
+        width = self._rows.shape[1]
+        if (len(self._place) + len(new)) * width > self.KEPT:
             self._place, self._rows = {}, self._rows[:0]
             new = list(set().union(*found))
         if new:
-            start = len(self._rows)
-            self._rows = np.vstack([self._rows, *[self.models.words(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]])
+            start, step = len(self._rows), max(1, self.AT_ONCE // (8 * width))
+            self._rows = np.vstack([self._rows, *[self.models.words(new[i : i + step]) for i in range(0, len(new), step)]])
             self._place.update((w, start + i) for i, w in enumerate(new))
         out = np.zeros((len(texts), self._rows.shape[1]))
         for i, words in enumerate(found):
@@ -208,19 +204,22 @@ class Identifier:
         return self
 
 
-def fit(documents: DataFrame, each: int = 1500, calibration: int = 1000, order: int = 5, errors: float = 0.01, most_languages: int = 1000) -> Identifier:
+def fit(documents: DataFrame, each: int = 1500, calibration: int = 1000, order: int = 5, errors: float = 0.01, few: int = 20) -> Identifier:
     """Models from about ``each`` documents a language and a calibration from about ``calibration`` others in all.
 
-    Both bounds limit the labelled rows that the classifier is fitted on; which rows these are is settled by a hash of the id.
+    Both bounds limit the labelled rows that the classifier is fitted on; which rows these are is settled by a hash of the id. A quarter of the ids
+    is for calibration, but a language with fewer than ``few`` documents outside it learns from those as well and takes no part in calibration. However many
+    languages there are, each is learnt; what comes to the driver is a row for each of them and their grams in the sample.
     """
     small_batches(documents.sparkSession)
     learn = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
     part = F.crc32(F.col("doc_id").cast("string")) % 4
-    sizes = learn.groupBy("lang").agg(F.count(F.when(part != 3, 1)).alias("n"), F.count(F.when(part == 3, 1)).alias("m")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    languages = sorted(r["lang"] for r in sizes if r["n"])
-    models = CharModels(languages, order)
+    sizes = learn.groupBy("lang").agg(F.count(F.when(part != 3, 1)).alias("n"), F.count(F.when(part == 3, 1)).alias("m")).collect()
+    rare = {r["lang"] for r in sizes if r["n"] < few}
+    models = CharModels([], order)
     share = F.xxhash64(F.lit(3), F.col("doc_id")).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
-    take = F.create_map(*[F.lit(v) for r in sizes if r["n"] for v in (r["lang"], min(1.0, each / r["n"]))]) if languages else F.create_map(F.lit(""), F.lit(0.0))
+    shares = [F.lit(v) for r in sizes for v in (r["lang"], min(1.0, each / (r["n"] + (r["m"] if r["lang"] in rare else 0))))]
+    take = F.create_map(*shares) if shares else F.create_map(F.lit(""), F.lit(0.0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
@@ -232,26 +231,33 @@ def fit(documents: DataFrame, each: int = 1500, calibration: int = 1000, order:
                     word = padded(word, order)
                     for i in range(len(word) - order + 1):
                         own[word[i : i + order]] += n
+                if len(own) > 300_000:
+                    yield from flush({lang.as_py(): seen.pop(lang.as_py())})
+        yield from flush(seen)
+
+    def flush(seen: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, own in seen.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(own), pa.string()), "gram": pa.array(list(own), pa.string()), "n": pa.array(list(own.values()), pa.int64())})
 
-    sample = learn.where((part != 3) & (share < F.element_at(take, F.col("lang")))).select("text", "lang")
+    own = F.col("lang").isin(sorted(rare))
+    sample = learn.where(((part != 3) | own) & (share < F.element_at(take, F.col("lang")))).select("text", "lang")
     grams = sample.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toPandas()
     by = {c: g for c, g in grams.groupby("lang")} if len(grams) else {}
-    models.languages = languages = [c for c in languages if c in by]
-    models.unseen = np.zeros(len(languages))
+    models.languages = languages = sorted(by)
     found = Identifier(models.fit({c: (by[c]["gram"].tolist(), by[c]["n"].tolist()) for c in languages}))
-    whole = sum(r["m"] for r in sizes)
-    test = learn.where((part == 3) & (share < min(1.0, calibration / max(whole, 1)))).select("doc_id", "text", "lang")
+    whole = sum(r["m"] for r in sizes if r["lang"] not in rare)
+    test = learn.where((part == 3) & ~own & (share < min(1.0, calibration / max(whole, 1)))).select("text", "lang")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = found.entropies(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "lang", "x"])
+            x = found.entropies(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["lang", "x"])
 
     if languages:
-        rows = test.mapInArrow(measure, "doc_id bigint, lang string, x array<double>").orderBy("doc_id").toPandas()
-        found.calibrate_rows(np.array(rows["x"].tolist(), float).reshape(-1, len(languages) + 1), rows["lang"].tolist(), errors)
+        rows = test.mapInArrow(measure, "lang string, x array<double>").toPandas()
+        x = np.array(rows["x"].tolist(), float).reshape(-1, len(languages) + 1)
+        order_ = np.lexsort([*x.T, rows["lang"].to_numpy(str)])  # whatever the order in which tasks end
+        found.calibrate_rows(x[order_], rows["lang"].to_numpy()[order_].tolist(), errors)
     return found
 
 
