@@ -14,7 +14,10 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +33,31 @@ BEGINS = "\x00begin\x00"
 START: State = (0, 0)
 
 
+#: Matrices that are multiplied in one task at a time; also the width of the tree of products.
+WIDE = 64
+
+
+class Memo(dict):
+    """Remembers what ``make`` gives, for up to ``most`` short keys; then it begins anew."""
+
+    def __init__(self, make, most: int, longest: int):
+        super().__init__()
+        self.make, self.most, self.longest = make, most, longest
+
+    def __missing__(self, key):
+        found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Pieces:
-    """A model's vocabulary, read with its library from the bytes of the model file; merging and scanning are our own."""
+    """A model's vocabulary, read with its library from the bytes of the model file; merging, scanning and decoding are our own."""
 
-    #: Pairs whose survival is remembered.
-    KEPT = 400_000
+    #: Words, and pairs of tokens, that are remembered.
+    KEPT = 150_000
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -42,7 +65,6 @@ class Pieces:
         loaded = sentencepiece.SentencePieceProcessor(model_proto=model)
         if not loaded.encode("a", out_type=str)[0].startswith(SPACE):
             raise ValueError("only models that put a space before a text are read")
-        self.library = loaded
         n = loaded.get_piece_size()
         self.names = [loaded.id_to_piece(i) for i in range(n)]
         special = [loaded.is_byte(i) or loaded.is_control(i) or loaded.is_unknown(i) or loaded.is_unused(i) for i in range(n)]
@@ -54,8 +76,12 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         #: No piece goes on with a space, so no merge crosses from a word to the spaces behind it.
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
-        self._pairs: dict[tuple[str, str], bool] = {}
-
+        self._word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self._pairs = Memo(self._survives, self.KEPT, 2)
+        #: A word's ids by merging, and by the scan.
+        self._merged = Memo(lambda w: self.numbers(self.merge(w)), self.KEPT, 40)
+        self._scanned = Memo(self._scan, self.KEPT, 40)
+    
     def merge(self, text: str) -> list[str]:
         """Tokens of ``text``: neighbours whose join is a piece merge, highest score first, leftmost of equals first."""
         n = len(text)
@@ -90,22 +116,31 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of text whose spaces are already :data:`SPACE` and that begins with one; by the library, which merges as :meth:`merge` does."""
-        if not text.strip(SPACE):
-            return self.numbers(self.merge(text))
-        return self.library.encode(text[1:])
+    def words(self, text: str) -> list[str]:
+        """``text`` cut where no piece crosses, between a character and the space behind it: a word with the spaces before it."""
+        return self._word.findall(text) if self.cuts else [text] if text else []
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of text whose spaces are already :data:`SPACE` and that begins with one, by merging each word."""
+        return np.fromiter(chain.from_iterable(map(self._merged.__getitem__, self.words(text))), np.int32)
+
+    def _scan(self, word: str) -> list[int]:
+        """Ids of a word on the one path of weight 0 through it."""
+        at = self._walk(word, [(0, "", 1)], len(word))
+        token = next(t for t, ways in at[len(word)].items() if ways)
+        return self.numbers(self._back(at, len(word), token, 1))
 
     def survive(self, a: str, b: str) -> bool:
         """Whether tokens ``a`` and ``b`` may stand side by side: the weight 0 of a step, or minus infinity."""
-        key = (a, b)
-        found = self._pairs.get(key)
-        if found is None:
-            found = self.merge(a + b) == ([a, b] if a else [b])
-            if len(self._pairs) >= self.KEPT:
-                self._pairs.clear()
-            self._pairs[key] = found
-        return found
+        return self._pairs[a, b]
+
+    def _survives(self, pair: tuple[str, str]) -> bool:
+        a, b = pair
+        return self.merge(a + b) == ([a, b] if a else [b])
+
+    def spells(self, ids, text: str) -> bool:
+        """Whether decoding gives ``text``, which has real spaces."""
+        return self.decode(ids) == text
 
     def decode(self, ids: list[int]) -> str:
         out, held = [], bytearray()
@@ -171,7 +206,7 @@ class Pieces:
             place, token = place - len(token), last
 
     def _inner(self, text: str, low: int, high: int) -> tuple[int, int] | None:
-        """First and last cut in the chunk: what lies between them depends on nothing outside."""
+        """First and last cut in the chunk: between them stand whole words."""
         if not self.cuts:
             return None
         found = [m.start() + 1 for m in re.finditer(f"[^{SPACE}](?={SPACE})", text[max(low - 1, 0) : high])]
@@ -201,7 +236,11 @@ class Pieces:
         return entries, [(low + b, text[low - a : low + b], 1 << i) for i, (a, b) in enumerate(entries)]
 
     def transfer(self, text: str, low: int, high: int, last: bool) -> list[tuple[State, State]]:
-        """The pairs of states at both ends of the chunk between which a path of weight 0 leads: the finite entries of its matrix."""
+        """The pairs of states at both ends of the chunk between which a path of weight 0 leads: the finite entries of its matrix.
+
+        Nothing crosses a cut, so a word between two cuts is a matrix of one entry, the weight of its best path, which is 0 if the scan ends in a
+        token; the chunk's matrix is the product of the part before its first cut, its words, and the part behind its last cut.
+        """
         entries, begin = self._begin(text, low)
         inner = self._inner(text, low, high)
         if inner is None:
@@ -212,6 +251,8 @@ class Pieces:
             for ways in head.get(inner[0], {}).values():
                 for bits in ways.values():
                     alive |= bits
+            if not all(map(self._scanned.__getitem__, self.words(text[inner[0] : inner[1]]))):
+                alive = 0
             tail = self._exits(text, self._walk(text, [(inner[1], "", 1)], high), high, last)
             exits = {s: alive for s in tail}
         return [(e, s) for s, bits in exits.items() for i, e in enumerate(entries) if bits >> i & 1]
@@ -234,7 +275,8 @@ class Pieces:
             return self.numbers(path(self._walk(text, begin, end), end, bit, crossing) + crossing)
         head = path(self._walk(text, begin, inner[0]), inner[0], bit, [])
         tail = path(self._walk(text, [(inner[1], "", 1)], end), end, 1, crossing)
-        return self.numbers(head) + self.encode(text[inner[0] : inner[1]]) + self.numbers(tail + crossing)
+        words = map(self._scanned.__getitem__, self.words(text[inner[0] : inner[1]]))
+        return [*self.numbers(head), *chain.from_iterable(words), *self.numbers(tail + crossing)]
 
 
 def combine(a: dict[State, set[State]], b: dict[State, set[State]]) -> dict[State, set[State]]:
@@ -247,13 +289,12 @@ def combine(a: dict[State, set[State]], b: dict[State, set[State]]) -> dict[Stat
     return out
 
 
-def border_states(matrices: list[dict[State, set[State]]]) -> list[State]:
-    """The state at every border (one more than chunks) on the one path of weight 0 from beginning to end."""
-    # Suffix products by doubling would do as well; a fold over the borders needs one product for each chunk.
-    reach: list[set[State]] = [set() for _ in matrices] + [{START}]
+def border_states(matrices: list[dict[State, set[State]]], entry: State = START, leave: State = START) -> list[State]:
+    """The state at every border (one more than matrices) on the one path of weight 0 from ``entry`` to ``leave``."""
+    reach: list[set[State]] = [set() for _ in matrices] + [{leave}]
     for i in reversed(range(len(matrices))):
-        reach[i] = set(combine(matrices[i], {s: {START} for s in reach[i + 1]}))
-    out = [START]
+        reach[i] = set(combine(matrices[i], {s: {leave} for s in reach[i + 1]}))
+    out = [entry]
     for i, m in enumerate(matrices):
         nxt = m[out[-1]] & reach[i + 1]
         if len(nxt) != 1:
@@ -262,6 +303,17 @@ def border_states(matrices: list[dict[State, set[State]]]) -> list[State]:
     return out
 
 
+def _packed(matrix: dict[State, set[State]]) -> list[dict[str, int]]:
+    return [{"a": e[0], "b": e[1], "c": s[0], "d": s[1]} for e, ends in matrix.items() for s in ends]
+
+
+def _unpacked(cells: list[dict[str, int]]) -> dict[State, set[State]]:
+    own: dict[State, set[State]] = {}
+    for c in cells:
+        own.setdefault((c["a"], c["b"]), set()).add((c["c"], c["d"]))
+    return own
+
+
 _LOADED: dict[int, Pieces] = {}
 
 
@@ -274,11 +326,53 @@ def loaded(model: bytes) -> Pieces:
     return _LOADED[key]
 
 
-STATE = "struct<a:int,b:int>"
+STATE, CELLS = "struct<a:int,b:int>", "array<struct<a:int,b:int,c:int,d:int>>"
+_STATE = pa.struct([(k, pa.int32()) for k in "ab"])
+_CELLS = pa.list_(pa.struct([(k, pa.int32()) for k in "abcd"]))
+
+
+def border_scan(cells: DataFrame) -> DataFrame:
+    """``_s1, _s2, _no, entry, leave`` for each chunk, from ``_k1, _k2, no, cells``, the matrices of all chunks of all documents.
+
+    A tree of products: :data:`WIDE` neighbours become one matrix until each document has one. Then from the root down, the states at both ends of a
+    product give those between its factors. Each step is one shuffle by document and place, and a task never sees more than WIDE
+    matrices of a document together.
+    """
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_packed(reduce(combine, (_unpacked(m["cells"]) for m in r))) for r in batch.column("matrices").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_k1"), batch.column("_k2"), batch.column("_group"), pa.array(found, _CELLS)], names=["_k1", "_k2", "no", "cells"])
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                ends = [(r[k]["a"], r[k]["b"]) for k in ("entry", "leave")]
+                states = [{"a": a, "b": b} for a, b in border_states([_unpacked(m["cells"]) for m in r["matrices"]], *ends)]
+                rows += [(r["_k1"], r["_k2"], m["no"], *s) for m, *s in zip(r["matrices"], states, states[1:], strict=False)]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), _STATE, _STATE]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["_s1", "_s2", "_no", "entry", "leave"])
+
+    levels, top = [], cells.agg(F.coalesce(F.max("no"), F.lit(0))).first()[0]
+    while True:
+        grouped = cells.groupBy("_k1", "_k2", F.expr(f"no div {WIDE}").cast("int").alias("_group")).agg(F.array_sort(F.collect_list(F.struct("no", "cells"))).alias("matrices"))
+        levels.append(stash(grouped))
+        top //= WIDE
+        if not top:
+            break
+        cells = levels[-1].mapInArrow(product, f"_k1 bigint, _k2 bigint, no int, cells {CELLS}")
+    whole = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))
+    found = levels.pop().withColumns({"entry": whole, "leave": whole})
+    kind = f"_s1 bigint, _s2 bigint, _no int, entry {STATE}, leave {STATE}"
+    while levels:
+        states = found.mapInArrow(between, kind)
+        found = levels.pop().join(states, (F.col("_k1") == F.col("_s1")) & (F.col("_k2") == F.col("_s2")) & (F.col("_group") == F.col("_no"))).select("_k1", "_k2", "matrices", "entry", "leave")
+    return found.mapInArrow(between, kind)
 
 
 def encode(documents: DataFrame, model_file: str, chunk: int = 32_768) -> DataFrame:
-    """``doc_id, ids, n_tokens, exact`` for every row of ``documents``: the ids that the model's library gives for the whole text.
+    """``doc_id, ids, n_tokens, exact`` for every row of ``documents``: the ids that the model gives for the whole text.
 
     ``exact`` tells whether decoding the ids gives the text back; a text that holds U+2581 itself decodes to spaces. Texts longer than
     ``chunk`` characters are encoded in chunks by different tasks. Null and empty texts have no tokens and are exact (null decodes to null); a
@@ -296,13 +390,14 @@ def encode(documents: DataFrame, model_file: str, chunk: int = 32_768) -> DataFr
         """Texts that fit into one chunk."""
         pieces = loaded(model)
         for batch in batches:
-            ids, exact = [], []
-            for value in batch.column(0):
+            ids, exact, ends = [], [], np.zeros(batch.num_rows + 1, np.int32)
+            for i, value in enumerate(batch.column(0)):
                 text = value.as_py() or ""
-                own = pieces.encode(SPACE + text.replace(" ", SPACE)) if text else []
-                ids.append(own)
-                exact.append(pieces.library.decode(own) == text)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(exact)], names=["doc_id", "ids", "exact"])
+                ids.append(pieces.encode(SPACE + text.replace(" ", SPACE)) if text else np.zeros(0, np.int32))
+                exact.append(pieces.spells(ids[-1].tolist(), text))
+                ends[i + 1] = ends[i] + len(ids[-1])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+            yield pa.RecordBatch.from_arrays([batch.column(1), lists, pa.array(exact, pa.bool_())], names=["doc_id", "ids", "exact"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The chunks of giant texts with what surrounds them, a few at a time."""
@@ -327,27 +422,13 @@ def encode(documents: DataFrame, model_file: str, chunk: int = 32_768) -> DataFr
         pieces = loaded(model)
         for batch in batches:
             rows = batch.to_pylist()
-            found = [pieces.transfer(r["part"], r["low"], r["high"], r["last"]) for r in rows]
-            flat = [[{"a": e[0], "b": e[1], "c": s[0], "d": s[1]} for e, s in f] for f in found]
-            kind = pa.list_(pa.struct([(k, pa.int32()) for k in "abcd"]))
-            yield pa.RecordBatch.from_arrays([batch.column("_k1"), batch.column("_k2"), batch.column("no"), pa.array(flat, kind)], names=["_k1", "_k2", "no", "cells"])
-
-    def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each giant document: its matrices in order; out come the states at the ends of each chunk."""
-        kind = pa.struct([("a", pa.int32()), ("b", pa.int32())])
-        for batch in batches:
+            flat = []
             for r in batch.to_pylist():
-                matrices = []
-                for m in r["matrices"]:
-                    own: dict[State, set[State]] = {}
-                    for c in m["cells"]:
-                        own.setdefault((c["a"], c["b"]), set()).add((c["c"], c["d"]))
-                    matrices.append(own)
-                states = [{"a": s[0], "b": s[1]} for s in border_states(matrices)]
-                n = len(matrices)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["_k1"]] * n, pa.int64()), pa.array([r["_k2"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(states[:-1], kind), pa.array(states[1:], kind)], names=["_s1", "_s2", "_no", "entry", "leave"]
-                )
+                own: dict[State, set[State]] = {}
+                for entry, leave in pieces.transfer(r["part"], r["low"], r["high"], r["last"]):
+                    own.setdefault(entry, set()).add(leave)
+                flat.append(_packed(own))
+            yield pa.RecordBatch.from_arrays([batch.column("_k1"), batch.column("_k2"), batch.column("no"), pa.array(flat, _CELLS)], names=["_k1", "_k2", "no", "cells"])
 
     def fourth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
@@ -372,10 +453,8 @@ def encode(documents: DataFrame, model_file: str, chunk: int = 32_768) -> DataFr
     # A document that is there several times has its chunks encoded once.
     chunks = done.select("_k1", "_k2", "no", "last", "low", "high", "part").dropDuplicates(["_k1", "_k2", "no"])
     chunks = stash(chunks)
-    cells = chunks.mapInArrow(second, "_k1 bigint, _k2 bigint, no int, cells array<struct<a:int,b:int,c:int,d:int>>")
     # A few dozen cells for each chunk meet by document, not its text.
-    matrices = cells.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("no", "cells"))).alias("matrices"))
-    states = matrices.mapInArrow(third, f"_s1 bigint, _s2 bigint, _no int, entry {STATE}, leave {STATE}")
+    states = border_scan(stash(chunks.mapInArrow(second, f"_k1 bigint, _k2 bigint, no int, cells {CELLS}")))
     ready = chunks.join(states, (F.col("_k1") == F.col("_s1")) & (F.col("_k2") == F.col("_s2")) & (F.col("no") == F.col("_no")))
     coded = ready.select("_k1", "_k2", "no", "last", "low", "high", "part", "entry", "leave").mapInArrow(fourth, "_k1 bigint, _k2 bigint, no int, ids array<int>, exact boolean")
     joined = coded.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("_parts"), F.every("exact").alias("exact"))
