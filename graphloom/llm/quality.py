@@ -54,7 +54,15 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = 20_000) -> BoostedT
     return BoostedTrees(rounds=50).fit(x[order], y[order])
 
 
-def evidence(documents: DataFrame, model: BoostedTrees) -> DataFrame:
+def site(documents: DataFrame) -> tuple[Column, Column]:
+    """Host and first path segment of the column ``url``, where there is one; otherwise a source is a host and a language within it a path."""
+    if "url" not in documents.columns:
+        return F.col("source"), F.col("lang")
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return F.when(host != "", host), F.regexp_extract("url", r"^[^:/?#]*:?//[^/?#]*(/[^/?#]*)", 1)
+
+
+def evidence(documents: DataFrame, model: BoostedTrees, host: Column, path: Column) -> DataFrame:
     """``doc_id, host, path, margin``: log odds of good quality by the text alone; ``path`` lies within ``host``."""
     small_batches(documents.sparkSession)
 
@@ -63,7 +71,7 @@ def evidence(documents: DataFrame, model: BoostedTrees) -> DataFrame:
             x = np.array([features(v.as_py()) for v in batch.column(0)], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model.margin(x), pa.float64())], names=["doc_id", "host", "path", "margin"])
 
-    held = documents.select("text", "doc_id", F.col("source").cast("string").alias("host"), F.col("lang").cast("string").alias("path"))
+    held = documents.select("text", "doc_id", host.cast("string").alias("host"), path.cast("string").alias("path"))
     return held.mapInArrow(run, held.select("doc_id", "host", "path", F.lit(0.0).alias("margin")).schema)
 
 
@@ -73,26 +81,29 @@ def _strength(groups: DataFrame, mean: Column, most: float) -> DataFrame:
     ``groups`` has a group's documents ``n`` and their sum of evidence ``good``. What the groups' means scatter beyond the scatter
     of n draws is their own variance; none of it means that the prior rules.
     """
-    sums = groups.agg(F.sum("n").alias("all"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.sum(F.col("n") * F.pow(F.col("good") / F.col("n") - mean, 2)).alias("between"), F.max(mean).alias("mean"))
-    within = F.col("mean") * (1 - F.col("mean"))
+    sums = groups.agg(F.sum("n").alias("all"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.sum(F.col("n") * F.pow(F.col("good") / F.col("n") - mean, 2)).alias("between"), F.sum(F.col("n") * mean * (1 - mean)).alias("draws"))
+    # The scatter of one draw, over the documents.
+    within = F.col("draws") / F.col("all")
     room = F.greatest(F.col("all") - F.col("sq") / F.col("all"), F.lit(1e-9))
     own = F.greatest((F.col("between") - (F.col("k") - 1) * within) / room, F.lit(0.0))
     return sums.select(F.least(F.greatest(within / F.greatest(own, F.lit(1e-12)) - 1, F.lit(1.0)), F.lit(most)).alias("strength"))
 
 
-def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = 20_000, most_strength: float = 1e4) -> DataFrame:
+def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = 20_000, most_strength: float = 1e4, host: Column | None = None, path: Column | None = None) -> DataFrame:
     """``doc_id, held_out, score, predicted, document_score, host_posterior, path_posterior`` for every row of ``documents``.
 
     A document counts in its site with its label, where it has one to learn from, or else with the classifier's probability. A host's
-    posterior shrinks to the global mean, a path's (language within source) to its host's, each by a strength estimated from how
+    posterior shrinks to the global mean, a path's to its host's, each by a strength estimated from how
     much groups differ; sparse sites thus take the prior's word. A document's own part is taken out of its site's sums, so nothing vouches for
-    itself. The score adds the site's log odds, relative to the global ones, to the document's.
+    itself. The score adds the site's log odds, relative to the global ones, to the document's. ``host`` and ``path`` are expressions over
+    ``documents``, by default those of :func:`site`.
 
     Null and empty texts are scored like a text without words; null hosts and paths are groups of their own; null doc_ids have no label. Without
     labels the classifier gives even odds. Repeated rows have equal scores. An empty table gives an empty result.
     """
     model = fit(documents, labels, rows)
-    found = evidence(documents, model)
+    own = site(documents) if host is None or path is None else (host, path)
+    found = evidence(documents, model, own[0] if host is None else host, own[1] if path is None else path)
     marks = labels.where(~held_out(F.col("doc_id"), 5, 0) & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").cast("double").alias("_label"))
     plain = 1 / (1 + F.exp(-F.col("margin")))
     joined = found.join(marks, F.col("doc_id") == F.col("_id"), "left")
