@@ -1,7 +1,9 @@
 """Toxicity, language and quality: held-out accuracy and odd rows; trees and calibration by themselves."""
 
 import math
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -117,3 +119,166 @@ def test_quality_of_odd_rows(spark, odd, nothing, marks):
     assert len(rows) == odd.count() and all(0 < r["score"] < 1 for r in rows)
     assert quality.quality(nothing, marks).count() == 0
     assert all(r["score"] == pytest.approx(0.5) for r in quality.quality(odd, marks.limit(0)).collect())
+
+
+def sigmoid(x):
+    return 1 / (1 + math.exp(-max(-35, min(35, x))))
+
+
+def walk(trees, x):
+    """A tree's margin, node by node."""
+    out = trees.base
+    for fs, cs, leaves in zip(trees.feature, trees.cut, trees.leaf, strict=True):
+        node = 0
+        while node < len(fs):
+            node = 2 * node + (2 if x[fs[node]] > cs[node] else 1)
+        out += leaves[node - len(fs)]
+    return out
+
+
+def learnable(labels, name):
+    best = {}
+    for r in labels.collect():
+        if r["doc_id"] is not None and r[name] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            best[r["doc_id"]] = max(r[name], best.get(r["doc_id"], 0))
+    return best
+
+
+def test_toxicity_by_brute_force(spark, small):
+    docs, labels = small("documents", "sf0.1"), small("labels", "sf0.1")
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    learn = {i: y for i, y in learnable(labels, "toxic").items() if i in text}
+    assert len(learn) <= 20_000
+    model = toxicity.fit(docs, labels)
+    # The lexicon from plain counts.
+    seen, bad, n, toxic = Counter(), Counter(), 0, 0
+    for i, y in learn.items():
+        if zlib.crc32(str(i).encode()) % 5 != 4:
+            words = {w.strip(toxicity.EDGE) for w in text[i].lower().split()}
+            terms = {b for w in words if w and not w[0].isdigit() for b in ([w[:k] for k in (3, 4, 5, 6, 8) if len(w) >= k] or [w])}
+            seen.update(terms)
+            bad.update(terms if y else ())
+            n, toxic = n + 1, toxic + y
+    rate = toxic / n
+    odds = {t: math.log((bad[t] + 0.5) / (seen[t] - bad[t] + 0.5)) - math.log(rate / (1 - rate)) for t in bad if bad[t] >= 4}
+    sure = {t: o for t, o in odds.items() if o >= 2 and (bad[t] - seen[t] * rate) / math.sqrt(seen[t] * rate * (1 - rate) + 1) >= 5}
+    assert len(sure) < 2_000 and sure.keys() == model.lexicon.keys()
+    assert all(model.lexicon[t] == pytest.approx(o) for t, o in sure.items())
+    # Scores from a walk through each tree and the calibration curve's two neighbours.
+    for r in toxicity.toxicity(docs, labels).where("doc_id % 40 = 0").collect():
+        margin = walk(model.trees, toxicity.features(text[r["doc_id"]], sure, frozenset(t[:3] for t in sure)))
+        at, value = model.curve.at, model.curve.value
+        j = sum(a <= margin for a in at)
+        want = value[0] if j == 0 else value[-1] if j == len(at) else value[j - 1] + (value[j] - value[j - 1]) * (margin - at[j - 1]) / (at[j] - at[j - 1])
+        assert r["score"] == pytest.approx(min(max(want, 0), 1), abs=1e-9)
+
+
+def test_language_by_brute_force(spark, small):
+    """Interpolated Kneser-Ney from dictionaries of strings, the formula term by term."""
+    docs, order = small("documents", "sf0.001"), 5
+    rows = docs.collect()
+    crc = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 for r in rows}
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    outside = Counter(r["lang"] for r in rows if crc[r["doc_id"]] < 2)
+    counts = defaultdict(Counter)
+    for r in rows:
+        if crc[r["doc_id"]] < 2 or crc[r["doc_id"]] == 3 and outside[r["lang"]] < 20:
+            for w in words(r["text"]):
+                w = "\x02" * (order - 1) + w + "\x03"
+                counts[r["lang"]].update(w[i : i + order] for i in range(len(w) - order + 1))
+    levels = {}
+    for lang, top in counts.items():
+        own = [None] * order
+        own[order - 1] = top
+        for k in reversed(range(order - 1)):
+            own[k] = Counter(g[1:] for g in own[k + 1])
+        levels[lang] = []
+        for c in own:
+            once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+            total, kinds = Counter(), Counter()
+            for g, v in c.items():
+                total[g[:-1]] += v
+                kinds[g[:-1]] += 1
+            levels[lang].append((c, total, kinds, once / (once + 2 * twice) if once else 0.5))
+    letters = len({g for own in levels.values() for g in own[0][0]})
+
+    def log_p(lang, gram):
+        p = 1 / (letters + 1)
+        for k, (c, total, kinds, discount) in enumerate(levels[lang]):
+            g = gram[len(gram) - k - 1 :]
+            if total[g[:-1]]:
+                p = max(c[g] - discount, 0) / total[g[:-1]] + max(discount * kinds[g[:-1]] / total[g[:-1]], 1e-9) * p
+        return math.log(p)
+
+    found, languages = language_id.fit(docs), sorted(levels)
+    assert found.models.languages == languages
+    answers = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    for r in rows[::9]:
+        grams = [g for w in words(r["text"][:3000]) for p in ["\x02" * 4 + w + "\x03"] for g in (p[i : i + order] for i in range(len(w) + 1))]
+        if grams:
+            want = [-sum(log_p(lang, g) for g in grams) / len(grams) for lang in languages]
+            x = found.entropies([r["text"][:3000]])[0]
+            assert x[:-1] == pytest.approx(want) and x[-1] == len(grams)
+            if len(r["text"]) <= 3000:
+                share = [math.exp(-(e - min(want)) * found.temperature) for e in want]
+                assert answers[r["doc_id"]]["lang_pred"] == languages[int(np.argmin(want))]
+                assert answers[r["doc_id"]]["score"] == pytest.approx(max(share) / sum(share))
+
+
+def test_rare_languages_learn_from_the_calibration_part(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 3]
+    rows = [(str(i), "the house is on the hill and the road is long " * 3, "en") for i in range(200)] + [(str(i), "zzyx qwvk xxyz kvwq " * 5, "xx") for i in ids[-3:]]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs).collect()} == {i: lang for i, _, lang in rows}
+
+
+def plain_quality(docs, labels, host, path, margins):
+    """Posteriors and scores with loops over documents and sites."""
+    learn = learnable(labels, "quality")
+    rows = [(r["doc_id"], r[host], r[path]) for r in docs.collect()]
+    good = {i: learn.get(i, sigmoid(margins[i])) for i, _, _ in rows}
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for i, h, p in rows:
+        hosts[h].append(good[i])
+        paths[h, p].append(good[i])
+    clip = lambda x, e: min(max(x, e), 1 - e)
+    mean = clip(sum(good.values()) / len(good), 1e-4)
+
+    def strength(groups, priors):
+        n = [len(g) for g in groups]
+        draw = sum(len(g) * m * (1 - m) for g, m in zip(groups, priors, strict=True)) / sum(n)
+        between = sum(len(g) * (sum(g) / len(g) - m) ** 2 for g, m in zip(groups, priors, strict=True))
+        room = max(sum(n) - sum(x * x for x in n) / sum(n), 1e-9)
+        own = max((between - (len(n) - 1) * draw) / room, 0)
+        return min(max(draw / max(own, 1e-12) - 1, 1), 1e4)
+
+    hs = strength(list(hosts.values()), [mean] * len(hosts))
+    of = {h: clip(sum(g) / len(g), 1e-4) for h, g in hosts.items()}
+    ps = strength(list(paths.values()), [of[h] for h, _ in paths])
+    odds = lambda x: math.log(clip(x, 1e-6) / (1 - clip(x, 1e-6)))
+    out = {}
+    for i, h, p in rows:
+        up = (sum(hosts[h]) - good[i] + hs * mean) / (len(hosts[h]) - 1 + hs)
+        own = (sum(paths[h, p]) - good[i] + ps * up) / (len(paths[h, p]) - 1 + ps)
+        out[i] = (up, own, 1 / (1 + math.exp(-(margins[i] + odds(own) - odds(mean)))))
+    return out
+
+
+def test_quality_by_brute_force(spark, small):
+    docs, labels = small("documents", "sf0.01"), small("labels", "sf0.01")
+    model = quality.fit(docs, labels)
+    margins = {r["doc_id"]: walk(model, quality.features(r["text"])) for r in docs.collect()}
+    want = plain_quality(docs, labels, "source", "lang", margins)
+    for r in quality.quality(docs, labels).collect():
+        assert (r["host_posterior"], r["path_posterior"], r["score"]) == pytest.approx(want[r["doc_id"]], rel=1e-9)
+
+
+def test_hosts_and_paths_of_addresses(spark):
+    urls = ["https://user@Example.org:8080/a/b?x=1", "http://example.org/a", "//example.org/b", "nothing", None, "https://other.example"]
+    docs = spark.createDataFrame([(i, "some text", u, f"h{i % 2}") for i, u in enumerate(urls)], "doc_id long, text string, url string, shop string")
+    host, path = quality.site(docs)
+    assert [tuple(r) for r in docs.select(host, path).collect()] == [("example.org", "/a"), ("example.org", "/a"), (None, "/b"), (None, ""), (None, None), ("other.example", "")]
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    assert quality.quality(docs, labels).count() == 6
+    own = quality.quality(docs, labels, host=docs["shop"], path=docs["url"])
+    assert own.count() == 6

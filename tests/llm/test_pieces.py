@@ -57,14 +57,17 @@ def test_scan_equals_library(model, library, seed):
     for text in texts(rng):
         want = library.encode(text)
         full = pieces.SPACE + text.replace(" ", pieces.SPACE)
-        assert model.numbers(model.merge(full)) == model.encode(full) == want
+        assert model.numbers(model.merge(full)) == model.encode(full).tolist() == want
         for size in (64, 100, 257):
             assert chunked(model, text, size) == want
         assert model.decode(want) == library.decode(want)
 
 
-def test_encode_documents(spark, odd, nothing, library, small):
-    for docs, chunk in ((odd, 4096), (small("documents"), 512)):
+@pytest.mark.parametrize("wide", [64, 3])
+def test_encode_documents(spark, odd, nothing, library, small, monkeypatch, wide):
+    # Products of three matrices make a tree of several levels.
+    monkeypatch.setattr(pieces, "WIDE", wide)
+    for docs, chunk in ((odd, 4096),) if wide == 3 else ((odd, 4096), (small("documents"), 512)):
         found = pieces.encode(docs, MODEL_FILE, chunk=chunk)
         rows = found.collect()
         text = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -104,6 +107,19 @@ def test_top_k_by_brute_force(spark, shard):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e6, 1e9, 1e15])
+def test_top_k_is_exact_for_large_components(spark, scale):
+    """Products pass 2^53 at a scale of 10^6 and 2^63 at 10^9; pairs whose scores differ by a unit are told apart."""
+    rng = np.random.default_rng(5)
+    vectors = [(i, (rng.normal(size=5) * scale).tolist()) for i in range(0, 120, 2)]
+    vectors += [(i + 1, [*v[:4], v[4] + 1 / 256]) for i, v in vectors[:20]]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    found = topk.top_k(df, every=50, k=5, shard_rows=30, block_rows=2, copy_blocks=1)
+    within = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    whole = [(i, tuple(int(np.floor(x * 256)) for x in v)) for i, v in vectors]
+    assert {tuple(r) for r in found.collect()} == {(*r[:3], within(r[3])) for r in brute(whole, 50, 5)}
+
+
 def test_top_k_with_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0]), (50, [-1.0]), (3, [0.5])], "vec_id long, embedding array<float>")
     assert {tuple(r) for r in topk.top_k(df).collect()} == {(0, 1, 3, 32768), (0, 2, 50, -65536), (50, 1, 3, -32768), (50, 2, 0, -65536)}
