@@ -151,10 +151,17 @@ class Community:
         return self.nodes.join(own, "id", "left").select("id", F.coalesce("_top", "id").alias("label"))
 
     def sbm(self: Graph, sweeps: int = 10_000, most_groups: int = 25, chains: int = 1, seed: int = 1) -> DataFrame:
-        """COM-4, COM-5. ``chain, sweep, groups, log_probability``: independent seeded chains, one task each.
+        """COM-4. ``chain, sweep, groups, log_probability``: independent seeded chains, one task each.
 
         The share of sweeps with k groups after a burn-in is the posterior of k. Weights are ignored.
         """
+        return self._chains(kernels.sample_blocks, sweeps, most_groups, chains, seed)
+
+    def sbm_heat_bath(self: Graph, sweeps: int = 10_000, most_groups: int = 40, chains: int = 1, seed: int = 1) -> DataFrame:
+        """COM-5. The same columns from the older sampler, whose groups may be empty and whose vertices move by heat bath."""
+        return self._chains(kernels.sample_blocks_heat, sweeps, most_groups, chains, seed)
+
+    def _chains(self: Graph, sample, sweeps: int, most_groups: int, chains: int, seed: int) -> DataFrame:
         self.require_undirected("the block model")
         n = self.num_nodes
         rows = self.cells.select("src", "dst").unionByName(self.spark.range(1).select(F.lit(-1).cast("long").alias("src"), F.lit(-1).cast("long").alias("dst")))
@@ -162,7 +169,7 @@ class Community:
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             chain, real = int(pdf["chain"].iloc[0]), pdf[pdf["src"] >= 0].sort_values(["src", "dst"])
-            found = kernels.sample_blocks(real["src"].to_numpy(), real["dst"].to_numpy(), n, sweeps, most_groups, seed * 1009 + chain)
+            found = sample(real["src"].to_numpy(), real["dst"].to_numpy(), n, sweeps, most_groups, seed * 1009 + chain)
             return pd.DataFrame({"chain": chain, "sweep": [x[0] for x in found], "groups": [x[1] for x in found], "log_probability": [x[2] for x in found]})
 
         return each.groupBy("chain").applyInPandas(run, "chain int, sweep int, groups int, log_probability double")

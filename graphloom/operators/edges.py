@@ -12,7 +12,7 @@ from ..functions import single
 if TYPE_CHECKING:
     from ..model import Graph
 
-#: Dense results have the square of the vertex count as rows; more than so many have to be asked for.
+#: Dense results have the square of the vertex count as rows; for more vertices than this they have to be asked for with ``limit=None``.
 DENSE_LIMIT = 20_000
 
 
@@ -66,28 +66,28 @@ class EdgeAccess:
         """PRJ-4."""
         return self.like(self.cells.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
-    def _square(self: Graph, what: str) -> DataFrame:
-        if self.num_nodes > DENSE_LIMIT:
-            raise ValueError(f"{what} of {self.num_nodes} vertices would have {self.num_nodes**2} cells")
+    def _square(self: Graph, what: str, limit: int | None) -> DataFrame:
+        if limit is not None and self.num_nodes > limit:
+            raise ValueError(f"{what} of {self.num_nodes} vertices would have {self.num_nodes**2} cells; limit=None allows it")
         n = self.num_nodes
         # Rows of the square are made from one range, so every task makes its own share.
         return self.spark.range(n * n).select(F.expr(f"id div {max(n, 1)}").alias("src"), (F.col("id") % max(n, 1)).alias("dst"))
 
-    def invert(self: Graph, max_weight: float = 1.0, self_loops: bool = True) -> Graph:
+    def invert(self: Graph, max_weight: float = 1.0, self_loops: bool = True, limit: int | None = DENSE_LIMIT) -> Graph:
         """PRJ-5. Weighted complement: ``max_weight`` less the weight, where that is above 0, and ``max_weight`` where there was no edge.
 
         Absent cells come out whatever ``max_weight`` is, also 0 or less. The result is dense; its size is checked.
         """
         top = single(F.lit(max_weight))
-        every = self._square("the complement")
+        every = self._square("the complement", limit)
         if not self_loops:
             every = every.where("src <> dst")
         left = every.join(self.cells, ["src", "dst"], "left").withColumn("_new", single(top - F.col("weight")))
         return self.like(left.where("weight is null or _new > 0").select("src", "dst", F.coalesce("_new", top).alias("weight")))
 
-    def nonexistent(self: Graph) -> DataFrame:
+    def nonexistent(self: Graph, limit: int | None = DENSE_LIMIT) -> DataFrame:
         """ITR-5. Pairs without an edge."""
-        return self._square("the complement").join(self.cells, ["src", "dst"], "left_anti")
+        return self._square("the complement", limit).join(self.cells, ["src", "dst"], "left_anti")
 
     def row_with_absent(self: Graph, i: int) -> DataFrame:
         """ITR-6. All vertices with the weight of the edge from ``i``, null where there is none."""
@@ -100,9 +100,9 @@ class EdgeAccess:
         b = self.cells.where(F.col("src") == j).select("dst", F.col("weight").alias("weight_j"))
         return a.join(b, "dst", "full_outer")
 
-    def matrix(self: Graph) -> DataFrame:
+    def matrix(self: Graph, limit: int | None = DENSE_LIMIT) -> DataFrame:
         """SNK-7. All cells of the square, 0 where there is no edge."""
-        return self._square("the matrix").join(self.cells, ["src", "dst"], "left").select("src", "dst", F.coalesce("weight", F.lit(0.0).cast("float")).alias("weight"))
+        return self._square("the matrix", limit).join(self.cells, ["src", "dst"], "left").select("src", "dst", F.coalesce("weight", F.lit(0.0).cast("float")).alias("weight"))
 
     def resize(self: Graph, num_nodes: int) -> Graph:
         """PRJ-7. Vertices beyond go with their edges; new ones have none."""

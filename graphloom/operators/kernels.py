@@ -144,11 +144,11 @@ def spread_labels(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
     return labels
 
 
-def sample_blocks(src: np.ndarray, dst: np.ndarray, n: int, sweeps: int, most: int, seed: int) -> list[tuple[int, int, float]]:
+def sample_blocks(src: np.ndarray, dst: np.ndarray, n: int, sweeps: int, most: int, seed: int, states: list | None = None) -> list[tuple[int, int, float]]:
     """(sweep, groups, log probability) of a degree-corrected block model whose number of groups is sampled along.
 
     Moves take a vertex to another group or to a new one; a group that loses its last vertex goes. Acceptance is that of Metropolis and
-    Hastings for exactly these proposals.
+    Hastings for exactly these proposals. ``states`` gets the groups of all vertices after each sweep.
     """
     rng = np.random.default_rng(seed)
     keep = src != dst
@@ -241,4 +241,83 @@ def sample_blocks(src: np.ndarray, dst: np.ndarray, n: int, sweeps: int, most: i
                     g[u] = s
                 sizes, kappa, m, k = size2, kappa2, m2, k2
         out.append((sweep, k, k * prior + parts(sizes, kappa, m, list(range(k)))))
+        if states is not None:
+            states.append((g.copy(), k))
+    return out
+
+
+def sample_blocks_heat(src: np.ndarray, dst: np.ndarray, n: int, sweeps: int, most: int, seed: int, states: list | None = None) -> list[tuple[int, int, float]]:
+    """(sweep, groups, log probability) of the same kind of block model where groups may be empty; vertices move by heat bath.
+
+    A move draws a vertex and gives it a group in proportion to the probability of the state that results. Before one move in n + 1 the
+    number of groups may change: half of the time an empty group goes, otherwise one comes with probability groups / (n + groups). ``states``
+    gets the groups of all vertices after each sweep.
+    """
+    rng = np.random.default_rng(seed)
+    keep = src != dst
+    src, dst = src[keep], dst[keep]
+    order = np.argsort(src, kind="stable")
+    neighbours = np.split(dst[order], np.cumsum(np.bincount(src, minlength=n))[:-1]) if n else []
+    degree = np.array([len(x) for x in neighbours], int)
+    density = degree.sum() / (n * n) if n else 0.0
+    factorials = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 2 * degree.sum() + n + 2)))])
+    g = rng.integers(0, most, n)
+    k = most
+    sizes, kappa = np.bincount(g, minlength=k), np.bincount(g, degree, minlength=k).astype(int)
+    m = np.zeros((k, k), int)
+    np.add.at(m, (g[src], g[dst]), 1)
+
+    def own(size: np.ndarray, ends: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """Of a group by itself; ``inner`` counts each inner link twice."""
+        some = np.maximum(size, 1)
+        value = factorials[size] + ends * np.log(some) + factorials[some - 1] - factorials[ends + some - 1]
+        value = value + factorials[inner // 2] - (inner // 2 + 1) * np.log(0.5 * density * size * size + 1)
+        return np.where(size > 0, value, 0.0)
+
+    def cross(links: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return factorials[links] - (links + 1) * np.log(density * a * b + 1)
+
+    def energy() -> float:
+        upper = np.triu(cross(m, sizes[:, None], sizes[None, :]), 1).sum()
+        return float(own(sizes, kappa, np.diag(m)).sum() + upper)
+
+    value, out = energy() if n else 0.0, []
+    for sweep in range(sweeps):
+        for _ in range(n):
+            if rng.random() * (n + 1) < 1:
+                empty = np.flatnonzero(sizes == 0)
+                if rng.random() < 0.5:
+                    if len(empty):
+                        gone = int(rng.choice(empty))
+                        left = np.delete(np.arange(k), gone)
+                        sizes, kappa, m, g, k = sizes[left], kappa[left], m[np.ix_(left, left)], g - (g > gone), k - 1
+                elif rng.random() * (n + k) < k and k < most:
+                    sizes, kappa, m, k = np.append(sizes, 0), np.append(kappa, 0), np.pad(m, (0, 1)), k + 1
+            u = int(rng.integers(0, n))
+            r, d, ends = int(g[u]), np.bincount(g[neighbours[u]], minlength=k), degree[u]
+            every = np.arange(k)
+            other = (every[:, None] != every[None, :]) & (every[None, :] != r)
+            # A row for each group s that the vertex could go to: what the pairs of r and s with all third groups were and would be.
+            thirds = cross(m[r] - d, sizes[r] - 1, sizes) - cross(m[r], sizes[r], sizes)
+            change = np.where(other, thirds[None, :], 0.0).sum(axis=1)
+            change += np.where(other, cross(m + d[None, :], sizes[:, None] + 1, sizes[None, :]) - cross(m, sizes[:, None], sizes[None, :]), 0.0).sum(axis=1)
+            met = np.where(every == r, 0, m[r] + d[r] - d)
+            change += cross(met, sizes[r] - 1, sizes + 1) - cross(m[r], sizes[r], sizes)
+            change += own(sizes + 1, kappa + ends, np.diag(m) + 2 * d) - own(sizes, kappa, np.diag(m))
+            change += own(sizes[r] - 1, kappa[r] - ends, m[r, r] - 2 * d[r]) - own(sizes[r], kappa[r], m[r, r])
+            change[r] = 0.0
+            share = np.cumsum(np.exp(change - change.max()))
+            s = min(int(np.searchsorted(share, rng.random() * share[-1], side="right")), k - 1)
+            if s != r:
+                g[u] = s
+                sizes[r], sizes[s] = sizes[r] - 1, sizes[s] + 1
+                kappa[r], kappa[s] = kappa[r] - ends, kappa[s] + ends
+                m[r] -= d
+                m[:, r] -= d
+                m[s] += d
+                m[:, s] += d
+                value += float(change[s])
+        out.append((sweep, k, value))
+        if states is not None:
+            states.append((g.copy(), k))
     return out

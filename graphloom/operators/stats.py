@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ratio
+from ..runtime import stash
 
 if TYPE_CHECKING:
     from ..model import Graph
@@ -91,27 +92,31 @@ class Statistics:
     def reciprocity(self: Graph) -> float:
         return self.reciprocity_table().first()["reciprocity"]
 
-    def triangles(self: Graph) -> DataFrame:
-        """``a, b, c``: each triangle once.
+    def _closed_links(self: Graph) -> DataFrame:
+        """``a, b, cs``: for each link the vertices that close it to a triangle, so that each triangle stands in one row.
 
-        Edges point from the lower to the higher degree (ties by id), so that even a hub has few outgoing edges: pairs of
-        them are at most links to the power 1.5 in all. A third edge closes each pair.
+        Links point from the lower to the higher degree (ties by id), so that even a hub has few outgoing links. The lists of targets are written once; a
+        link's two lists meet and are intersected, which moves lists and not every pair of targets.
         """
         self.require_undirected("a triangle")
         plain = self.cells.where("src <> dst").select("src", "dst")
         degrees = plain.groupBy("src").agg(F.count("*").alias("d"))
         ends = plain.join(degrees, "src").withColumnRenamed("d", "_ds").join(degrees.select(F.col("src").alias("dst"), F.col("d").alias("_dd")), "dst")
-        up = ends.where(F.struct("_ds", "src") < F.struct("_dd", "dst")).select("src", "dst", F.struct(F.col("_dd").alias("d"), F.col("dst").alias("v")).alias("_rank"))
-        other = up.select(F.col("src"), F.col("dst").alias("_dst2"), F.col("_rank").alias("_rank2"))
-        wedges = up.join(other, "src").where("_rank < _rank2").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("_dst2").alias("c"))
-        return wedges.join(up.select(F.col("src").alias("b"), F.col("dst").alias("c")), ["b", "c"]).select("a", "b", "c")
+        near = stash(ends.where(F.struct("_ds", "src") < F.struct("_dd", "dst")).groupBy("src").agg(F.collect_list("dst").alias("near")))
+        links = near.select(F.col("src").alias("a"), "near", F.explode("near").alias("b"))
+        met = links.join(near.select(F.col("src").alias("b"), F.col("near").alias("_near2")), "b")
+        return met.select("a", "b", F.array_intersect("near", "_near2").alias("cs")).where(F.size("cs") > 0)
+
+    def triangles(self: Graph) -> DataFrame:
+        """``a, b, c``: each triangle once."""
+        return self._closed_links().select("a", "b", F.explode("cs").alias("c"))
 
     def _triples(self: Graph) -> DataFrame:
         return self.cells.where("src <> dst").groupBy(F.col("src").alias("id")).agg((F.count("*") * (F.count("*") - 1)).alias("_triples"))
 
     def transitivity_table(self: Graph) -> DataFrame:
         """AGG-13. Closed ordered triples over all; 0 without a triangle."""
-        closed, every = self.triangles().agg((6 * F.count("*")).alias("_closed")), self._triples().agg(F.coalesce(F.sum("_triples"), F.lit(0)).alias("_every"))
+        closed, every = self._closed_links().agg((6 * F.coalesce(F.sum(F.size("cs")), F.lit(0))).alias("_closed")), self._triples().agg(F.coalesce(F.sum("_triples"), F.lit(0)).alias("_every"))
         # Two single rows.
         return closed.crossJoin(F.broadcast(every)).select(F.when(F.col("_closed") == 0, F.lit(0.0)).otherwise(ratio(F.col("_closed"), F.col("_every"))).alias("transitivity"))
 
@@ -120,6 +125,9 @@ class Statistics:
 
     def clustering_coefficient(self: Graph) -> DataFrame:
         """AGG-14. ``id, value``: closed ordered triples at the vertex over all of its triples; 0 without a triangle."""
-        closed = self.triangles().select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg((2 * F.count("*")).alias("_closed"))
+        # A link's ends are in all of its triangles, each closing vertex in one.
+        n = F.size("cs")
+        ends = F.concat(F.array(F.struct(F.col("a").alias("id"), n.alias("n")), F.struct(F.col("b").alias("id"), n.alias("n"))), F.transform("cs", lambda c: F.struct(c.alias("id"), F.lit(1).alias("n"))))
+        closed = self._closed_links().select(F.inline(ends)).groupBy("id").agg((2 * F.sum("n")).alias("_closed"))
         own = self._triples().join(closed, "id").select("id", ratio(F.col("_closed"), F.col("_triples")).alias("value"))
         return self.nodes.join(own, "id", "left").select("id", F.coalesce("value", F.lit(0.0)).alias("value"))

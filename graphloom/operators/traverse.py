@@ -24,11 +24,12 @@ class Traversal:
         """No row for a start out of range."""
         return self.spark.range(1 if 0 <= start < self.num_nodes else 0).select(F.lit(start).cast("long").alias("source"))
 
-    def hop_tree(self: Graph, starts: DataFrame, most: int | None = None) -> DataFrame:
+    def hop_tree(self: Graph, starts: DataFrame, most: int | None = None, until: int | None = None) -> DataFrame:
         """``source, from, to, count, weight`` for each vertex that a source reaches in ``most`` hops.
 
         Of several parents at the same distance the least id is taken; ``weight`` adds up along the parents, in the start it is 0 and
-        the parent null. A vertex is joined with the edges once for each source, in the round after it was reached.
+        the parent null. A vertex is joined with the edges once for each source, in the round after it was reached. With ``until`` the rounds end when
+        one has reached that vertex.
         """
         first = starts.select("source", F.lit(None).cast("long").alias("from"), F.col("source").alias("to"), F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("weight"))
         rounds, hops = [stash(first)], 0
@@ -36,19 +37,22 @@ class Traversal:
             hops += 1
             edge = self.cells.select(F.col("src").alias("to"), "dst", F.col("weight").cast("double").alias("_w"))
             ways = rounds[-1].join(edge, "to").groupBy("source", "dst").agg(F.min(F.struct(F.col("to").alias("from"), (F.col("weight") + F.col("_w")).alias("weight"))).alias("way"))
-            known = reduce(DataFrame.unionByName, rounds).select("source", F.col("to").alias("dst"))
+            # Undirected: a neighbour of the last round is in that round, the one before, or new.
+            known = reduce(DataFrame.unionByName, rounds if self.directed else rounds[-2:]).select("source", F.col("to").alias("dst"))
             new = ways.join(known, ["source", "dst"], "left_anti")
             found = stash(new.select("source", "way.from", F.col("dst").alias("to"), F.lit(hops).cast("long").alias("count"), "way.weight"))
             if found.isEmpty():
                 drop_stash(found)
                 break
             rounds.append(found)
+            if until is not None and not found.where(F.col("to") == until).isEmpty():
+                break
         return reduce(DataFrame.unionByName, rounds)
 
-    def weight_tree(self: Graph, starts: DataFrame, most: float | None = None) -> DataFrame:
+    def weight_tree(self: Graph, starts: DataFrame, most: float | None = None, until: int | None = None) -> DataFrame:
         """The same by least weight: relaxation until nothing improves, by weight, then hops, then parent's id.
 
-        Only rows that improved go into the next round. Negative weights raise ValueError.
+        Only rows that improved go into the next round. With ``until`` (and one source), ways that are longer than one to that vertex aren't followed. Negative weights raise ValueError.
         """
         if not self.cells.where("weight < 0").isEmpty():
             raise ValueError("shortest paths need weights of 0 or more")
@@ -57,6 +61,9 @@ class Traversal:
         while not best.where("new").isEmpty():
             edge = self.cells.select(F.col("src").alias("to"), "dst", F.col("weight").cast("double").alias("_w"))
             tried = best.where("new").join(edge, "to").select("source", F.col("dst").alias("_to"), (F.col("weight") + F.col("_w")).alias("weight"), (F.col("count") + 1).alias("count"), F.col("to").alias("from"))
+            if until is not None:
+                found = best.where(F.col("to") == until).agg(F.min("weight").alias("w")).first()["w"]
+                most = found if most is None else most if found is None else min(most, found)
             if most is not None:
                 tried = tried.where(F.col("weight") <= most)
             tried = tried.groupBy("source", F.col("_to").alias("to")).agg(F.min(way).alias("way"))
@@ -79,12 +86,12 @@ class Traversal:
 
     def distance_count(self: Graph, i: int, j: int) -> int | None:
         """TRV-2. Hops, null if ``j`` can't be reached."""
-        row = self.hop_tree(self._starts(i)).where(F.col("to") == j).first()
+        row = self.hop_tree(self._starts(i), most=0 if i == j else None, until=j).where(F.col("to") == j).first()
         return row["count"] if row else None
 
     def distance_weight(self: Graph, i: int, j: int) -> float:
         """TRV-3. Least weight, infinite if ``j`` can't be reached."""
-        row = self.weight_tree(self._starts(i)).where(F.col("to") == j).first()
+        row = self.weight_tree(self._starts(i), until=j).where(F.col("to") == j).first()
         return row["weight"] if row else float("inf")
 
     def all_distances_count(self: Graph, start: int, most: int | None = None) -> DataFrame:

@@ -27,6 +27,19 @@ TRADE = """e AS (SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst,
   v AS (SELECT n_nationkey::BIGINT AS id FROM nation), l AS (SELECT n_nationkey::BIGINT AS id, n_regionkey::BIGINT AS label FROM nation)"""
 
 
+def follow(spark: SparkSession, sf_dir: str) -> Graph:
+    """Directed: from the part of each line of an order to the part of its next line, weighted by such lines."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("_no"), F.col("l_partkey").alias("src"))
+    after = lines.select("l_orderkey", (F.col("_no") - 1).alias("_no"), F.col("src").alias("dst"))
+    cells = lines.join(after, ["l_orderkey", "_no"]).groupBy(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).agg(F.count("*").cast("float").alias("weight"))
+    return Graph(cells, table(spark, sf_dir, "part").count(), directed=True)
+
+
+FOLLOW = """e AS (SELECT a.l_partkey::BIGINT AS src, b.l_partkey::BIGINT AS dst, count(*)::FLOAT AS weight
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 GROUP BY 1, 2),
+  v AS (SELECT unnest(range((SELECT count(*) FROM part))) AS id), l AS (SELECT p_partkey::BIGINT AS id, p_size::BIGINT AS label FROM part)"""
+
+
 def partners(spark: SparkSession, sf_dir: str) -> Graph:
     """Undirected: nations, weighted by the line items in both directions that exceed an even share of all.
 

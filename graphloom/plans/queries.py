@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..model import Graph
 from ..operators import labels as L
 from ..operators.report import adj_rand_index_comp_table, metric_report
+from ..runtime import shared_root
 from ..sources import text
 from . import graphs as G
 
@@ -63,12 +65,12 @@ CELLS = f"SELECT src, dst, {_r('weight')} AS weight FROM"
 
 # Projections and filters -------------------------------------------------------------------------
 _edges("edges_scan", G.copart, lambda g, *_: g.edges(), G.COPART, f"{CELLS} e WHERE dst >= src")
-_edges("edges_transpose", G.trade, lambda g, *_: g.transpose(), G.TRADE, f"SELECT dst AS src, src AS dst, {_r('weight')} AS weight FROM e")
-_edges("edges_scale", G.trade, lambda g, *_: g.multiply_const(0.1), G.TRADE, f"SELECT src, dst, {_r('(weight::DOUBLE * 0.1::DOUBLE)::FLOAT')} AS weight FROM e")
+_edges("edges_transpose", G.follow, lambda g, *_: g.transpose(), G.FOLLOW, f"SELECT dst AS src, src AS dst, {_r('weight')} AS weight FROM e")
+_edges("edges_scale", G.follow, lambda g, *_: g.multiply_const(0.1), G.FOLLOW, f"SELECT src, dst, {_r('(weight::DOUBLE * 0.1::DOUBLE)::FLOAT')} AS weight FROM e")
 _edges("edges_clamp", G.copart, lambda g, *_: g.clamp(2, 3), G.COPART, f"SELECT src, dst, {_r('CASE WHEN weight < 2 THEN 2 WHEN weight > 3 THEN 3 ELSE weight END')} AS weight FROM e")
 _edges("edges_clamp_inverted_bounds", G.copart, lambda g, *_: g.clamp(3, 2), G.COPART, f"SELECT src, dst, {_r('CASE WHEN weight < 3 THEN 3 WHEN weight > 2 THEN 2 ELSE weight END')} AS weight FROM e")
 _edges("edges_filter_weights", G.copart, lambda g, *_: g.filter_weights(2, 3), G.COPART, f"{CELLS} e WHERE weight BETWEEN 2 AND 3")
-_edges("edges_filter_labels", G.trade, lambda g, s, d: g.filter_labels(G.regions(s, d)), G.TRADE, f"{CELLS} e JOIN l a ON src = a.id JOIN l b ON dst = b.id WHERE a.label <> b.label")
+_edges("edges_filter_labels", G.follow, lambda g, s, d: g.filter_labels(G.part_sizes(s, d)), G.FOLLOW, f"{CELLS} e JOIN l a ON src = a.id JOIN l b ON dst = b.id WHERE a.label <> b.label")
 _edges("edges_invert", G.partners, lambda g, *_: g.invert(1000, False), G.PARTNERS, f"SELECT a.id AS src, b.id AS dst, {_r('coalesce((1000 - weight)::FLOAT, 1000)')} AS weight FROM v a CROSS JOIN v b LEFT JOIN e ON src = a.id AND dst = b.id WHERE a.id <> b.id AND (weight IS NULL OR 1000 - weight > 0)")
 _edges("edges_resize", G.copart, lambda g, *_: g.resize(g.num_nodes // 2), G.COPART, f"{CELLS} e WHERE src < (SELECT count(*) // 2 FROM part) AND dst < (SELECT count(*) // 2 FROM part)")
 _edges("edges_lower_triangle", G.partners, lambda g, *_: g.lower_triangle(), G.PARTNERS, f"{CELLS} e WHERE dst <= src")
@@ -79,26 +81,32 @@ _edges("edges_row_with_absent", G.copart, lambda g, *_: g.row_with_absent(7), G.
 _add("edges_merged_rows", lambda s, d: _round(G.copart(s, d).merged_rows(7, 8), "weight_i", "weight_j"), f"WITH {G.COPART} SELECT dst, {_r('a.weight')} AS weight_i, {_r('b.weight')} AS weight_j FROM (SELECT dst, weight FROM e WHERE src = 7) a FULL JOIN (SELECT dst, weight FROM e WHERE src = 8) b USING (dst)")
 _add("edges_point", lambda s, d: s.createDataFrame([(G.trade(s, d).get_edge(1, 2), G.trade(s, d).has_edge(1, 2))], "weight double, has boolean"), f"WITH {G.TRADE} SELECT coalesce(max(weight), 0)::DOUBLE AS weight, count(*) > 0 AS has FROM e WHERE src = 1 AND dst = 2")
 
-# Edits: the batch holds each customer's nation against its market, so it has pairs that the graph has and pairs out of range.
-BATCH = "b AS (SELECT c_custkey AS seq, c_nationkey::BIGINT AS src, (c_custkey % 30)::BIGINT AS dst, (c_custkey % 97)::FLOAT AS weight FROM customer), r AS (SELECT * FROM b WHERE dst < 25)"
+# Edits: the batch holds the parts of each order's first two lines, so pairs that the graph has, and pairs by key, some of them repeated or out of range.
+BATCH = """b AS (SELECT a.l_orderkey * 2 AS seq, a.l_partkey::BIGINT AS src, b.l_partkey::BIGINT AS dst, (a.l_orderkey % 97)::FLOAT AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2
+  UNION ALL SELECT o_orderkey * 2 + 1, (o_custkey % 50)::BIGINT, (o_orderkey % (p.n + 20))::BIGINT, (o_orderkey % 89)::FLOAT FROM orders, (SELECT count(*) AS n FROM part) p), r AS (SELECT * FROM b WHERE dst < (SELECT count(*) FROM part))"""
 
 
 def _batch(s: SparkSession, d: str) -> DataFrame:
-    return G.table(s, d, "customer").select(F.col("c_custkey").alias("seq"), F.col("c_nationkey").cast("long").alias("src"), (F.col("c_custkey") % 30).alias("dst"), (F.col("c_custkey") % 97).cast("float").alias("weight"))
+    n = G.table(s, d, "part").count()
+    lines = G.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("long").alias("p"))
+    first, second = lines.where("l_linenumber = 1").withColumnRenamed("p", "src"), lines.where("l_linenumber = 2").withColumnRenamed("p", "dst").drop("l_linenumber")
+    known = first.join(second, "l_orderkey").select((F.col("l_orderkey") * 2).alias("seq"), "src", "dst", (F.col("l_orderkey") % 97).cast("float").alias("weight"))
+    orders = G.table(s, d, "orders").select((F.col("o_orderkey") * 2 + 1).alias("seq"), (F.col("o_custkey") % 50).cast("long").alias("src"), (F.col("o_orderkey") % (n + 20)).cast("long").alias("dst"), (F.col("o_orderkey") % 89).cast("float").alias("weight"))
+    return known.unionByName(orders)
 
 
-_edges("edit_set", G.trade, lambda g, s, d: g.set_edges(_batch(s, d)), f"{G.TRADE}, {BATCH}", f"SELECT src, dst, {_r('arg_max(weight, seq)')} AS weight FROM (SELECT -1 AS seq, src, dst, weight FROM e UNION ALL SELECT seq, src, dst, weight FROM r) GROUP BY 1, 2")
-_edges("edit_add", G.trade, lambda g, s, d: g.add_edges(_batch(s, d)), f"{G.TRADE}, {BATCH}", f"SELECT src, dst, {_r('sum(weight)')} AS weight FROM (SELECT src, dst, weight FROM e UNION ALL SELECT src, dst, weight FROM r) GROUP BY 1, 2")
+_edges("edit_set", G.follow, lambda g, s, d: g.set_edges(_batch(s, d)), f"{G.FOLLOW}, {BATCH}", f"SELECT src, dst, {_r('arg_max(weight, seq)')} AS weight FROM (SELECT -1 AS seq, src, dst, weight FROM e UNION ALL SELECT seq, src, dst, weight FROM r) GROUP BY 1, 2")
+_edges("edit_add", G.follow, lambda g, s, d: g.add_edges(_batch(s, d)), f"{G.FOLLOW}, {BATCH}", f"SELECT src, dst, {_r('sum(weight)')} AS weight FROM (SELECT src, dst, weight FROM e UNION ALL SELECT src, dst, weight FROM r) GROUP BY 1, 2")
 for _name, _fold, _pick in (("min", "min", "least"), ("max", "max", "greatest")):
-    _edges(f"edit_{_name}", G.trade, lambda g, s, d, m=_name: getattr(g, f"{m}_edges")(_batch(s, d)), f"{G.TRADE}, {BATCH}, n AS (SELECT src, dst, {_fold}(weight) AS w FROM r GROUP BY 1, 2)", f"SELECT src, dst, {_r(f'CASE WHEN w IS NULL THEN weight ELSE {_pick}(coalesce(weight, 0), w) END')} AS weight FROM e FULL JOIN n USING (src, dst)")
-_edges("edit_delete", G.trade, lambda g, s, d: g.del_edges(_batch(s, d)), f"{G.TRADE}, {BATCH}", f"{CELLS} e ANTI JOIN r USING (src, dst)")
+    _edges(f"edit_{_name}", G.follow, lambda g, s, d, m=_name: getattr(g, f"{m}_edges")(_batch(s, d)), f"{G.FOLLOW}, {BATCH}, n AS (SELECT src, dst, {_fold}(weight) AS w FROM r GROUP BY 1, 2)", f"SELECT src, dst, {_r(f'CASE WHEN w IS NULL THEN weight ELSE {_pick}(coalesce(weight, 0), w) END')} AS weight FROM e FULL JOIN n USING (src, dst)")
+_edges("edit_delete", G.follow, lambda g, s, d: g.del_edges(_batch(s, d)), f"{G.FOLLOW}, {BATCH}", f"{CELLS} e ANTI JOIN r USING (src, dst)")
 
-# Contraction of nation 2 into nation 1.
+# Contraction of vertex 2 into vertex 1.
 _to = "CASE WHEN {0} = 2 THEN 1 ELSE {0} END"
-_edges("merge_add", G.trade, lambda g, *_: g.merge_nodes_add(1, 2), G.TRADE, f"SELECT {_to.format('src')} AS src, {_to.format('dst')} AS dst, {_r('sum(weight)')} AS weight FROM e GROUP BY 1, 2")
-_edges("merge_labels", G.trade, lambda g, s, d: g.contract(G.regions(s, d)), G.TRADE, f"SELECT a.label AS src, b.label AS dst, {_r('sum(weight)')} AS weight FROM e JOIN l a ON src = a.id JOIN l b ON dst = b.id GROUP BY 1, 2")
+_edges("merge_add", G.follow, lambda g, *_: g.merge_nodes_add(1, 2), G.FOLLOW, f"SELECT {_to.format('src')} AS src, {_to.format('dst')} AS dst, {_r('sum(weight)')} AS weight FROM e GROUP BY 1, 2")
+_edges("merge_labels", G.follow, lambda g, s, d: g.contract(G.part_sizes(s, d)), G.FOLLOW, f"SELECT a.label AS src, b.label AS dst, {_r('sum(weight)')} AS weight FROM e JOIN l a ON src = a.id JOIN l b ON dst = b.id GROUP BY 1, 2")
 for _name, _pick in (("min", "least"), ("max", "greatest")):
-    _edges(f"merge_{_name}", G.trade, lambda g, *_, m=_name: getattr(g, f"merge_nodes_{m}")(1, 2), f"""{G.TRADE},
+    _edges(f"merge_{_name}", G.follow, lambda g, *_, m=_name: getattr(g, f"merge_nodes_{m}")(1, 2), f"""{G.FOLLOW},
       x AS (SELECT dst, max(CASE WHEN src = 1 THEN weight END) AS a, max(CASE WHEN src = 2 THEN weight END) AS b FROM e WHERE src IN (1, 2) GROUP BY 1),
       f AS (SELECT src, dst, weight FROM e WHERE src NOT IN (1, 2) UNION ALL SELECT 1, dst, CASE WHEN b IS NULL THEN a ELSE {_pick}(coalesce(a, 0), b) END FROM x),
       y AS (SELECT src, max(CASE WHEN dst = 1 THEN weight END) AS a, max(CASE WHEN dst = 2 THEN weight END) AS b FROM f WHERE dst IN (1, 2) GROUP BY 1)""", f"SELECT src::BIGINT AS src, dst::BIGINT AS dst, {_r('weight')} AS weight FROM (SELECT src, dst, weight FROM f WHERE dst NOT IN (1, 2) UNION ALL SELECT src, 1, CASE WHEN b IS NULL THEN a ELSE {_pick}(coalesce(a, 0), b) END FROM y)")
@@ -107,21 +115,24 @@ _edges("merge_custom", G.partners, lambda g, *_: g.merge_nodes_custom(1, 2, 0.5,
   y AS (SELECT dst, (CASE WHEN b IS NULL THEN a ELSE 0.5 * coalesce(a, 0) + 0.5 * b - 0.25 * coalesce((SELECT a FROM x WHERE dst = 2), 0) END)::FLOAT AS weight FROM x WHERE dst NOT IN (1, 2))""", f"SELECT src::BIGINT AS src, dst::BIGINT AS dst, {_r('weight')} AS weight FROM (SELECT src, dst, weight FROM e WHERE src NOT IN (1, 2) AND dst NOT IN (1, 2) UNION ALL SELECT 1, dst, weight FROM y UNION ALL SELECT dst, 1, weight FROM y)")
 
 # Algebra ------------------------------------------------------------------------------------------
-_edges("alg_add", G.trade, lambda g, *_: g.add_elementwise(g.transpose()), G.TRADE, f"SELECT src, dst, {_r('sum(weight)')} AS weight FROM (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e) GROUP BY 1, 2")
-_edges("alg_hadamard", G.trade, lambda g, *_: g.multiply_elementwise(g.transpose()), G.TRADE, f"SELECT a.src, a.dst, {_r('a.weight * b.weight')} AS weight FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src")
-_one("alg_scalar", lambda s, d: G.trade(s, d).scalar_product_table(G.trade(s, d).transpose()), "product", G.TRADE, f"SELECT {_r('sum(a.weight * b.weight)')} AS product FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src")
+_edges("alg_add", G.follow, lambda g, *_: g.add_elementwise(g.transpose()), G.FOLLOW, f"SELECT src, dst, {_r('sum(weight)')} AS weight FROM (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e) GROUP BY 1, 2")
+_edges("alg_hadamard", G.follow, lambda g, *_: g.multiply_elementwise(g.transpose()), G.FOLLOW, f"SELECT a.src, a.dst, {_r('a.weight * b.weight')} AS weight FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src")
+_one("alg_scalar", lambda s, d: G.follow(s, d).scalar_product_table(G.follow(s, d).transpose()), "product", G.FOLLOW, f"SELECT {_r('sum(a.weight * b.weight)')} AS product FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src")
 _matmul = f"SELECT src, dst, {_r('w::FLOAT')} AS weight FROM (SELECT a.src AS src, b.dst AS dst, sum(a.weight * b.weight) AS w FROM e a JOIN {{}} b ON a.dst = b.src GROUP BY 1, 2)"
-_edges("alg_matmul", G.trade, lambda g, *_: g.multiply(g.transpose()), G.TRADE, _matmul.format("(SELECT dst AS src, src AS dst, weight FROM e)"))
+_edges("alg_matmul", G.follow, lambda g, *_: g.multiply(g.transpose()), G.FOLLOW, _matmul.format("(SELECT dst AS src, src AS dst, weight FROM e)"))
 _edges("alg_square", G.partners, lambda g, *_: g.square(), G.PARTNERS, _matmul.format("e"))
 _vertices("alg_matvec", G.copart, lambda g: g.multiply_vector(g.nodes.select("id", (F.col("id") % 7).cast("double").alias("value"))), G.COPART, f"SELECT v.id, {_r('coalesce(sum(weight * (dst % 7)::DOUBLE), 0)')} AS value FROM v LEFT JOIN e ON src = v.id GROUP BY 1")
-_add("alg_power", lambda s, d: _round(G.partners(s, d).power_iteration(60)[0], "value"))
+_power = "x0 AS (SELECT id, value / sqrt(sum(value * value) OVER ()) AS value FROM (SELECT id, (id * 7919 % 1000 + 1) / 1000.0::DOUBLE AS value FROM v))" + "".join(
+    f", x{i + 1} AS MATERIALIZED (SELECT id, y / sqrt(sum(y * y) OVER ()) AS value FROM (SELECT v.id, coalesce(sum(weight::DOUBLE * x.value), 0) AS y FROM v LEFT JOIN e ON src = v.id LEFT JOIN x{i} x ON x.id = dst GROUP BY 1))" for i in range(100)
+)
+_add("alg_power", lambda s, d: _round(G.partners(s, d).power_iteration()[0], "value"), f"WITH {G.PARTNERS.replace('e AS (SELECT src, dst, w::FLOAT', 'e AS MATERIALIZED (SELECT src, dst, w::FLOAT')}, {_power} SELECT id, {_r('value')} AS value FROM x100")
 
 # Statistics ---------------------------------------------------------------------------------------
 _add("stat_counts", lambda s, d: _round(G.partners(s, d).counts(), "weights"), f"WITH {G.PARTNERS} SELECT (count(*) + count(*) FILTER (src = dst)) // 2 AS links, count(*) AS cells, count(*) FILTER (src = dst) AS diagonal, {_r('(sum(weight) + coalesce(sum(weight) FILTER (src = dst), 0)) / 2')} AS weights FROM e")
-_add("stat_counts_directed", lambda s, d: _round(G.trade(s, d).counts(), "weights"), f"WITH {G.TRADE} SELECT count(*) AS links, count(*) AS cells, count(*) FILTER (src = dst) AS diagonal, {_r('sum(weight)')} AS weights FROM e")
+_add("stat_counts_directed", lambda s, d: _round(G.follow(s, d).counts(), "weights"), f"WITH {G.FOLLOW} SELECT count(*) AS links, count(*) AS cells, count(*) FILTER (src = dst) AS diagonal, {_r('sum(weight)')} AS weights FROM e")
 for _side, _word in (("src", "out"), ("dst", "in")):
     _vertices(f"stat_{_word}_degrees", G.copart, lambda g, w=_word: getattr(g, f"{w}_degrees")(), G.COPART, f"SELECT v.id, count({_side}) AS value FROM v LEFT JOIN e ON {_side} = v.id GROUP BY 1", integer=True)
-    _vertices(f"stat_{_word}_weights", G.trade, lambda g, w=_word: getattr(g, f"{w}_weights")(), G.TRADE, f"SELECT v.id, {_r('coalesce(sum(weight), 0)')} AS value FROM v LEFT JOIN e ON {_side} = v.id GROUP BY 1")
+    _vertices(f"stat_{_word}_weights", G.follow, lambda g, w=_word: getattr(g, f"{w}_weights")(), G.FOLLOW, f"SELECT v.id, {_r('coalesce(sum(weight), 0)')} AS value FROM v LEFT JOIN e ON {_side} = v.id GROUP BY 1")
 _vertices("stat_degree_anomalies", _written(G.copart), lambda g: g.degree_anomalies(), f"{G.COPART}, d AS (SELECT src AS id, count(*) AS d FROM e GROUP BY 1)", f"SELECT v.id, {_r('coalesce(count(d.d) - sum(d.d) / count(d.d), 0)')} AS value FROM v LEFT JOIN e ON src = v.id LEFT JOIN d ON d.id = dst GROUP BY 1")
 _vertices("stat_weight_anomalies", _written(G.copart), lambda g: g.weight_anomalies(), f"{G.COPART}, d AS (SELECT src AS id, sum(weight) AS d FROM e GROUP BY 1)", f"SELECT v.id, {_r('coalesce(sum(weight) - sum(weight::DOUBLE * d.d) / sum(weight), 0)')} AS value FROM v LEFT JOIN e ON src = v.id LEFT JOIN d ON d.id = dst GROUP BY 1")
 _one("stat_density", lambda s, d: G.copart(s, d).density_table(), "density", G.COPART, f"SELECT {_r('(SELECT count(*) / 2.0 FROM e) / (count(*) * (count(*) - 1) / 2)')} AS density FROM v")
@@ -167,8 +178,10 @@ _one("met_norm_mutual_info", lambda s, d: L.norm_mutual_info_table(*G.classes(s,
 _mod = """, s AS (SELECT coalesce(sum(weight), 0) AS s FROM e JOIN l a ON src = a.id JOIN l b ON dst = b.id WHERE a.label = b.label), w AS (SELECT sum(weight) AS n FROM e),
   o AS (SELECT label, sum(weight) AS o FROM e JOIN l ON src = id GROUP BY 1), i AS (SELECT label, sum(weight) AS i FROM e JOIN l ON dst = id GROUP BY 1), q AS (SELECT sum(o * i) AS q FROM {o} JOIN i USING (label))"""
 _one("obj_modularity", lambda s, d: G.copart(s, d).modularity_table(G.part_sizes(s, d)), "modularity", G.COPART + _mod.replace("o AS (SELECT label", "oo AS (SELECT label").format(o="oo"), f"SELECT {_r('(s - q / n) / n')} AS modularity FROM s, w, q")
-_one("obj_modularity_directed", lambda s, d: G.trade(s, d).modularity_table(G.regions(s, d)), "modularity", G.TRADE + _mod.format(o="o"), f"SELECT {_r('(s - q / n) / n')} AS modularity FROM s, w, q")
-_one("obj_antimodularity", lambda s, d: G.supply(s, d).antimodularity_table(G.sides(s, d)), "antimodularity", G.SUPPLY + """, a AS (SELECT label, dst, sum(weight) AS w FROM e JOIN l ON src = id GROUP BY 1, 2), k AS (SELECT label, sum(w) AS k FROM a GROUP BY 1)""", f"SELECT {_r('((SELECT sum(w * w) FROM a) - (SELECT sum(k * k) FROM k) / (SELECT count(*) FROM v)) / (SELECT count(*) FROM v)')} AS antimodularity")
+_one("obj_modularity_directed", lambda s, d: G.follow(s, d).modularity_table(G.part_sizes(s, d)), "modularity", G.FOLLOW + _mod.format(o="o"), f"SELECT {_r('(s - q / n) / n')} AS modularity FROM s, w, q")
+_anti = ", a AS (SELECT label, dst, sum(weight) AS w FROM e JOIN l ON src = id GROUP BY 1, 2), k AS (SELECT label, sum(w) AS k FROM a GROUP BY 1)"
+_anti_value = "((SELECT sum(w * w) FROM a) - (SELECT sum(k * k) FROM k) / (SELECT count(*) FROM v)) / (SELECT count(*) FROM v)"
+_one("obj_antimodularity", lambda s, d: G.supply(s, d).antimodularity_table(G.sides(s, d)), "antimodularity", G.SUPPLY + _anti, f"SELECT {_r(_anti_value)} AS antimodularity")
 
 # Traversal ----------------------------------------------------------------------------------------
 _vertices("trv_components", _written(G.accounts), lambda g: g.connected_components(), f"{G.ACCOUNTS}, z AS (SELECT id AS src, id AS dst FROM v UNION SELECT z.src, e.dst FROM z JOIN e ON z.dst = e.src), m AS (SELECT src AS id, min(dst) AS root FROM z GROUP BY 1)", "SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS label FROM m", integer=True, recursive=True)
@@ -182,8 +195,13 @@ _vertices("trv_weight_bounded", _written(G.partners), lambda g: g.all_distances_
 _ah = "z AS (SELECT id AS s, id AS t, 0::BIGINT AS n FROM v UNION SELECT s, dst, n + 1 FROM z JOIN e ON t = src WHERE n < 25), h AS (SELECT s, t, min(n) AS n FROM z GROUP BY 1, 2)"
 _add("trv_all_pairs_hops", lambda s, d: _round(G.partners(s, d).checkpointed().all_distances_graph().cells, "weight"), f"WITH RECURSIVE {G.PARTNERS}, {_ah} SELECT s AS src, t AS dst, n::DOUBLE AS weight FROM h WHERE s <> t")
 _edges("trv_all_pairs_weight", _written(G.partners), lambda g, *_: g.all_distances_graph(True), f"{G.PARTNERS}, {_bf}", f"SELECT s AS src, t AS dst, {_r('d')} AS weight FROM z24 WHERE s <> t")
-_add("trv_bfs_tree", lambda s, d: _round(G.copart(s, d).checkpointed().bfs_count(0), "weight").select(F.col("from").alias("parent"), F.col("to").alias("vertex"), "count", "weight"))
-_add("trv_bfs_weight", lambda s, d: _round(G.copart(s, d).checkpointed().bfs_weight(0), "weight").select(F.col("from").alias("parent"), F.col("to").alias("vertex"), "count", "weight"))
+_tree = "p AS (SELECT e.dst AS id, min(e.src) AS parent FROM e JOIN h a ON a.cur = e.src JOIN h b ON b.cur = e.dst WHERE b.value = a.value + 1 GROUP BY 1), k AS (SELECT p.id, p.parent, e.weight::DOUBLE AS w FROM p JOIN e ON e.src = p.parent AND e.dst = p.id), t AS (SELECT 0::BIGINT AS id, 0::DOUBLE AS weight UNION ALL SELECT k.id, t.weight + k.w FROM t JOIN k ON k.parent = t.id)"
+_add("trv_bfs_tree", lambda s, d: _round(G.copart(s, d).checkpointed().bfs_count(0), "weight").select(F.col("from").alias("parent"), F.col("to").alias("vertex"), "count", "weight"), f"WITH RECURSIVE {G.COPART}, {_hops.format(most=12)}, {_tree} SELECT k.parent, t.id AS vertex, value AS count, {_r('t.weight')} AS weight FROM t LEFT JOIN k ON k.id = t.id JOIN h ON cur = t.id")
+# Relaxation from vertex 0 by weight, then hops, then the parent's id; no best way has more than 24 hops.
+_relax = "z0 AS (SELECT 0::BIGINT AS t, 0::DOUBLE AS d, 0::BIGINT AS n, CAST(NULL AS BIGINT) AS f)" + "".join(
+    f", z{i + 1} AS MATERIALIZED (SELECT t, d, n, f FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY d, n, f NULLS FIRST) AS r FROM (SELECT t, d, n, f FROM z{i} UNION ALL SELECT dst, d + weight, n + 1, t FROM z{i} JOIN e ON t = src)) WHERE r = 1)" for i in range(24)
+)
+_add("trv_bfs_weight", lambda s, d: _round(G.copart(s, d).checkpointed().bfs_weight(0), "weight").select(F.col("from").alias("parent"), F.col("to").alias("vertex"), "count", "weight"), f"WITH {G.COPART.replace('e AS (SELECT', 'e AS MATERIALIZED (SELECT')}, {_relax} SELECT f AS parent, t AS vertex, n AS count, {_r('d')} AS weight FROM z24")
 
 # Centrality ---------------------------------------------------------------------------------------
 _n = "(SELECT count(*) - 1 FROM v)"
@@ -210,14 +228,30 @@ _add("com_newman_directed", lambda s, d: G.trade(s, d).checkpointed().newman(fas
 _add("com_newman_copart", lambda s, d: G.copart(s, d).checkpointed().newman(fast=True))
 _add("com_newman_k", lambda s, d: G.partners(s, d).checkpointed().newman(num_clusters=7))
 _add("com_newman_k_groups", lambda s, d: G.partners(s, d).checkpointed().newman(num_clusters=7).agg(F.countDistinct("label").alias("n")), "SELECT 7::BIGINT AS n")
-_add("com_sbm", lambda s, d: G.partners(s, d).sbm(sweeps=200, chains=2))
+_add("com_sbm", lambda s, d: G.partners(s, d).checkpointed().sbm())
+_add("com_sbm_heat_bath", lambda s, d: G.partners(s, d).checkpointed().sbm_heat_bath())
 
 
 def _report(s: SparkSession, d: str) -> DataFrame:
     return _round(metric_report(G.partners(s, d).checkpointed(), G.regions(s, d), _cls(s, d)[1]), "value").select("metric", "value")
 
 
-_add("met_report", _report)
+_truth = "p AS (SELECT l.id, l.id % 3 AS label1, label AS label2, part FROM l JOIN cp ON cp.id = l.id)"
+_loose = f"x AS (WITH {_conf.format(part='')} SELECT a::DOUBLE AS a, b::DOUBLE AS b, c::DOUBLE AS c, d::DOUBLE AS d FROM cf), xc AS (WITH {_conf.format(part='part,')} SELECT a::DOUBLE AS a, b::DOUBLE AS b, c::DOUBLE AS c, d::DOUBLE AS d FROM cf)"
+_report_rows = [
+    ("#nodes", "(SELECT count(*) FROM v)"), ("#edges", "(SELECT (count(*) + count(*) FILTER (src = dst)) // 2 FROM e)"), ("#diagonal", "(SELECT count(*) FROM e WHERE src = dst)"),
+    ("#communities", "(SELECT count(DISTINCT label) FROM l)"), ("modularity", "(SELECT (s - q / n) / n FROM s, w, q)"), ("antimodularity", f"({_anti_value})"),
+    ("density", "(SELECT CASE WHEN count(*) FILTER (src = dst) = 0 THEN count(*) / 2.0 / ((SELECT count(*) FROM v) * ((SELECT count(*) FROM v) - 1) / 2) END FROM e)"),
+    *[(n.replace("_", "-"), f"(SELECT {sql} FROM x)") for n, sql in _scores.items()], ("adj-rand-index-comp", f"(SELECT {_scores['adj_rand_index']} FROM xc)"),
+    ("norm-mutual-info", f"(WITH {_nmi} SELECT 2 * mi / (h1 + h2) FROM mi, h1, h2)"),
+]
+_add(
+    "met_report",
+    _report,
+    f"WITH RECURSIVE {G.PARTNERS}, {_pc}, {_truth}{_mod.replace('o AS (SELECT label', 'oo AS (SELECT label').format(o='oo')}{_anti}, {_loose}, rows_ AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS metric, {_r(v)} AS value" for n, v in _report_rows)
+    + ") SELECT metric, value FROM rows_ WHERE value IS NOT NULL AND NOT isnan(value)",
+)
 
 # Text ---------------------------------------------------------------------------------------------
 _add("io_graph_text", lambda s, d: text.graph_lines(G.trade(s, d)).select("line"), f"WITH {G.TRADE} SELECT (SELECT count(*)::VARCHAR FROM nation) AS line UNION ALL SELECT '' UNION ALL SELECT concat_ws(' ', (src + 1)::VARCHAR, (dst + 1)::VARCHAR, CASE WHEN weight <> 1 THEN printf('%.6f', weight::DOUBLE) END) FROM e")
@@ -225,6 +259,25 @@ _add("io_gml", lambda s, d: text.gml_lines(G.trade(s, d), {"region": G.regions(s
   SELECT unnest(['    node [', '        id ' || id, '        region ' || label, '    ]']) FROM l UNION ALL SELECT unnest(['    edge [', '        source ' || src, '        target ' || dst, '        value ' || printf('%.6f', weight::DOUBLE), '    ]']) FROM e""")
 
 
+def _file(lines: DataFrame) -> str:
+    """The lines as a text file in the shared folder."""
+    path = f"{shared_root(lines.sparkSession).rstrip('/')}/graphloom-stash/{lines.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    text.write_lines(lines, path)
+    return path
+
+
+def _gml(s: SparkSession, d: str) -> DataFrame:
+    g, names = text.load_gml(s, _file(text.gml_lines(G.trade(s, d), {"region": G.regions(s, d)})))
+    return _round(g.cells, "weight").select("src", "dst", "weight", F.lit(g.directed).alias("directed"), F.lit(names.count()).alias("nodes"))
+
+
+_edges("io_load_graph", lambda s, d: text.load_graph(s, _file(text.graph_lines(G.follow(s, d))), directed=True), lambda g, *_: g, G.FOLLOW, f"{CELLS} e")
+_edges("io_load_graph_undirected", lambda s, d: text.load_graph(s, _file(text.graph_lines(G.partners(s, d)))), lambda g, *_: g, G.PARTNERS, f"{CELLS} e")
+_add("io_load_labels", lambda s, d: text.load_labels(s, _file(text.labels_lines(G.part_sizes(s, d))), G.table(s, d, "part").count()), "SELECT p_partkey AS id, p_size::BIGINT AS label FROM part")
+_add("io_load_gml", _gml, f"WITH {G.TRADE} {CELLS.replace(' FROM', ', true AS directed, (SELECT count(*) FROM v) AS nodes FROM')} e")
+_add("io_labels_text", lambda s, d: text.labels_lines(G.regions(s, d)).select("line"), f"WITH {G.TRADE} SELECT '# Labels' AS line UNION ALL SELECT string_agg(label::VARCHAR, ' ' ORDER BY id) FROM l")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modularity of the trade between nations when they are grouped by region."""
     return QUERIES["obj_modularity_directed"](spark, sf_dir)

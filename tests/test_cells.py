@@ -154,3 +154,11 @@ def test_direction_and_limits(spark):
         Graph.empty(spark, 30_000).invert()
     with pytest.raises(ValueError):
         Graph.empty(spark, -1)
+
+
+def test_dense_results_on_demand(spark, monkeypatch):
+    g = undirected(spark, 5, [(0, 1)])
+    for change in (lambda **k: g.invert(**k).cells, lambda **k: g.matrix(**k), lambda **k: g.nonexistent(**k)):
+        with pytest.raises(ValueError):
+            change(limit=4)
+        assert change(limit=None).count() == change().count() > 0

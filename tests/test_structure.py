@@ -39,6 +39,7 @@ def test_reciprocity(spark):
     assert math.isnan(Graph.empty(spark, 2, True).reciprocity())
 
 
+# Small labellings and the scores that are documented for them.
 ONE, TWO = [5, 5, 7, 7, 5, 7, 8, 8, 8], [0, 1, 1, 1, 0, 0, 1, 0, 1]
 
 
@@ -111,6 +112,10 @@ def test_distances(b5):
     assert b5.distance_count(0, 4) == 3 and b5.distance_weight(0, 4) == 3.5 and b5.distance_count(4, 0) is None and b5.distance_weight(9, 0) == inf
     far = b5.del_edge(2, 4)
     assert far.distance_count(0, 4) == 4 and far.distance_weight(0, 4) == 4.5
+    assert far.distance_count(2, 2) == 0 and far.distance_weight(2, 2) == 0.0
+    # The rounds end with the one that reaches the vertex asked for.
+    reached = [r["count"] for r in far.hop_tree(far._starts(0), until=2).collect()]
+    assert max(reached) == far.distance_count(0, 2)
     assert cells(b5.all_distances_graph())[1, 4] == 2 and (4, 0) not in cells(b5.all_distances_graph(True))
     assert [tuple(r) for r in b5.bfs_count(0).collect()] == [(0, 0, None, 0), (1, 1, 0, 1), (2, 2, 1, 2), (3, 3, 2, 3), (3.5, 3, 2, 4)]
     assert [tuple(r) for r in b5.bfs_weight(0, 3).collect()] == [(0, 0, None, 0), (1, 1, 0, 1), (2, 2, 1, 2), (3, 3, 2, 3)]
