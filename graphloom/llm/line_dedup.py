@@ -113,7 +113,7 @@ def near_lines(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     # Each claim is verified on the words themselves.
     proven = claims.join(texts, "rank").join(texts.select(F.col("rank").alias("_r2"), F.col("words").alias("_words2")), F.col("other") == F.col("_r2"))
     proven = proven.where(_without("words", "gone") == _without("_words2", "there")).select("rank")
-    found = stash(placed.join(proven, "rank", "left_semi").select("h1", "h2"))
+    found = stash(placed.join(proven, "rank", "left_semi").select("h1", "h2"), 2 * placed.count())
     drop_stash(rows, texts, claims)
     return found
 
@@ -131,7 +131,7 @@ def line_dedup(documents: DataFrame, least_words: int = 5, columns: bool = False
     """
     lines = _lines(documents).where(F.col("plain") != "").withColumn("n", F.char_length("plain") - F.char_length(F.replace("plain", F.lit(" "), F.lit(""))) + 1)
     lines = stash(lines.select("_k1", "_k2", "doc", "line_no", *_line_key(), F.when(F.col("n") >= least_words, _halves()).alias("halves")))
-    distinct = stash(lines.groupBy("h1", "h2").agg(F.min(_order()).alias("at"), F.count("*").alias("n"), F.first("halves").alias("halves")))
+    distinct = stash(lines.groupBy("h1", "h2").agg(F.min(_order()).alias("at"), F.count("*").alias("n"), F.first("halves").alias("halves")), lines.count())
     near = near_lines(documents, distinct)
     judged = distinct.select("h1", "h2", "at", "n").join(near.withColumn("_near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or _near is not null")
     judged = stash(judged.select(F.bitwise_not("h1").alias("_g1"), F.col("h2").alias("_g2"), "at", "_near"))

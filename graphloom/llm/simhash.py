@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import component_roots
-from ..runtime import small_batches, stash
+from ..runtime import drop_stash, small_batches, stash
 
 BITS = 64
 #: Least hashes of a text's shingles: bands of so many rows each. Two texts of similarity s share no band with probability
@@ -140,6 +140,8 @@ def class_links(prints: DataFrame, differing: int = 3, blocks: int | None = None
             hubs = hubs.select(F.col("_m").alias("_m2"), F.bitwise_not("_v").alias("_v2"), "_fp2")
             pairs = pairs.unionByName(many.join(hubs, same & (F.col("fp") != F.col("_fp2")) & close).select(F.least("fp", "_fp2").alias("a"), F.greatest("fp", "_fp2").alias("b")))
         pairs = stash(pairs.distinct(), rows)
+        if not crowded:
+            drop_stash(live)
         found = pairs if found is None else found.unionByName(pairs)
         if not crowded:
             return found
@@ -301,7 +303,9 @@ def similar_links(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], leas
     # Sets of n and m members whose similarity is s differ in (n + m) * (1 - s) / (1 + s) members.
     near = F.lit(1 + least) * apart <= F.lit(1 - least) * (F.col("_n") + F.col("_n2")) + 1e-6
     once = (F.col("_root2") == F.col("_top")) | (F.col("_set") < F.col("_set2"))
-    return found.unionByName(close(torn.where("_root <> _top").join(right, same & (F.col("_root") != F.col("_root2")) & once & sizes & near)))
+    found = found.unionByName(close(torn.where("_root <> _top").join(right, same & (F.col("_root") != F.col("_root2")) & once & sizes & near)))
+    drop_stash(live, held, rooted, torn)
+    return found
 
 
 def keep_one_similar(documents: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
