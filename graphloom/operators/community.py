@@ -17,7 +17,7 @@ from .components import component_roots
 if TYPE_CHECKING:
     from ..model import Graph
 
-#: Vertices up to which agglomeration over unlinked pairs, a dense computation in one task, is done.
+#: Vertices up to which agglomeration over all pairs of a directed graph, or one with negative strengths, is done on a dense matrix in one task.
 DENSE_VERTICES = 5_000
 
 
@@ -52,7 +52,8 @@ class Community:
 
         Fast maximising never merges across components, and gains depend on both communities and the norm alone, so components
         run as tasks of their own and their merges are put into the global order afterwards. The other kinds compare pairs across
-        components: one task, on a dense matrix, for at most DENSE_VERTICES vertices.
+        components: one task, with the links of an undirected graph in memory; on a dense matrix, for at most DENSE_VERTICES vertices, where
+        the graph is directed or strengths are negative.
         """
         log = stash(self.merges(minimize, fast, antimodularity))
         n = self.num_nodes
@@ -102,21 +103,26 @@ class Community:
             worst = F.max(head).over(Window.partitionBy("part").orderBy("step"))
             ranked = log.withColumn("_worst", worst)
             return running_totals(ranked, [F.col("_worst"), F.col("step")], {"order": F.lit(1).cast("long")}).select("order", "delta", "index0", "index1")
-        if n > DENSE_VERTICES:
-            raise ValueError(f"agglomeration over unlinked pairs is for at most {DENSE_VERTICES} vertices")
+        sparse = not directed and norm > 0 and strengths.where("o < 0").isEmpty()
+        if n > DENSE_VERTICES and not sparse:
+            raise ValueError(f"agglomeration over all pairs of a directed graph or with negative strengths is for at most {DENSE_VERTICES} vertices")
         which = "apart" if fast and minimize else "any"
         mark = self.spark.range(1).select(F.lit(-1).cast("long").alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit(0.0).cast("float").alias("weight"), F.lit(0.0).alias("o"), F.lit(0.0).alias("i"))
         rows = cells.select("src", "dst", "weight", F.lit(0.0).alias("o"), F.lit(0.0).alias("i")).unionByName(strengths.select(F.col("id").alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit(0.0).cast("float").alias("weight"), "o", "i")).unionByName(mark)
 
-        def dense(pdf: pd.DataFrame) -> pd.DataFrame:
-            matrix, out, inn = np.full((n, n), np.nan), np.zeros(n), np.zeros(n)
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            out, inn = np.zeros(n), np.zeros(n)
             own, links = pdf[(pdf["dst"] < 0) & (pdf["src"] >= 0)], pdf[pdf["dst"] >= 0]
             out[own["src"]], inn[own["src"]] = own["o"], own["i"]
-            matrix[links["src"], links["dst"]] = links["weight"]
-            log = kernels.greedy_pairs(matrix, out, inn if directed else out, norm, directed, minimize, which) if n else []
+            if sparse:
+                log = kernels.greedy_scattered(links["src"].to_numpy(), links["dst"].to_numpy(), links["weight"].to_numpy(float), norm, out, minimize, which)
+            else:
+                matrix = np.full((n, n), np.nan)
+                matrix[links["src"], links["dst"]] = links["weight"]
+                log = kernels.greedy_pairs(matrix, out, inn if directed else out, norm, directed, minimize, which) if n else []
             return pd.DataFrame({"order": range(len(log)), "delta": [x[0] for x in log], "index0": [x[1] for x in log], "index1": [x[2] for x in log]})
 
-        return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(dense, "order long, delta double, index0 long, index1 long")
+        return rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(whole, "order long, delta double, index0 long, index1 long")
 
     def _merge_input(self: Graph, antimodularity: bool) -> tuple[DataFrame, float]:
         if antimodularity:

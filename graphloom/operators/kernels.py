@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left, insort
 
 import numpy as np
 
@@ -114,6 +115,100 @@ def greedy_pairs(matrix: np.ndarray, out: np.ndarray, inn: np.ndarray, norm: flo
     return log
 
 
+def greedy_scattered(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, norm: float, strength: np.ndarray, minimize: bool, which: str) -> list[tuple[float, int, int]]:
+    """The merges of :func:`greedy_pairs` for undirected graphs without negative strengths, in memory that grows with vertices and links.
+
+    An unlinked pair's gain depends on the product of two strengths alone. So vertices are kept by strength, strengths in order, and
+    pairs of strengths are looked at from the extreme product on, as long as they can still win; within a pair of strengths the
+    first pair of ids without a link counts. Linked pairs wait in a heap.
+    """
+    single = np.float32
+    sign = -1.0 if minimize else 1.0
+    out = [float(x) for x in strength]
+    rows: list[dict[int, float]] = [{} for _ in out]
+    for a, b, w in zip(src.tolist(), dst.tolist(), weight.tolist(), strict=True):
+        rows[a][b] = w
+    members: dict[float, list[int]] = {}
+    for v, x in enumerate(out):
+        members.setdefault(x, []).append(v)
+    values, stamp, heap, log = sorted(members), [0] * len(out), [], []
+
+    def apart(x: float, y: float) -> float:
+        return float(single(2.0 * -(x * y) / norm))
+
+    def push(i: int, j: int) -> None:
+        gain = float(single(2.0) * (single(rows[i][j]) + single(-(out[i] * out[j]) / norm)))
+        heapq.heappush(heap, (-sign * gain, i, j, stamp[i], stamp[j], gain))
+
+    def first(x: float, y: float) -> tuple[int, int] | None:
+        xs, ys = members[x], members[y]
+        for i in xs if x == y else heapq.merge(xs, ys):
+            for j in xs if out[i] == y else ys:
+                if j >= i:
+                    break
+                if j not in rows[i]:
+                    return i, j
+        return None
+
+    def scattered() -> tuple[float, int, int, float] | None:
+        best = None
+        order = values[::-1] if minimize else values
+        for at, x in enumerate(order):
+            if best is not None and sign * apart(x, x) < -best[0]:
+                break
+            for y in order[at:] if at else order:
+                gain = apart(x, y)
+                if best is not None and sign * gain < -best[0]:
+                    break
+                pair = first(x, y)
+                if pair is not None and (best is None or (-sign * gain, *pair) < best[:3]):
+                    best = (-sign * gain, *pair, gain)
+        return best
+
+    def leave(v: int) -> None:
+        own = members[out[v]]
+        del own[bisect_left(own, v)]
+        if not own:
+            del members[out[v]], values[bisect_left(values, out[v])]
+
+    if which == "any":
+        for i, row in enumerate(rows):
+            for j in row:
+                if j < i:
+                    push(i, j)
+    while True:
+        while heap and (stamp[heap[0][1]] != heap[0][3] or stamp[heap[0][2]] != heap[0][4]):
+            heapq.heappop(heap)
+        best = scattered()
+        # A linked pair has to be strictly better.
+        if heap and (best is None or heap[0][0] < best[0]):
+            best = (*heap[0][:3], heap[0][5])
+        if best is None:
+            return log
+        _, i, j, gain = best
+        log.append((gain, i, j))
+        leave(i), leave(j)
+        near, gone = rows[i], rows[j]
+        loops = [near.pop(i, None), gone.pop(i, None), near.pop(j, None), gone.pop(j, None)]
+        for k, w in gone.items():
+            del rows[k][j]
+            near[k] = rows[k][i] = near.get(k, 0.0) + w
+        if any(w is not None for w in loops):
+            kept = [w or 0.0 for w in loops]
+            near[i] = (kept[0] + kept[1]) + (kept[2] + kept[3])
+        rows[j] = {}
+        out[i] += out[j]
+        stamp[i], stamp[j] = stamp[i] + 1, -1
+        if out[i] not in members:
+            insort(values, out[i])
+            members[out[i]] = []
+        insort(members[out[i]], i)
+        if which == "any":
+            for k in near:
+                if k != i:
+                    push(max(i, k), min(i, k))
+
+
 def _first(gains: np.ndarray, pairs: np.ndarray, sign: float) -> tuple[float, int, int] | None:
     if not pairs.any():
         return None

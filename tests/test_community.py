@@ -110,6 +110,32 @@ def test_objectives_of_the_undirected_kinds(spark, minimize, fast):
     assert (g.modularity(found) < alone) if minimize else (g.modularity(found) > alone)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_sparse_merges_equal_dense_ones(seed):
+    """With many ties (whole weights, equal degrees, vertices without links) and with hardly any, self-loops among them."""
+    rng = np.random.default_rng(seed)
+    n = 24
+    m = np.full((n, n), np.nan)
+    for a, b in rng.integers(0, n - 4, (12 + 5 * seed, 2)):
+        m[a, b] = m[b, a] = single(rng.random()) if seed % 2 else float(rng.integers(0, 3))
+    src, dst = np.nonzero(~np.isnan(m))
+    strength = np.nan_to_num(m).sum(axis=1)
+    norm = strength.sum()
+    for which in ("any", "apart"):
+        for minimize in (False, True):
+            own = strength.copy()
+            want = kernels.greedy_pairs(m.copy(), own, own, norm, False, minimize, which)
+            assert kernels.greedy_scattered(src, dst, m[src, dst], norm, strength, minimize, which) == want
+
+
+def test_agglomeration_of_more_vertices_than_a_matrix_holds(spark, monkeypatch):
+    monkeypatch.setattr("graphloom.operators.community.DENSE_VERTICES", 10)
+    g = scattered(spark, 20, 0.2, 7)
+    assert L.count_labels(g.newman(num_clusters=4, strict=True)) == 4
+    with pytest.raises(ValueError):
+        directed(spark, 20, [(0, 1)]).newman(minimize=True)
+
+
 def test_number_of_groups(spark):
     g = scattered(spark, 20, 0.2, 7)
     for k in (3, 20):
