@@ -142,8 +142,13 @@ def line_dedup(documents: DataFrame, least_words: int = 5, columns: bool = False
     # The small side is hashed, so that the texts needn't be sorted.
     joined = keyed.join(gone.hint("shuffle_hash"), (F.col("_k1") == F.col("_g1")) & (F.col("_k2") == F.col("_g2")), "left")
     parts = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.element_at(parts, i + 1)), "\n"))
+
+    def rest(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        return F.array_join(F.transform(left, lambda i: F.element_at(lines, i + 1)), "\n")
+
+    # The lines are bound to a name, else each line that stays would split the text again.
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.element_at(F.transform(F.array(parts), rest), 1))
     if columns:
         changed = {"text": F.col("_new")} | ({"n_chars": F.char_length("_new").cast("long")} if "n_chars" in documents.columns else {})
         return joined.select("row", text.alias("_new")).select(*[changed.get(c, F.col("row")[c]).alias(c) for c in documents.columns])
