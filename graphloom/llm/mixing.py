@@ -53,11 +53,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
 
 
 def schedule(goal: DataFrame, block_words: int) -> DataFrame:
-    """``place, rank, slots_before``: the slots of the mix in order, each with its source and its rank there.
+    """``slot, place, rank``: the slots of the mix in order, each with its source and its rank there.
 
     Slot i sits at the i-th golden-ratio point of a ring of 2^32; the cumulative targets cut the
     ring into one arc for each source. The arcs are dealt into cells so that finding a point's arc is an
-    equality join and a comparison. Ranks come from counts for each run of slots and a window
+    equality join and a comparison. Sources with words to give whose arc no point meets, being narrower than the points are apart, get
+    one slot each behind all others. Ranks come from counts for each run of slots and a window
     inside the run, so that no source has to pass through one task.
     """
     spark = goal.sparkSession
@@ -66,26 +67,26 @@ def schedule(goal: DataFrame, block_words: int) -> DataFrame:
     total = arcs.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("t"), F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()
     slots = -(-int(round(total["t"])) // block_words) if total["n"] else 0
     point = lambda c: F.least(F.floor(c / F.lit(total["t"] or 1.0) * RING), F.lit(RING))
-    last = arcs.select("place", "source_size", point(F.col("_low")).alias("_from"), point(F.col("_low") + F.col("target")).alias("_to")).where("_to > _from")
+    last = arcs.select("place", point(F.col("_low")).alias("_from"), point(F.col("_low") + F.col("target")).alias("_to")).where("_to > _from")
     wide = RING // CELLS
     cells = last.withColumn("_cell", F.explode(F.sequence(F.expr(f"_from div {wide}"), F.expr(f"(_to - 1) div {wide}"))))
     points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") % RING) * STEP % RING).alias("_at")).withColumn("_cell", F.expr(f"_at div {wide}"))
-    dealt = points.join(cells, "_cell").where("_at >= _from and _at < _to").select("slot", "place", "source_size", F.expr(f"slot div {RUN}").alias("_run"))
-    dealt = stash(dealt)
+    met = stash(points.join(cells, "_cell").where("_at >= _from and _at < _to").select("slot", "place"))
+    missed = arcs.where(F.round("target") > 0).join(met.select("place").distinct(), "place", "left_anti").select((F.col("place") + slots).alias("slot"), "place")
+    dealt = met.unionByName(missed).withColumn("_run", F.expr(f"slot div {RUN}"))
     before = Window.partitionBy("place").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     runs = dealt.groupBy("place", "_run").count().select("place", "_run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("place", "_run").orderBy("slot")
-    return dealt.withColumn("_n", F.row_number().over(inside) - 1).join(runs, ["place", "_run"]).select("slot", "place", "source_size", (F.col("_before") + F.col("_n")).alias("rank"))
+    return dealt.withColumn("_n", F.row_number().over(inside) - 1).join(runs, ["place", "_run"]).select("slot", "place", (F.col("_before") + F.col("_n")).alias("rank"))
 
 
-def mix(documents: DataFrame, block_words: int = 256, seed: int = 11, most: int = 2, settle_below: int | None = None) -> DataFrame:
-    """For each document what the mix takes of it: ``doc_id, size, source_size, target, taken`` and ``first_pass, second_pass``.
+def mix(documents: DataFrame, block_words: int = 256, seed: int = 11, most: int = 2) -> DataFrame:
+    """For each document what the mix takes of it: ``doc_id, size, source_size, target, taken``, ``first_pass, second_pass`` and ``first_slot``.
 
-    A source's documents are shuffled by a seeded hash and laid end to end; the stream is cut into
-    blocks of ``block_words`` words. The source's slot of rank r takes block ``r mod blocks`` in pass ``r div blocks``;
-    slots beyond ``most`` passes, which only rounding brings, take nothing. So a source takes a beginning of its stream, laid
-    end to end ``most`` times; the slots say how far it goes, up to a block's rounding. Sources with a target below
-    ``settle_below`` words, all if it is None, go just as far as their target, rounded to a word.
+    The schedule has a slot for every ``block_words`` words of the mix. A source's documents are shuffled by a seeded hash and laid end to
+    end, ``most`` times; the words of that stream up to the source's target, rounded to a word, are cut into as many blocks of equal size
+    (to a word) as the source has slots, and its slot of rank r takes block r. So each source gives just its target, whatever its
+    size, and the slots say in which order the words come: ``first_slot`` is the first that takes words of the document, null for none.
 
     Null or blank texts have size 0 and are never taken; a null source is a source; rows repeated
     with all their values stay separate rows (which of them is cut at a block's end isn't told apart).
@@ -93,28 +94,32 @@ def mix(documents: DataFrame, block_words: int = 256, seed: int = 11, most: int
     """
     size = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count(F.col("text"), F.lit(WORD))).cast("long")
     sizes = stash(documents.select("doc_id", "source", size.alias("size")))
-    return taken(sizes, block_words, seed, most, settle_below=settle_below)
-
-
-def _by_slots(laid: DataFrame, goal: DataFrame, block_words: int, most: int) -> DataFrame:
-    """``laid`` with ``_taken`` and ``_first``, the words that the slots of the schedule take of each document; null for none."""
-    slots = schedule(goal, block_words)
-    whole = F.expr(f"(source_size + {block_words - 1}) div {block_words}")
-    plan = slots.select("place", F.expr("rank").alias("rank"), whole.alias("_blocks")).select("place", (F.col("rank") % F.col("_blocks")).alias("_block"), F.expr("rank div _blocks").alias("_pass"))
-    plan = plan.where(F.col("_pass") < most).groupBy("place", "_block").agg(F.count("*").alias("_times"))
-    low, high = F.expr(f"_at div {block_words}"), F.expr(f"(_at + size - 1) div {block_words}")
-    pieces = laid.where("size > 0").select("place", "_at", "size", F.explode(F.sequence(low, high)).alias("_block"))
-    part = F.least(F.col("_at") + F.col("size"), (F.col("_block") + 1) * block_words) - F.greatest(F.col("_at"), F.col("_block") * block_words)
-    found = pieces.join(plan, ["place", "_block"]).groupBy(F.col("place").alias("_p"), F.col("_at").alias("_a")).agg(
-        F.sum(part * F.col("_times")).alias("_taken"), F.sum(part).alias("_first")
+    return taken(sizes, block_words, seed, most)
+
+
+def _by_slots(laid: DataFrame, slots: DataFrame, most: int) -> DataFrame:
+    """``laid`` with ``_taken``, ``_first`` and ``first_slot``: what the slots take of each document; null for none.
+
+    Of a source's blocks the first ``_more`` have ``_wide + 1`` words, the others ``_wide``.
+    """
+    passes = laid.where("size > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    passes = passes.select("place", "_at", "_pass", "_wide", "_more", (F.col("_at") + F.col("_pass") * F.col("source_size")).alias("_low"), "size", "_goal")
+    passes = passes.where("_low < _goal").withColumn("_high", F.expr("least(_low + size, _goal)"))
+    block = lambda w: F.expr(f"if({w} < _more * (_wide + 1), ({w}) div (_wide + 1), _more + ({w} - _more * (_wide + 1)) div greatest(_wide, 1))")
+    pieces = passes.withColumn("rank", F.explode(F.sequence(block("_low"), block("_high - 1"))))
+    words = F.expr("least(_high, (rank + 1) * _wide + least(rank + 1, _more)) - greatest(_low, rank * _wide + least(rank, _more))")
+    pieces = pieces.select("place", "rank", "_at", "_pass", words.alias("_words"))
+    found = pieces.join(slots, ["place", "rank"]).groupBy(F.col("place").alias("_p"), F.col("_at").alias("_a")).agg(
+        F.sum("_words").alias("_taken"), F.sum(F.when(F.col("_pass") == 0, F.col("_words"))).alias("_first"), F.min("slot").alias("first_slot")
     )
     # A place in its source's stream names a document that has words.
     return laid.join(found, (F.col("place") == F.col("_p")) & (F.col("_at") == F.col("_a")) & (F.col("size") > 0), "left")
 
 
-def taken(sizes: DataFrame, block_words: int, seed: int, most: int, *keep: str, settle_below: int | None = None) -> DataFrame:
+def taken(sizes: DataFrame, block_words: int, seed: int, most: int, *keep: str) -> DataFrame:
     """:func:`mix` from ``doc_id, source, size``; columns named in ``keep`` are carried along."""
     goal = stash(targets(sizes, most=most))
+    slots = stash(schedule(goal, block_words))
     # Shuffled by a digest that SQL engines share.
     shuffled = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("size").cast("string")))
     order = [F.col("source").asc_nulls_last(), shuffled, F.col("doc_id"), F.col("size"), *map(F.col, keep)]
@@ -122,16 +127,12 @@ def taken(sizes: DataFrame, block_words: int, seed: int, most: int, *keep: str,
     laid = laid.withColumn("_s1", F.coalesce(F.col("source"), F.lit(""))).withColumn("_s2", F.col("source").isNull())
     # Where a source's stream begins: the sizes of all sources before it.
     begins = running_totals(goal, [F.col("place")], {"_begin": F.col("source_size")})
-    begins = begins.select(F.coalesce(F.col("source"), F.lit("")).alias("_s1"), F.col("source").isNull().alias("_s2"), "place", "source_size", "target", "_begin")
+    # The source's target as whole words and how they fall into blocks, one for each of its slots.
+    begins = begins.join(slots.groupBy("place").agg(F.count("*").alias("_slots")), "place", "left").withColumn("_goal", F.round("target").cast("long"))
+    begins = begins.withColumn("_wide", F.expr("_goal div coalesce(_slots, 1)")).withColumn("_more", F.expr("_goal % coalesce(_slots, 1)"))
+    begins = begins.select(F.coalesce(F.col("source"), F.lit("")).alias("_s1"), F.col("source").isNull().alias("_s2"), "place", "source_size", "target", "_begin", "_goal", "_wide", "_more")
     laid = stash(laid.join(begins, ["_s1", "_s2"]).withColumn("_at", F.col("_start") - F.col("_begin")).drop("_s1", "_s2", "_start", "_begin"))
-    # Words of the doubled stream up to the target, less those before the document, in each pass.
-    passes = [F.greatest(F.lit(0), F.least(F.col("size"), F.round("target").cast("long") - F.col("source_size") * i - F.col("_at"))) for i in range(most)]
-    exact = {"_taken": sum(passes[1:], passes[0]), "_first": passes[0]}
-    if settle_below is None:
-        out = laid.withColumns(exact)
-    else:
-        out = _by_slots(laid, goal, block_words, most)
-        out = out.withColumns({k: F.when(F.col("target") < settle_below, v).otherwise(F.col(k)) for k, v in exact.items()})
+    out = _by_slots(laid, slots, most)
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return out.select(
         "doc_id",
@@ -142,13 +143,14 @@ def taken(sizes: DataFrame, block_words: int, seed: int, most: int, *keep: str,
         count("_taken").alias("taken"),
         count("_first").alias("first_pass"),
         (count("_taken") - count("_first")).alias("second_pass"),
+        "first_slot",
     )
 
 
 def mixed_documents(documents: DataFrame, block_words: int = 256, seed: int = 11, most: int = 2) -> DataFrame:
     """The mix itself: for each pass over a source that takes words of a document one row with these words, in all columns of ``documents``.
 
-    A document that a pass takes whole comes back as it is; at the end of a source's slots one document is cut behind the last word that
+    A document that a pass takes whole comes back as it is; at the end of a source's last block one document is cut behind the last word that
     is taken. Documents without words are never taken. ``n_chars``, where there is such a column, follows the text. Repeated rows are rows of
     their own, each with its own place in the stream: together they come back with just the words that :func:`mix` takes.
     """

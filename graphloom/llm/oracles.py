@@ -18,13 +18,16 @@ t AS (SELECT source, place, source_size, CASE WHEN is_full THEN source_size * 2:
 a AS (SELECT *, coalesce(sum(target) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low, sum(target) OVER () AS total FROM t),
 arcs AS (SELECT *, floor(low / total * 4294967296)::BIGINT AS from_, least(floor((low + target) / total * 4294967296)::BIGINT, 4294967296) AS to_ FROM a),
 slots AS (SELECT i, (i % 4294967296) * 1640531527 % 4294967296 AS point FROM range((SELECT ceil(round(max(total)) / 256)::BIGINT FROM arcs)) x(i)),
-ranked AS (SELECT place, (source_size + 255) // 256 AS blocks, row_number() OVER (PARTITION BY place ORDER BY i) - 1 AS rank FROM slots JOIN arcs ON point >= from_ AND point < to_),
-plan AS (SELECT place, rank % blocks AS block, count(*) AS times FROM ranked WHERE rank // blocks < 2 GROUP BY 1, 2),
+met AS (SELECT i, place FROM slots JOIN arcs ON point >= from_ AND point < to_),
+dealt AS (SELECT i, place FROM met UNION ALL SELECT (SELECT count(*) FROM slots) + place, place FROM t WHERE round(target) > 0 AND place NOT IN (SELECT place FROM met)),
+ranked AS (SELECT i, place, row_number() OVER (PARTITION BY place ORDER BY i) - 1 AS rank, count(*) OVER (PARTITION BY place) AS n, round(target)::BIGINT AS goal FROM dealt JOIN t USING (place)),
+blocks AS (SELECT i, place, sum(goal // n + (rank < goal % n)::INT) OVER (PARTITION BY place ORDER BY rank) AS high, high - (goal // n + (rank < goal % n)::INT) AS low FROM ranked),
 laid AS (SELECT doc_id, size, place, source_size, target, (coalesce(sum(size) OVER (PARTITION BY place ORDER BY md5(concat_ws('|', '11', doc_id::VARCHAR, size::VARCHAR)), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS at_
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-pieces AS (SELECT doc_id, at_, size, place, unnest(range(at_ // 256, (at_ + size - 1) // 256 + 1)) AS block FROM laid WHERE size > 0),
-got AS (SELECT doc_id, at_, place, sum(least(at_ + size, (block + 1) * 256) - greatest(at_, block * 256))::BIGINT AS first_pass, sum((least(at_ + size, (block + 1) * 256) - greatest(at_, block * 256)) * times)::BIGINT AS taken FROM pieces JOIN plan USING (place, block) GROUP BY 1, 2, 3)
-SELECT l.doc_id, l.size, l.source_size, l.target, coalesce(g.taken, 0) AS taken, coalesce(g.first_pass, 0) AS first_pass, coalesce(g.taken - g.first_pass, 0) AS second_pass
+passes AS (SELECT place, at_, p, p * source_size + at_ AS begin_, p * source_size + at_ + size AS end_ FROM laid, range(2) y(p) WHERE size > 0),
+got AS (SELECT at_, place, sum(least(end_, high) - greatest(begin_, low))::BIGINT AS taken, coalesce(sum(least(end_, high) - greatest(begin_, low)) FILTER (p = 0), 0)::BIGINT AS first_pass, min(i)::BIGINT AS first_slot
+  FROM passes JOIN blocks USING (place) WHERE begin_ < high AND low < end_ GROUP BY 1, 2)
+SELECT l.doc_id, l.size, l.source_size, l.target, coalesce(g.taken, 0) AS taken, coalesce(g.first_pass, 0) AS first_pass, coalesce(g.taken - g.first_pass, 0) AS second_pass, g.first_slot
 FROM laid l LEFT JOIN got g ON l.place = g.place AND l.at_ = g.at_ AND l.size > 0
 """
 
