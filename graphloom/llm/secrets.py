@@ -16,15 +16,14 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 ]
-#: Weak parts of a credential: none of them is worth a report alone. Patterns start with a rare literal, so a scan is one pass.
+#: What stands before a name: nothing that belongs to a word of letters and digits. Prefixes that end in '_' may (``aws_secret_access_key``, ``DB_USER``).
+LEAD = "(?<![A-Za-z0-9])"
+#: Weak parts of a credential: none of them is worth a report alone.
 WEAK = [
-    ("ident", r"""(?i)\b(access_?key_?id|client_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+_.-]+)""", 2, 3),
-    ("phrase", r"""(?i)\b(secret_?access_?key|client_?secret|private_?key|passphrase|pass|pwd|pin)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]+)""", 2, 4),
+    ("ident", rf"""(?i){LEAD}(access_?key_?id|client_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+_.-]+)""", 2, 3),
+    ("phrase", rf"""(?i){LEAD}(secret_?access_?key|client_?secret|private_?key|passphrase|pass|pwd|pin)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]+)""", 2, 4),
     ("endpoint", r"""(?i)\b(?:https?|ftps?|ssh|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\x20\x09-\x0D"'<>]+""", 0, 8),
 ]
-#: The same kinds as they are searched for: names may have a prefix that ends in '_' (``aws_secret_access_key``, ``DB_USER``), which ``\b`` rules
-#: out. A lookbehind forbids letters and digits only; the SQL keeps the plain form, as its engine has no lookbehind.
-SEARCHED = [(k, p.replace(r"\b", "(?<![A-Za-z0-9])", 1) if k in ("ident", "phrase") else p, g, n) for k, p, g, n in WEAK]
 #: Matches are added up in runs of so many, and then run by run, so that no list that grows with the text is copied for every match.
 RUN = 256
 #: Parts of kinds that stand in different roles complete each other. Base kinds have roles, too: an assigned value or a long hex
@@ -81,7 +80,7 @@ def find_secrets(documents: DataFrame, reach: int = 200) -> DataFrame:
     A null text counts as empty and has no spans; rows with a null doc_id keep it; repeated rows have equal
     results. An empty table gives an empty result. Columns other than ``doc_id`` and ``text`` are not read.
     """
-    kinds = [*BASE, *SEARCHED]
+    kinds = [*BASE, *WEAK]
     text = F.coalesce(F.col("text"), F.lit(""))
     tag = lambda i: lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"))
     tagged = [F.transform(spans(F.col("text"), p, g, n), tag(i)) for i, (_, p, g, n) in enumerate(kinds)]
