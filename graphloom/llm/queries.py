@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, language_id, line_dedup, mixing, pieces, quality, secrets, simhash, topk, toxicity
+from . import jpeg, language_id, line_dedup, middle, mixing, pieces, quality, secrets, simhash, topk, toxicity
 from .common import table
 from .oracles import ORACLES
 
@@ -59,6 +59,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = {"output_sha256": F.col("output"), "restored_sha256": middle.restore(F.col("output"), F.col("form"))}
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *[F.sha2(c.cast("binary"), 256).alias(k) for k, c in digest.items()])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_line_dedup, op3_sentencepiece, op4_exact_top_k, op5_toxicity, op6_simhash_near_dedup, op7_language_id, op8_media_columns, op9_secret_scans, op10_quality)
+    f.__name__: f for f in (op1_source_mixing, op2_line_dedup, op3_sentencepiece, op4_exact_top_k, op5_toxicity, op6_simhash_near_dedup, op7_language_id, op8_media_columns, op9_secret_scans, op10_quality, op12_fill_in_middle)
 }
