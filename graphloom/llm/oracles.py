@@ -89,6 +89,20 @@ SELECT doc_id, len(l0)::BIGINT AS n_assign, len(l1)::BIGINT AS n_access, len(l2)
 """
 
 
+OP11 = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT row, pos, md5(b[pos + 1:pos + 200]) AS h FROM (SELECT row, b, unnest(range(octet_length(b) - 199)) AS pos FROM d WHERE octet_length(b) >= 200)),
+again AS (SELECT row, pos FROM w WHERE h IN (SELECT h FROM w GROUP BY 1 HAVING count(*) > 1)),
+begun AS (SELECT row, pos, coalesce(pos - lag(pos) OVER o > 200, true)::INT AS new FROM again WINDOW o AS (PARTITION BY row ORDER BY pos)),
+spans AS (SELECT row, no, min(pos) AS start, max(pos) + 200 AS end FROM (SELECT row, pos, sum(new) OVER (PARTITION BY row ORDER BY pos) AS no FROM begun) GROUP BY 1, 2),
+gaps AS (SELECT row, no, coalesce(lag("end") OVER o, 0) AS low, start AS high FROM spans WINDOW o AS (PARTITION BY row ORDER BY no)
+  UNION ALL SELECT d.row, 1 + coalesce(max(no), 0), coalesce(max("end"), 0), octet_length(any_value(b)) FROM d LEFT JOIN spans USING (row) GROUP BY 1),
+kept AS (SELECT row, string_agg(hex(b[low + 1:high]), '' ORDER BY no) AS k FROM gaps JOIN d USING (row) GROUP BY 1),
+n AS (SELECT row, sum("end" - start) AS n_removed, count(*) AS n_spans FROM spans GROUP BY 1)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (row) LEFT JOIN n USING (row)
+"""
+
 OP12 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
 h AS (SELECT *, len(t)::BIGINT AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || x[i:i + 7])::BIGINT) AS h FROM d),
@@ -119,4 +133,4 @@ SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank
 """
 
 
-ORACLES = {"op1_source_mixing": OP1, "op2_line_dedup": OP2, "op4_exact_top_k": OP4, "op9_secret_scans": _op9(), "op12_fill_in_middle": OP12, "op13_source_divergence": OP13}
+ORACLES = {"op1_source_mixing": OP1, "op2_line_dedup": OP2, "op4_exact_top_k": OP4, "op9_secret_scans": _op9(), "op11_suffix_dedup": OP11, "op12_fill_in_middle": OP12, "op13_source_divergence": OP13}

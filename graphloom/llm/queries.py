@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, jpeg, language_id, line_dedup, middle, mixing, pieces, quality, secrets, simhash, topk, toxicity
+from . import divergence, jpeg, language_id, line_dedup, middle, mixing, pieces, quality, secrets, simhash, suffixes, topk, toxicity
 from .common import table
 from .oracles import ORACLES
 
@@ -59,6 +59,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = middle.fill_in_middle(table(spark, sf_dir, "documents"))
     digest = {"output_sha256": F.col("output"), "restored_sha256": middle.restore(F.col("output"), F.col("form"))}
@@ -70,5 +76,5 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_source_mixing, op2_line_dedup, op3_sentencepiece, op4_exact_top_k, op5_toxicity, op6_simhash_near_dedup, op7_language_id, op8_media_columns, op9_secret_scans, op10_quality, op12_fill_in_middle, op13_source_divergence)
+    f.__name__: f for f in (op1_source_mixing, op2_line_dedup, op3_sentencepiece, op4_exact_top_k, op5_toxicity, op6_simhash_near_dedup, op7_language_id, op8_media_columns, op9_secret_scans, op10_quality, op11_suffix_dedup, op12_fill_in_middle, op13_source_divergence)
 }
