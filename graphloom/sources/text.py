@@ -1,29 +1,48 @@
-"""Text formats. Ids in edge lists are 1-based, in GML and everywhere else 0-based."""
+"""Text formats. Ids in edge lists are 1-based, in GML and everywhere else 0-based.
+
+Files are read in splits, each by a task of its own, and written as one part for each range of lines; parts in the order of their names are the file.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..model import Graph
 from ..runtime import running_totals, stash
 
-#: A file is one text with numbered lines; the order of lines matters in all formats.
 BLANK = r"^\s*$"
+#: Where a piece of text stands: its file, the split of it, and the place within.
+PLACE = ["file", "split", "place"]
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, text`` of a file; a missing file raises FileNotFoundError.
+def placed(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
+    """``file, split, place, text``: what stands between separators in a file, or in the files of a folder one after the other.
 
-    A file is read as one value, so that its lines can be numbered; larger graphs belong into Parquet.
+    Parts that Spark has written are ordered by their numbers, other files by name. ``place`` grows within a split without gaps. A
+    missing file raises FileNotFoundError.
     """
     from pyspark.errors import AnalysisException
 
     try:
-        whole = spark.read.text(path, wholetext=True)
+        found = spark.read.option("lineSep", separator).text(path)
     except AnalysisException as e:
         raise FileNotFoundError(path) from e
-    return whole.select(F.posexplode(F.split("value", "\n", -1)).alias("line_no", "text"))
+    name = F.col("_metadata.file_path")
+    folder, number = F.regexp_extract(name, r"^(.*/)[^/]*$", 1), F.regexp_extract(name, r"/part-(\d+)[^/]*$", 1).try_cast("long")
+    return found.select(F.struct(folder.alias("folder"), number.alias("number"), name.alias("name")).alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("text"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``line_no, text`` of a file or folder, from 0.
+
+    The splits are read by as many tasks. A line's number is its place in its split and the lines of all splits before, of which there is one row each.
+    """
+    lines = stash(placed(spark, path))
+    splits = lines.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = stash(running_totals(splits, [F.col("file"), F.col("split")], {"before": F.col("n")}).select("file", "split", "first", "before"))
+    return lines.join(before, ["file", "split"]).select((F.col("before") + F.col("place") - F.col("first")).alias("line_no"), "text")
 
 
 def is_comment(text: Column) -> Column:
@@ -56,32 +75,82 @@ def load_graph(spark: SparkSession, path: str, directed: bool = False) -> Graph:
 
 
 def load_labels(spark: SparkSession, path: str, num_nodes: int) -> DataFrame:
-    """SRC-2. Whole numbers, one for each vertex, over any number of lines. Too many, too few or anything else raise ValueError."""
-    lines = numbered_lines(spark, path).where(~is_comment(F.col("text")))
-    words = lines.select("line_no", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), 0)).alias("at", "word"))
-    words = stash(running_totals(words.select("line_no", "at", F.col("word").try_cast("long").alias("label")), [F.col("line_no"), F.col("at")], {"id": F.lit(1).cast("long")}))
+    """SRC-2. Whole numbers, one for each vertex, over any number of lines. Too many, too few or anything else raise ValueError.
+
+    All labels may stand in one line, so the file is cut at spaces; whether a piece lies in a comment is carried from the last piece with a line's
+    beginning before it, over the splits as well.
+    """
+    pieces = stash(placed(spark, path, " ").select(*PLACE, F.split("text", "\n", -1).alias("lines")))
+    start = pieces.agg(F.min(F.struct(*PLACE)).alias("p")).first()["p"]
+    is_start = (F.col("place") == F.lit(start["place"] if start else None)) & (F.col("split") == 0)
+    # Whether the line that goes on behind a piece is a comment; null where the piece begins none.
+    begun = F.when(F.size("lines") > 1, is_comment(F.element_at("lines", -1))).when(is_start, is_comment(F.col("lines")[0]))
+    pieces = pieces.withColumns({"begun": begun, "starts": is_start})
+    splits = pieces.groupBy("file", "split").agg(F.max_by("begun", F.when(F.col("begun").isNotNull(), F.col("place"))).alias("last"))
+    # One row for each split.
+    earlier = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
+    carried = stash(splits.select("file", "split", F.last("last", ignorenulls=True).over(earlier).alias("carried")))
+    inside = Window.partitionBy("file", "split").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    goes_on = F.coalesce(F.last("begun", ignorenulls=True).over(inside), F.col("carried"), F.lit(False))
+    inherited = F.when(F.col("starts"), is_comment(F.col("lines")[0])).otherwise(goes_on)
+    lines = pieces.join(carried, ["file", "split"]).select(*PLACE, inherited.alias("inherited"), F.posexplode("lines").alias("k", "line"))
+    lines = lines.where(~F.when(F.col("k") == 0, F.col("inherited")).otherwise(is_comment(F.col("line"))))
+    words = lines.select(*PLACE, "k", F.posexplode(F.regexp_extract_all("line", F.lit(r"\S+"), 0)).alias("at", "word"))
+    order = [F.col(c) for c in (*PLACE, "k", "at")]
+    words = stash(running_totals(words.select(*PLACE, "k", "at", F.col("word").try_cast("long").alias("label")), order, {"id": F.lit(1).cast("long")}))
     row = words.agg(F.count("*").alias("n"), F.count_if(F.col("label").isNull() | (F.col("label") < 0)).alias("bad")).first()
     if row["bad"] or row["n"] != num_nodes:
         raise ValueError(f"{path}: {num_nodes} labels were expected, {row['n']} found, {row['bad']} of them no label")
     return words.select("id", "label")
 
 
+def gml_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """``line_no, at, token, depth, opened``: the words, strings and brackets of a GML file, how many lists are open before each, and how many lists of the second level have begun.
+
+    Brackets within strings are none. A string may go on over lines, of which only its beginning is kept; lines that begin with ``#`` are comments.
+    """
+    lines = numbered_lines(spark, path).where(~F.col("text").startswith("#"))
+    quotes = F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))
+    lines = running_totals(lines.withColumn("quotes", quotes), [F.col("line_no")], {"before": F.col("quotes")})
+    # A line that begins within a string counts from the string's end, if it has one.
+    text = F.when(F.col("before") % 2 == 0, F.col("text")).otherwise(F.regexp_replace("text", '^[^"]*("|$)', ""))
+    pattern = r'"[^"]*"?|\[|\]|[^\s\[\]"]+'
+    tokens = lines.select("line_no", F.posexplode(F.regexp_extract_all(text, F.lit(pattern), 0)).alias("at", "token"))
+    order = [F.col("line_no"), F.col("at")]
+    step = F.when(F.col("token") == "[", 1).when(F.col("token") == "]", -1).otherwise(0)
+    tokens = running_totals(tokens, order, {"depth": step.cast("long")})
+    begins = ((F.col("token") == "[") & (F.col("depth") == 1)).cast("long")
+    tokens = running_totals(tokens, order, {"opened": begins})
+    return tokens.withColumn("opened", F.col("opened") + begins)
+
+
 def load_gml(spark: SparkSession, path: str) -> tuple[Graph, DataFrame]:
-    """SRC-5. The graph, and ``id, name`` of its vertices; ids are made 0 .. n-1 in the order of the file's."""
-    from pyspark.errors import AnalysisException
+    """SRC-5. The graph, and ``id, name`` of its vertices; ids are made 0 .. n-1 in the order of the file's.
 
-    try:
-        whole = stash(spark.read.text(path, wholetext=True))
-    except AnalysisException as e:
-        raise FileNotFoundError(path) from e
-    directed = whole.where(F.col("value").rlike(r"(?s)^[^\[]*graph\s*\[[^\[]*?directed\s+1\b")).count() > 0
-    blocks = lambda kind: whole.select(F.explode(F.regexp_extract_all("value", F.lit(rf"\b{kind}\s*\[[^\]]*\]"), 0)).alias("b"))
-    number = lambda key: F.regexp_extract("b", rf"\b{key}\s+([-+0-9.eE]+)", 1)
-    nodes = blocks("node").select(number("id").cast("long").alias("key"), F.regexp_extract("b", r'\blabel\s+"([^"]*)"', 1).alias("name"))
+    Lists within a vertex or edge are passed over, strings may hold brackets, and the lists of vertices and edges may stand in any order.
+    """
+    tokens = stash(gml_tokens(spark, path))
+    order = F.struct("line_no", "at")
+    word = ~F.col("token").isin("[", "]")
+    # What stands between two lists of the second level are a few words of the graph itself; the last one names the list.
+    own = tokens.where(word & (F.col("depth") == 1))
+    kinds = own.groupBy((F.col("opened") + 1).alias("opened")).agg(F.max_by("token", order).alias("kind"))
+    follows = F.lag("token").over(Window.partitionBy("opened").orderBy("line_no", "at"))
+    directed = not own.select("token", follows.alias("key")).where("key = 'directed' AND token = '1'").isEmpty()
+    # In a list of the second level keys and values take turns, but for keys of further lists.
+    listed = Window.partitionBy("opened").orderBy("line_no", "at")
+    inner = tokens.where("depth >= 2").withColumn("next", F.lead("token").over(listed))
+    turn = inner.where(word & (F.col("depth") == 2) & ~F.coalesce(F.col("next") == "[", F.lit(False))).withColumns({"turn": F.row_number().over(listed), "value": F.lead("token").over(listed)})
+    pairs = turn.where("turn % 2 = 1").select("opened", F.col("token").alias("key"), "value", order.alias("order"))
+    first = lambda key: F.min_by("value", F.when(F.col("key") == key, F.col("order"))).alias(key)
+    lists = stash(pairs.groupBy("opened").agg(*[first(k) for k in ("id", "label", "source", "target", "value")]).join(kinds, "opened"))
+    number = lambda c: F.col(c).try_cast("long")
+    plain = F.regexp_replace("label", '^"|"$', "")
+    nodes = lists.where("kind = 'node'").select(number("id").alias("key"), F.coalesce(plain, F.lit("")).alias("name"))
     nodes = stash(running_totals(nodes, [F.col("key")], {"id": F.lit(1).cast("long")}))
-    edges = blocks("edge").select(number("source").cast("long").alias("s"), number("target").cast("long").alias("t"), F.coalesce(number("value").try_cast("float"), F.lit(1.0)).alias("weight"))
-    own = lambda key, name: nodes.select(F.col("key").alias(key), F.col("id").alias(name))
-    links = edges.join(own("s", "src"), "s").join(own("t", "dst"), "t").select(F.lit(0).alias("seq"), "src", "dst", "weight")
+    edges = lists.where("kind = 'edge'").select(number("source").alias("s"), number("target").alias("t"), F.coalesce(F.col("value").try_cast("float"), F.lit(1.0)).alias("weight"), F.col("opened").alias("seq"))
+    end = lambda key, name: nodes.select(F.col("key").alias(key), F.col("id").alias(name))
+    links = edges.join(end("s", "src"), "s").join(end("t", "dst"), "t").select("seq", "src", "dst", "weight")
     return Graph.empty(spark, nodes.count(), directed).set_edges(links), nodes.select("id", "name")
 
 
@@ -134,8 +203,21 @@ def gml_lines(graph: Graph, attributes: dict[str, DataFrame] | None = None) -> D
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """One text file in a folder, in order. What fits into a text file fits into one task."""
-    lines.repartition(1).sortWithinPartitions("block", "a", "b").select("line").write.text(path)
+    """The lines as a folder of parts, each a range of them; the parts one after the other are the file."""
+    lines.orderBy("block", "a", "b").select("line").write.text(path)
+
+
+def write_labels(labels: DataFrame, path: str) -> None:
+    """SNK-2 as a folder: heading, all labels but the last with a space behind each in parts by ranges of ids, and the last one with the line's end.
+
+    The parts of ``block=0``, ``block=1`` and ``block=2`` one after the other are the file.
+    """
+    spark = labels.sparkSession
+    last = labels.agg(F.max_by("label", "id").alias("label"), F.max("id").alias("id")).first()
+    spark.createDataFrame([("# Labels",)], "line string").write.text(f"{path}/block=0")
+    body = labels.where(F.col("id") < F.lit(last["id"])).orderBy("id").select(F.col("label").cast("string"))
+    body.write.option("lineSep", " ").text(f"{path}/block=1")
+    spark.createDataFrame([("" if last["label"] is None else str(last["label"]),)], "line string").write.text(f"{path}/block=2")
 
 
 def collect_lines(lines: DataFrame) -> list[str]:
