@@ -22,7 +22,9 @@ def prepared(spark: SparkSession, options: argparse.Namespace) -> Graph:
     if options.unweighted:
         graph = graph.clamp(1.0, 1.0)
     if options.invert:
-        graph = graph.invert(1.0, True)
+        # Reports and components need no cell of the complement.
+        sparse = graph.complement(1.0, True).checkpointed()
+        return sparse if options.program in ("metrics", "components") else sparse.materialized().checkpointed()
     return graph.checkpointed()
 
 

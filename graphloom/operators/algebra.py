@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +12,40 @@ from ..runtime import drop_stash, stash
 if TYPE_CHECKING:
     from ..model import Graph
 
-#: Cells up to which the power iteration runs in one task; 16 bytes each.
-KERNEL_CELLS = 4_000_000
 
+class PowerIteration:
+    """What needs products with vectors only."""
 
-class Algebra:
+    def power_iteration(self: Graph, iterations: int = 0) -> tuple[DataFrame, float]:
+        """ALG-7. Dominant eigenvector ``id, value`` and its Rayleigh quotient after ``iterations`` (0: 100) normalised steps.
+
+        Starts from fixed values in (0, 1], so runs agree. A step is one product, written to the shared folder; its length, one row, is divided out
+        in the next step, so a step is one job and a graph of any size goes the same way. The cells are written by their targets beforehand.
+        """
+        own = self._by_target()
+        x = stash(self.nodes.select("id", ((F.col("id") * 7919 % 1000 + 1) / 1000.0).alias("value")))
+        square = lambda v: v.agg(F.sum(F.col("value") * F.col("value")).alias("s")).first()["s"] or 0.0
+        norm = square(x) ** 0.5
+        for _ in range(iterations or 100):
+            y = stash(own.multiply_vector(x.select("id", (F.col("value") / F.lit(norm)).alias("value"))))
+            longer = square(y) ** 0.5
+            if longer == 0:
+                drop_stash(y)
+                break
+            drop_stash(x)
+            x, norm = y, longer
+        if norm == 0:
+            return self.nodes.select("id", F.lit(0.0).alias("value")), 0.0
+        unit = stash(x.select("id", (F.col("value") / F.lit(norm)).alias("value")))
+        both = own.multiply_vector(unit).select("id", F.col("value").alias("_y")).join(unit, "id")
+        value = both.agg(F.sum(F.col("_y") * F.col("value")).alias("e")).first()["e"] or 0.0
+        return unit, value
+
+    def _by_target(self: Graph) -> Graph:
+        return self.checkpointed()
+
+
+class Algebra(PowerIteration):
     def add_elementwise(self: Graph, other: Graph) -> Graph:
         """ALG-1. A union and a sum: cheaper than an outer join, and the same."""
         self.require_same_size(other)
@@ -57,45 +85,3 @@ class Algebra:
         terms = self.cells.join(vector.select(F.col("id").alias("dst"), "value"), "dst")
         sums = terms.groupBy(F.col("src").alias("id")).agg(F.sum(F.col("weight").cast("double") * F.col("value")).alias("value"))
         return self.nodes.join(sums, "id", "left").select("id", F.coalesce("value", F.lit(0.0)).alias("value"))
-
-    def power_iteration(self: Graph, iterations: int = 0) -> tuple[DataFrame, float]:
-        """ALG-7. Dominant eigenvector ``id, value`` and its Rayleigh quotient after ``iterations`` (0: 100) normalised steps.
-
-        Starts from fixed values in (0, 1], so runs agree. Graphs of at most KERNEL_CELLS cells run in one task; beyond
-        that each step is a join whose result is written to the shared folder.
-        """
-        steps = iterations or 100
-        start = lambda i: ((i * 7919) % 1000 + 1) / 1000.0
-        if self.num_nodes <= KERNEL_CELLS and self.cells.limit(KERNEL_CELLS + 1).count() <= KERNEL_CELLS:
-            n = self.num_nodes
-
-            def kernel(pdf):
-                import pandas as pd
-
-                src, dst, w = pdf["src"].to_numpy(), pdf["dst"].to_numpy(), pdf["weight"].to_numpy(float)
-                x = start(np.arange(n))
-                x /= np.sqrt(x @ x)
-                for _ in range(steps):
-                    y = np.bincount(src, w * x[dst], minlength=n)
-                    norm = np.sqrt(y @ y)
-                    if norm == 0:
-                        break
-                    x = y / norm
-                value = x @ np.bincount(src, w * x[dst], minlength=n)
-                return pd.DataFrame({"id": np.arange(n), "value": x, "eigenvalue": value})
-
-            found = stash(self.cells.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(kernel, "id long, value double, eigenvalue double"))
-            row = found.select("eigenvalue").first()
-            if row is None:  # no edges: nothing is stretched
-                return self.nodes.select("id", F.lit(0.0).alias("value")), 0.0
-            return found.select("id", "value"), row["eigenvalue"]
-        x = stash(self.nodes.select("id", ((F.col("id") * 7919 % 1000 + 1) / 1000.0).alias("value")))
-        for _ in range(steps):
-            y = stash(self.multiply_vector(x))
-            norm = y.agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("n")).first()["n"]
-            if not norm:
-                break
-            old, x = x, stash(y.select("id", (F.col("value") / norm).alias("value")))
-            drop_stash(old, y)
-        both = self.multiply_vector(x).select("id", F.col("value").alias("_y")).join(x, "id")
-        return x, both.agg(F.sum(F.col("_y") * F.col("value")).alias("e")).first()["e"]

@@ -11,6 +11,7 @@ from ..functions import single
 
 if TYPE_CHECKING:
     from ..model import Graph
+    from .complement import Complement
 
 #: Dense results have the square of the vertex count as rows; for more vertices than this they have to be asked for with ``limit=None``.
 DENSE_LIMIT = 20_000
@@ -85,6 +86,15 @@ class EdgeAccess:
         left = every.join(self.cells, ["src", "dst"], "left").withColumn("_new", single(top - F.col("weight")))
         return self.like(left.where("weight is null or _new > 0").select("src", "dst", F.coalesce("_new", top).alias("weight")))
 
+    def complement(self: Graph, max_weight: float = 1.0, self_loops: bool = True) -> Complement:
+        """PRJ-5 without the square: the same edges as :meth:`invert` as a common weight and the cells that differ from it."""
+        from .complement import Complement
+
+        top = single(F.lit(max_weight))
+        left = single(top - F.col("weight"))
+        cells = self.cells if self_loops else self.cells.where("src <> dst")
+        return Complement(cells.select("src", "dst", F.when(left > 0, left).alias("weight")), self.num_nodes, self.directed, max_weight, self_loops)
+
     def nonexistent(self: Graph, limit: int | None = DENSE_LIMIT) -> DataFrame:
         """ITR-5. Pairs without an edge."""
         return self._square("the complement", limit).join(self.cells, ["src", "dst"], "left_anti")
