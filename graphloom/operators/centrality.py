@@ -1,23 +1,71 @@
-"""Closeness and harmonic centrality from hop distances between all pairs."""
+"""Closeness and harmonic centrality from searches that carry many sources as bits."""
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ratio
+from ..runtime import bucketed, stash
 from .traverse import UNREACHABLE
 
 if TYPE_CHECKING:
     from ..model import Graph
 
+#: Longs of a row, with a bit for each of its sources.
+WORDS = 16
+BLOCK = 64 * WORDS
+#: Bits of all vertices and sources that one pass holds; more sources go in several passes, with the same result.
+PASS_BITS = 1 << 36
+
 
 class Centrality:
+    def hop_counts(self: Graph, most: int | None = None, block_bits: int = PASS_BITS) -> DataFrame:
+        """``id, hops, n``: how many vertices are at each distance from ``id``, itself left out; distances that none has are missing.
+
+        A row holds for a vertex and :data:`BLOCK` targets the bits of those that the last round reached. A round joins rows with the edges that lead to
+        their vertices, ors what meets and takes away what was reached before; the ones are counted, so no pair has a row.
+        """
+        n = self.num_nodes
+        at_once = max(1, block_bits // max(1, n) // BLOCK) * BLOCK
+        # The edges are dealt out once; a round only moves its bits.
+        edges = bucketed(self.cells.select(F.col("dst").alias("v"), F.col("src").alias("u")), "v")
+        words, zero = [f"b{k}" for k in range(WORDS)], F.lit(0).cast("long")
+        counted = []
+        for low in range(0, n, at_once):
+            place = (F.col("id") % BLOCK).cast("int")
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), place % 64)
+            first = self.spark.range(low, min(n, low + at_once)).select(F.col("id").alias("v"), F.expr(f"id div {BLOCK}").alias("block"), *[F.when(F.floor(place / 64) == k, bit).otherwise(zero).alias(w) for k, w in enumerate(words)])
+            rounds, seen, hops = [stash(first)], None, 0
+            while most is None or hops < most:
+                hops += 1
+                moved = rounds[-1].join(edges, "v").select(F.col("u").alias("v"), "block", *words, *[zero.alias(f"s{w}") for w in words])
+                # Undirected: a neighbour of the last round is in it, in the one before, or new. Else all that was reached is kept for each vertex.
+                before = rounds[-2:] if not self.directed else [seen or rounds[0]]
+                known = reduce(DataFrame.unionByName, [x.select("v", "block", *words) for x in before])
+                known = known.select("v", "block", *[zero.alias(w) for w in words], *[F.col(w).alias(f"s{w}") for w in words])
+                met = moved.unionByName(known).groupBy("v", "block").agg(*[F.bit_or(w).alias(w) for w in [*words, *(f"s{w}" for w in words)]])
+                new = [F.col(w).bitwiseAND(F.bitwise_not(F.col(f"s{w}"))) for w in words]
+                if self.directed:
+                    both = stash(met.select("v", "block", *[c.alias(w) for w, c in zip(words, new, strict=True)], *[F.col(w).bitwiseOR(F.col(f"s{w}")).alias(f"s{w}") for w in words]))
+                    found = both.where(_any(words)).select("v", "block", *words)
+                    seen = both.select("v", "block", *[F.col(f"s{w}").alias(w) for w in words])
+                else:
+                    found = stash(met.select("v", "block", *[c.alias(w) for w, c in zip(words, new, strict=True)]).where(_any(words)))
+                if found.isEmpty():
+                    break
+                rounds.append(found)
+                ones = reduce(lambda a, b: a + b, [F.bit_count(w) for w in words])
+                counted.append(found.select(F.col("v").alias("id"), F.lit(hops).cast("long").alias("hops"), ones.cast("long").alias("n")))
+        if not counted:
+            return self.nodes.select("id", zero.alias("hops"), zero.alias("n")).where("false")
+        return reduce(DataFrame.unionByName, counted).groupBy("id", "hops").agg(F.sum("n").alias("n"))
+
     def _hops(self: Graph, most: int | None) -> DataFrame:
-        found = self.hop_tree(self.nodes.select(F.col("id").alias("source")), most).where("source <> to")
-        own = found.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n"), F.sum("count").alias("total"), F.sum(1.0 / F.col("count")).alias("inverse"))
+        own = self.hop_counts(most).groupBy("id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("hops")).alias("total"), F.sum(F.col("n") / F.col("hops")).alias("inverse"))
         zero = F.lit(0)
         return self.nodes.join(own, "id", "left").select("id", F.coalesce("n", zero).alias("n"), F.coalesce("total", zero).alias("total"), F.coalesce("inverse", F.lit(0.0)).alias("inverse"))
 
@@ -41,3 +89,7 @@ class Centrality:
         ignore = unreachable == "ignore" or (fast and max_count in (0, 1, 2, 3))
         rest = F.lit(0.0) if ignore else (n - F.col("n")) / F.lit(float(UNREACHABLE))
         return self._hops(max_count).select("id", ratio(F.col("inverse") + rest, F.lit(n)).alias("value"))
+
+
+def _any(words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(w) != 0 for w in words])

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from ..runtime import drop_stash, stash
 from .components import component_roots
 from .labels import simplify_labels
+from .visited import Visited
 
 if TYPE_CHECKING:
     from ..model import Graph
 
 #: The hop count of a vertex that can't be reached, where tables show one.
 UNREACHABLE = 4294967295
+#: The bucket of weights that are infinite, not a number or out of scale.
+LAST = 1 << 60
 
 
 class Traversal:
@@ -33,48 +36,115 @@ class Traversal:
         """
         first = starts.select("source", F.lit(None).cast("long").alias("from"), F.col("source").alias("to"), F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("weight"))
         rounds, hops = [stash(first)], 0
+        reached = Visited()
+        reached.add(rounds[0])
         while most is None or hops < most:
             hops += 1
             edge = self.cells.select(F.col("src").alias("to"), "dst", F.col("weight").cast("double").alias("_w"))
-            ways = rounds[-1].join(edge, "to").groupBy("source", "dst").agg(F.min(F.struct(F.col("to").alias("from"), (F.col("weight") + F.col("_w")).alias("weight"))).alias("way"))
-            # Undirected: a neighbour of the last round is in that round, the one before, or new.
-            known = reduce(DataFrame.unionByName, rounds if self.directed else rounds[-2:]).select("source", F.col("to").alias("dst"))
-            new = ways.join(known, ["source", "dst"], "left_anti")
-            found = stash(new.select("source", "way.from", F.col("dst").alias("to"), F.lit(hops).cast("long").alias("count"), "way.weight"))
+            ways = rounds[-1].join(edge, "to").groupBy("source", F.col("dst").alias("to")).agg(F.min(F.struct(F.col("to").alias("from"), (F.col("weight") + F.col("_w")).alias("weight"))).alias("way"))
+            if self.directed:
+                new = reached.without(ways)
+            else:
+                # A neighbour of the last round is in that round, the one before, or new.
+                new = ways.join(reduce(DataFrame.unionByName, rounds[-2:]).select("source", "to"), ["source", "to"], "left_anti")
+            found = stash(new.select("source", "way.from", "to", F.lit(hops).cast("long").alias("count"), "way.weight"))
             if found.isEmpty():
                 drop_stash(found)
                 break
             rounds.append(found)
+            if self.directed:
+                reached.add(found)
             if until is not None and not found.where(F.col("to") == until).isEmpty():
                 break
         return reduce(DataFrame.unionByName, rounds)
 
     def weight_tree(self: Graph, starts: DataFrame, most: float | None = None, until: int | None = None) -> DataFrame:
-        """The same by least weight: relaxation until nothing improves, by weight, then hops, then parent's id.
+        """The same by least weight, then hops, then parent's id.
 
-        Only rows that improved go into the next round. With ``until`` (and one source), ways that are longer than one to that vertex aren't followed. Negative weights raise ValueError.
+        Vertices are settled in buckets of weight. In the open bucket short edges are followed until nothing improves; then all its vertices are final, and their edges lead to
+        candidates of later buckets, which nobody looks at before. So a round rewrites the open bucket alone. With ``until`` it ends when that vertex is settled. Negative weights raise ValueError.
         """
-        if not self.cells.where("weight < 0").isEmpty():
+        row = self.cells.agg(F.min("weight").alias("low"), F.avg(F.when(F.abs("weight") < float("inf"), F.col("weight"))).alias("mean")).first()
+        if row["low"] is not None and row["low"] < 0:
             raise ValueError("shortest paths need weights of 0 or more")
-        way = F.struct(F.col("weight"), F.col("count"), F.col("from")).alias("way")
-        best = stash(starts.select("source", F.col("source").alias("to"), F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("count"), F.lit(None).cast("long").alias("from"), F.lit(True).alias("new")))
-        while not best.where("new").isEmpty():
-            edge = self.cells.select(F.col("src").alias("to"), "dst", F.col("weight").cast("double").alias("_w"))
-            tried = best.where("new").join(edge, "to").select("source", F.col("dst").alias("_to"), (F.col("weight") + F.col("_w")).alias("weight"), (F.col("count") + 1).alias("count"), F.col("to").alias("from"))
-            if until is not None:
-                found = best.where(F.col("to") == until).agg(F.min("weight").alias("w")).first()["w"]
-                most = found if most is None else most if found is None else min(most, found)
-            if most is not None:
-                tried = tried.where(F.col("weight") <= most)
-            tried = tried.groupBy("source", F.col("_to").alias("to")).agg(F.min(way).alias("way"))
-            old = best.select("source", "to", way.alias("old"))
-            both = old.join(tried, ["source", "to"], "full_outer")
-            # A start keeps its own row: nothing is less than weight 0 and 0 hops.
-            better = F.col("old").isNull() | (F.col("way").isNotNull() & (F.struct("way.weight", "way.count", F.coalesce("way.from", F.lit(-1))) < F.struct("old.weight", "old.count", F.coalesce("old.from", F.lit(-1)))))
-            kept = stash(both.select("source", "to", F.when(better, F.col("way")).otherwise(F.col("old")).alias("w"), better.alias("new")).select("source", "to", "w.*", "new"))
-            drop_stash(best)
-            best = kept
-        return best.select("source", "from", "to", "count", "weight")
+        step = 2 * row["mean"] if row["mean"] else 1.0
+        edge = self.cells.select(F.col("src").alias("to"), "dst", F.col("weight").cast("double").alias("_w"))
+        places = F.col("weight") / F.lit(step)
+        bucket = F.when(F.isnan(places) | (places >= LAST), F.lit(LAST)).otherwise(F.floor(places)).cast("long")
+        way = F.struct("weight", "count", "from").alias("way")
+        first = starts.select("source", F.col("source").alias("to"), F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("count"), F.lit(None).cast("long").alias("from"), F.lit(0).cast("long").alias("bucket"))
+        waiting, settled, final = [(stash(first), 0, 0)], Visited(), []
+
+        def followed(rows: DataFrame, edges: DataFrame) -> DataFrame:
+            tried = rows.join(edges, "to").select("source", F.col("dst").alias("to"), (F.col("weight") + F.col("_w")).alias("weight"), (F.col("count") + 1).alias("count"), F.col("to").alias("from"))
+            return (tried if most is None else tried.where(F.col("weight") <= most)).withColumn("bucket", bucket)
+
+        best = lambda rows: rows.groupBy("source", "to").agg(F.min(way).alias("way"))
+        while waiting:
+            k = min(low for _, low, _ in waiting)
+            due = reduce(DataFrame.unionByName, [t for t, low, high in waiting if low <= k <= high]).where(F.col("bucket") == k)
+            opened = stash(settled.without(best(due)).select("source", "to", "way", F.lit(True).alias("new")))
+            # Only edges that are shorter than a bucket can end in it; in the last one, of what is out of scale, all can.
+            short = edge.where(F.col("_w") < step) if k < LAST else edge
+            while not opened.where("new").isEmpty():
+                tried = followed(opened.where("new").select("source", "to", "way.*"), short).where(F.col("bucket") == k)
+                tried = settled.without(best(tried)).select("source", "to", F.col("way").alias("other"))
+                both = opened.join(tried, ["source", "to"], "full_outer")
+                # A start keeps its own row: nothing is less than weight 0 and 0 hops.
+                key = lambda c: F.struct(f"{c}.weight", f"{c}.count", F.coalesce(F.col(f"{c}.from"), F.lit(-1)))
+                better = F.col("way").isNull() | (F.col("other").isNotNull() & (key("other") < key("way")))
+                kept = stash(both.select("source", "to", F.when(better, F.col("other")).otherwise(F.col("way")).alias("way"), better.alias("new")))
+                drop_stash(opened)
+                opened = kept
+            rows = opened.select("source", "way.from", "to", "way.count", "way.weight")
+            final.append(rows)
+            settled.add(opened)
+            if until is not None and not rows.where(F.col("to") == until).isEmpty():
+                break
+            later = stash(best(followed(rows, edge).where(F.col("bucket") > k)).select("source", "to", "way.*").withColumn("bucket", bucket))
+            span = later.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).first()
+            # What starts no earlier than the next bucket is left of each table that waits.
+            ahead = [(t, self._next_bucket(t, k), high) for t, _, high in waiting if high > k]
+            waiting = ahead + ([(later, span["low"], span["high"])] if span["low"] is not None else [])
+        return reduce(DataFrame.unionByName, final)
+
+    def _next_bucket(self: Graph, waiting: DataFrame, k: int) -> int:
+        return waiting.where(F.col("bucket") > k).agg(F.min("bucket").alias("b")).first()["b"]
+
+    def pair_distances(self: Graph, pairs: DataFrame, most: int | None = None) -> DataFrame:
+        """TRV-2 for a table of pairs ``a, b``: ``a, b, value``, the hops from ``a`` to ``b``, null if it can't be reached (in ``most`` hops).
+
+        Each pair searches from both ends at once, forwards from ``a`` and backwards from ``b``; the side with fewer vertices at its edge takes the next step. Both meet
+        in the middle, so a pair looks at the vertices of two half distances. Pairs that have met, or have a side that can't go on, leave. Repeated pairs are one.
+        """
+        wanted = stash(pairs.select("a", "b").distinct().withColumn("source", F.monotonically_increasing_id()))
+        there = lambda c: F.col(c).between(0, self.num_nodes - 1)
+        alive = wanted.where(there("a") & there("b"))
+        sides = [stash(alive.select("source", F.col(c).alias("to"))) for c in ("a", "b")]
+        edges = [self.cells.select(F.col(x).alias("to"), F.col(y).alias("_end")) for x, y in (("src", "dst"), ("dst", "src"))]
+        rounds, reached, hops = [[s] for s in sides], [Visited(), Visited()], 0
+        met = [stash(alive.where("a = b").select("source", F.lit(0).cast("long").alias("value")))]
+        for k in (0, 1):
+            reached[k].add(sides[k])
+            sides[k] = sides[k].join(met[0], "source", "left_anti")
+        while most is None or hops < most:
+            sizes = [s.count() for s in sides]
+            if not all(sizes):
+                break
+            k = 0 if sizes[0] <= sizes[1] else 1
+            ways = sides[k].join(edges[k], "to").select("source", F.col("_end").alias("to")).distinct()
+            found = stash(reached[k].without(ways) if self.directed else ways.join(reduce(DataFrame.unionByName, rounds[k][-2:]), ["source", "to"], "left_anti"))
+            hops += 1
+            rounds[k].append(found)
+            if self.directed:
+                reached[k].add(found)
+            new = stash(found.join(sides[1 - k], ["source", "to"], "left_semi").select("source").distinct().withColumn("value", F.lit(hops).cast("long")))
+            met.append(new)
+            # A pair goes on if it hasn't met and both sides have somewhere to go.
+            sides[k] = found.join(new, "source", "left_anti")
+            sides[1 - k] = stash(sides[1 - k].join(found.select("source").distinct(), "source", "left_semi").join(new, "source", "left_anti"))
+        every = reduce(DataFrame.unionByName, met)
+        return wanted.join(every, "source", "left").select("a", "b", "value")
 
     def bfs_count(self: Graph, start: int, most: int | None = None) -> DataFrame:
         """TRV-7. ``weight, count, from, to`` in the order of hops, then ids."""
@@ -85,9 +155,8 @@ class Traversal:
         return self.weight_tree(self._starts(start), most).select("weight", "count", "from", "to").orderBy("weight", "count", "to")
 
     def distance_count(self: Graph, i: int, j: int) -> int | None:
-        """TRV-2. Hops, null if ``j`` can't be reached."""
-        row = self.hop_tree(self._starts(i), most=0 if i == j else None, until=j).where(F.col("to") == j).first()
-        return row["count"] if row else None
+        """TRV-2. Hops, null if ``j`` can't be reached; searched from both ends."""
+        return self.pair_distances(self.spark.createDataFrame([(i, j)], "a long, b long")).first()["value"]
 
     def distance_weight(self: Graph, i: int, j: int) -> float:
         """TRV-3. Least weight, infinite if ``j`` can't be reached."""

@@ -53,6 +53,16 @@ def stash(df: DataFrame, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, files: str = "snappy") -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``key``, as many as shuffle partitions, so that joins and aggregates on it deal out only their other side."""
+    spark = df.sparkSession
+    n, name = partitions(spark), f"graphloom_{uuid.uuid4().hex}"
+    path = f"{_stash_folder(spark)}/{name}"
+    df.repartition(n, key).write.format("parquet").option("compression", files).option("path", path).bucketBy(n, key).saveAsTable(name)
+    _written.append((spark, path))
+    return spark.table(name)
+
+
 @contextmanager
 def scratch() -> Iterator[None]:
     """Tables that :func:`stash` writes inside are deleted at the end; what is still needed must have been written elsewhere by then."""
