@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from copy import copy
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import drop_stash, stash
+from ..runtime import bucketed, drop_stash, stash
 
 if TYPE_CHECKING:
     from ..model import Graph
@@ -42,7 +43,14 @@ class PowerIteration:
         return unit, value
 
     def _by_target(self: Graph) -> Graph:
-        return self.checkpointed()
+        """The same graph with its cells in buckets of their targets, where a product meets the vector."""
+        held = copy(self)
+        held.cells = bucketed(self.cells, "dst")
+        return held
+
+
+#: Edges of a heavy vertex that meet in one place of a product, from either side.
+TILE = 2_000
 
 
 class Algebra(PowerIteration):
@@ -68,12 +76,27 @@ class Algebra(PowerIteration):
     def scalar_product(self: Graph, other: Graph) -> float:
         return self.scalar_product_table(other).first()["product"]
 
-    def multiply(self: Graph, other: Graph) -> Graph:
-        """ALG-4. Matrix product. Undirected only for a graph's own square; other products of undirected graphs may be asymmetric."""
+    def multiply(self: Graph, other: Graph, tile: int = TILE) -> Graph:
+        """ALG-4. Matrix product. Undirected only for a graph's own square; other products of undirected graphs may be asymmetric.
+
+        A middle vertex with more than ``tile`` squared pairs of edges is cut into rows and columns of about ``tile`` edges each, and every row meets every column in
+        a place of its own, so that no task makes all its pairs.
+        """
         self.require_same_size(other)
         left = self.cells.select("src", F.col("dst").alias("_mid"), F.col("weight").alias("_w1"))
         right = other.cells.select(F.col("src").alias("_mid"), "dst", F.col("weight").alias("_w2"))
-        paths = left.join(right, "_mid").groupBy("src", "dst").agg(F.sum(F.col("_w1") * F.col("_w2")).alias("weight"))
+        into, out = (t.groupBy("_mid").agg(F.count("*").alias(c)) for t, c in ((left, "_in"), (right, "_out")))
+        # A middle vertex with many pairs of edges has more than TILE on one side, so there are few.
+        heavy = stash(into.join(out, "_mid").where(F.col("_in") * F.col("_out") > tile * tile).select("_mid", *[F.ceil(F.col(c) / tile).cast("int").alias(k) for c, k in (("_in", "_rows"), ("_out", "_columns"))]))
+        keys = ["_mid"]
+        if not heavy.isEmpty():
+            keys = ["_mid", "_row", "_column"]
+            one = F.lit(1)
+            spread = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, one) - 1))
+            part = lambda c, n: F.pmod(F.hash(c), F.coalesce(n, one))
+            left = left.join(heavy, "_mid", "left").select("src", "_mid", "_w1", part("src", F.col("_rows")).alias("_row"), spread(F.col("_columns")).alias("_column"))
+            right = right.join(heavy, "_mid", "left").select("_mid", "dst", "_w2", part("dst", F.col("_columns")).alias("_column"), spread(F.col("_rows")).alias("_row"))
+        paths = left.join(right, keys).groupBy("src", "dst").agg(F.sum(F.col("_w1") * F.col("_w2")).alias("weight"))
         return self.like(paths, self.directed if self.cells is other.cells else True)
 
     def square(self: Graph) -> Graph:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..model import Graph
 from ..operators import labels as L
 from ..operators.report import adj_rand_index_comp_table, metric_report
-from ..runtime import shared_root
+from ..runtime import new_folder
 from ..sources import text
 from . import graphs as G
 
@@ -253,6 +252,62 @@ _add(
     + ") SELECT metric, value FROM rows_ WHERE value IS NOT NULL AND NOT isnan(value)",
 )
 
+# Complements of the graph of parts, of which no query makes the square; the SQL does.
+_inv = f"{G.COPART}, i AS MATERIALIZED (SELECT a.id AS src, b.id AS dst, coalesce((10 - weight)::FLOAT, 10)::FLOAT AS weight FROM v a CROSS JOIN v b LEFT JOIN e ON src = a.id AND dst = b.id WHERE a.id <> b.id AND (weight IS NULL OR 10 - weight > 0))"
+_complement = lambda s, d: G.copart(s, d).checkpointed().complement(10, False)
+_vertices("inv_degrees", _complement, lambda c: c.out_degrees(), _inv, "SELECT v.id, count(src) AS value FROM v LEFT JOIN i ON src = v.id GROUP BY 1", integer=True)
+_vertices("inv_weights", _complement, lambda c: c.in_weights(), _inv, f"SELECT v.id, {_r('coalesce(sum(weight::DOUBLE), 0)')} AS value FROM v LEFT JOIN i ON dst = v.id GROUP BY 1")
+_vertices("inv_degree_anomalies", _complement, lambda c: c.degree_anomalies(), f"{_inv}, d AS (SELECT src AS id, count(*) AS d FROM i GROUP BY 1)", f"SELECT v.id, {_r('coalesce(count(d.d) - sum(d.d) / count(d.d), 0)')} AS value FROM v LEFT JOIN i ON src = v.id LEFT JOIN d ON d.id = dst GROUP BY 1")
+_vertices("inv_matvec", _complement, lambda c: c.multiply_vector(c.nodes.select("id", (F.col("id") % 7).cast("double").alias("value"))), _inv, f"SELECT v.id, {_r('coalesce(sum(weight::DOUBLE * (dst % 7)::DOUBLE), 0)')} AS value FROM v LEFT JOIN i ON src = v.id GROUP BY 1")
+_add("inv_counts", lambda s, d: _round(_complement(s, d).counts(), "weights"), f"WITH {_inv} SELECT count(*) // 2 AS links, count(*) AS cells, 0::BIGINT AS diagonal, {_r('sum(weight::DOUBLE) / 2')} AS weights FROM i")
+_one("inv_density", lambda s, d: _complement(s, d).density_table(), "density", _inv, f"SELECT {_r('(SELECT count(*) / 2.0 FROM i) / (count(*) * (count(*) - 1) / 2)')} AS density FROM v")
+_one("inv_modularity", lambda s, d: _complement(s, d).modularity_table(G.part_sizes(s, d)), "modularity", _inv + _mod.replace("o AS (SELECT label", "oo AS (SELECT label").format(o="oo").replace("FROM e ", "FROM i ").replace("FROM e)", "FROM i)").replace("sum(weight)", "sum(weight::DOUBLE)").replace(", i AS (SELECT label", ", ii AS (SELECT label").replace("JOIN i USING", "JOIN ii USING"), f"SELECT {_r('(s - q / n) / n')} AS modularity FROM s, w, q")
+_one("inv_antimodularity", lambda s, d: _complement(s, d).antimodularity_table(G.part_sizes(s, d)), "antimodularity", _inv + _anti.replace("FROM e ", "FROM i ").replace("sum(weight)", "sum(weight::DOUBLE)"), f"SELECT {_r(_anti_value)} AS antimodularity")
+_edges("inv_filter_weights", _complement, lambda c, *_: c.filter_weights(1, 8.5), _inv, f"{CELLS} i WHERE weight BETWEEN 1 AND 8.5")
+_edges("inv_again", _complement, lambda c, *_: c.invert(10, False), G.COPART, f"SELECT src, dst, {_r('least(weight, 10)')} AS weight FROM e")
+_edges("inv_row", _complement, lambda c, *_: c.out_edges(7), _inv, f"SELECT dst, {_r('weight')} AS weight FROM i WHERE src = 7")
+_vertices("inv_components", _complement, lambda c: c.connected_components(), f"{_inv}, z AS (SELECT 0::BIGINT AS id UNION SELECT dst FROM z JOIN i ON src = z.id)", "SELECT id, 0::BIGINT AS label FROM v WHERE id IN (SELECT id FROM z)", integer=True, recursive=True)
+
+# Larger graphs: distances between all parts are found round by round, each taking away the pairs that were there before.
+_all_pairs = "r0 AS (SELECT id AS s, id AS t FROM v), r1 AS MATERIALIZED (SELECT src AS s, dst AS t FROM e WHERE src <> dst)" + "".join(
+    f", r{k + 1} AS MATERIALIZED (SELECT DISTINCT r.s, e.dst AS t FROM r{k} r JOIN e ON r.t = e.src EXCEPT ({' UNION ALL '.join(f'SELECT s, t FROM r{j}' for j in range(k + 1))}))" for k in range(1, 12)
+)
+_far = "h AS (" + " UNION ALL ".join(f"SELECT s, t, {k} AS n FROM r{k}" for k in range(13)) + "), g AS (SELECT s, count(*) AS c, sum(n) AS t, sum(1.0::DOUBLE / n) AS i, sum(1.0::DOUBLE / n) FILTER (n <= 2) AS i2 FROM h WHERE n > 0 GROUP BY 1)"
+_vertices("cen_closeness_parts", _written(G.follow), lambda g: g.closeness_centrality().withColumn("value", F.col("value") * 1e6), f"{G.FOLLOW}, {_all_pairs}, {_far}", f"SELECT id, {_r(f'1e6 * {_n} / (coalesce(t, 0) + ({_n} - coalesce(c, 0)) * 4294967295.0::DOUBLE)')} AS value FROM v LEFT JOIN g ON s = id")
+_vertices("cen_harmonic_parts", _written(G.follow), lambda g: g.harmonic_centrality(), f"{G.FOLLOW}, {_all_pairs}, {_far}", f"SELECT id, {_r(f'(coalesce(i, 0) + ({_n} - coalesce(c, 0)) / 4294967295.0::DOUBLE) / {_n}')} AS value FROM v LEFT JOIN g ON s = id")
+# Undirected, two rounds: what the links lead to, and what is behind that.
+_vertices("cen_harmonic_bounded_parts", _written(G.copart), lambda g: g.harmonic_centrality(2, fast=True), f"{G.COPART}, r1 AS (SELECT src AS s, dst AS t FROM e), r2 AS (SELECT DISTINCT r1.s, e.dst AS t FROM r1 JOIN e ON r1.t = e.src WHERE r1.s <> e.dst EXCEPT SELECT s, t FROM r1), g AS (SELECT s, sum(i) AS i FROM (SELECT s, 1.0::DOUBLE AS i FROM r1 UNION ALL SELECT s, 0.5::DOUBLE FROM r2) GROUP BY 1)", f"SELECT id, {_r(f'coalesce(i, 0) / {_n}')} AS value FROM v LEFT JOIN g ON s = id")
+_hit = "p AS (SELECT DISTINCT (o_custkey % n)::BIGINT AS a, (o_orderkey % n)::BIGINT AS b FROM orders, (SELECT count(*) AS n FROM part))"
+
+
+def _order_pairs(s: SparkSession, d: str) -> DataFrame:
+    n = G.table(s, d, "part").count()
+    return G.table(s, d, "orders").select((F.col("o_custkey") % n).cast("long").alias("a"), (F.col("o_orderkey") % n).cast("long").alias("b"))
+
+
+_add("trv_pair_distances", lambda s, d: G.follow(s, d).checkpointed().pair_distances(_order_pairs(s, d)), f"WITH {G.FOLLOW}, {_hit}, {_all_pairs}, {_far} SELECT a, b, n::BIGINT AS value FROM p LEFT JOIN h ON s = a AND t = b")
+_add("trv_bfs_tree_directed", lambda s, d: _round(G.follow(s, d).checkpointed().bfs_count(0), "weight").select(F.col("from").alias("parent"), F.col("to").alias("vertex"), "count", "weight"), f"WITH RECURSIVE {G.FOLLOW}, {_hops.format(most=30)}, {_tree} SELECT k.parent, t.id AS vertex, value AS count, {_r('t.weight')} AS weight FROM t LEFT JOIN k ON k.id = t.id JOIN h ON cur = t.id")
+_inf, _share = "coalesce(d, CAST('Infinity' AS DOUBLE))", "CASE WHEN count(*) = 0 THEN CAST('NaN' AS DOUBLE) ELSE count(b.src)::DOUBLE / count(*) END"
+_follow_once = G.FOLLOW.replace("e AS (SELECT", "e AS MATERIALIZED (SELECT")
+_vertices("trv_weight_single_parts", _written(G.follow), lambda g: g.all_distances_weight(0), f"{_follow_once}, {_relax}", f"SELECT id, {_r(_inf)} AS value FROM v LEFT JOIN z24 ON t = id")
+_vertices("trv_weight_bounded_parts", _written(G.follow), lambda g: g.all_distances_weight(0, 4), f"{_follow_once}, {_relax}", f"SELECT id, {_r(_inf)} AS value FROM v LEFT JOIN z24 ON t = id AND d <= 4")
+_edges("alg_square_parts", G.follow, lambda g, *_: g.square(), G.FOLLOW, _matmul.format("e"))
+_power20 = _power.split(", x21 AS MATERIALIZED")[0]
+_add("alg_power_parts", lambda s, d: _round(G.copart(s, d).power_iteration(20)[0], "value"), f"WITH {G.COPART.replace('o AS (', 'o AS MATERIALIZED (', 1)}, {_power20} SELECT id, {_r('value')} AS value FROM x20")
+_one("stat_reciprocity_parts", lambda s, d: G.follow(s, d).checkpointed().reciprocity_table(), "reciprocity", G.FOLLOW, f"SELECT {_r(_share)} AS reciprocity FROM e a LEFT JOIN e b ON a.src = b.dst AND a.dst = b.src")
+_add("stat_counts_parts", lambda s, d: _round(G.copart(s, d).counts(), "weights"), f"WITH {G.COPART} SELECT (count(*) + count(*) FILTER (src = dst)) // 2 AS links, count(*) AS cells, count(*) FILTER (src = dst) AS diagonal, {_r('(sum(weight) + coalesce(sum(weight) FILTER (src = dst), 0)) / 2')} AS weights FROM e")
+_edges("edges_lower_triangle_parts", G.copart, lambda g, *_: g.lower_triangle(), G.COPART, f"{CELLS} e WHERE dst <= src")
+_add("io_graph_text_parts", lambda s, d: text.graph_lines(G.follow(s, d)).select("line"), f"WITH {G.FOLLOW} SELECT (SELECT count(*)::VARCHAR FROM part) AS line UNION ALL SELECT '' UNION ALL SELECT concat_ws(' ', (src + 1)::VARCHAR, (dst + 1)::VARCHAR, CASE WHEN weight <> 1 THEN printf('%.6f', weight::DOUBLE) END) FROM e")
+
+
+def _gml_parts(s: SparkSession, d: str) -> DataFrame:
+    g, names = text.load_gml(s, _file(text.gml_lines(G.copart(s, d).checkpointed(), {"size": G.part_sizes(s, d)})))
+    return _round(g.cells, "weight").select("src", "dst", "weight", F.lit(g.directed).alias("directed"), F.lit(names.count()).alias("nodes"))
+
+
+_add("io_load_gml_parts", _gml_parts, f"WITH {G.COPART} {CELLS.replace(' FROM', ', false AS directed, (SELECT count(*) FROM v) AS nodes FROM')} e")
+_edges("io_load_graph_undirected_parts", lambda s, d: text.load_graph(s, _file(text.graph_lines(G.copart(s, d)))), lambda g, *_: g, G.COPART, f"{CELLS} e")
+
 # Text ---------------------------------------------------------------------------------------------
 _add("io_graph_text", lambda s, d: text.graph_lines(G.trade(s, d)).select("line"), f"WITH {G.TRADE} SELECT (SELECT count(*)::VARCHAR FROM nation) AS line UNION ALL SELECT '' UNION ALL SELECT concat_ws(' ', (src + 1)::VARCHAR, (dst + 1)::VARCHAR, CASE WHEN weight <> 1 THEN printf('%.6f', weight::DOUBLE) END) FROM e")
 _add("io_gml", lambda s, d: text.gml_lines(G.trade(s, d), {"region": G.regions(s, d)}).select("line"), f"""WITH {G.TRADE} SELECT unnest(['graph [', '    directed 1', ']']) AS line UNION ALL
@@ -261,7 +316,7 @@ _add("io_gml", lambda s, d: text.gml_lines(G.trade(s, d), {"region": G.regions(s
 
 def _file(lines: DataFrame) -> str:
     """The lines as a text file in the shared folder."""
-    path = f"{shared_root(lines.sparkSession).rstrip('/')}/graphloom-stash/{lines.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_folder(lines.sparkSession)
     text.write_lines(lines, path)
     return path
 
@@ -273,7 +328,13 @@ def _gml(s: SparkSession, d: str) -> DataFrame:
 
 _edges("io_load_graph", lambda s, d: text.load_graph(s, _file(text.graph_lines(G.follow(s, d))), directed=True), lambda g, *_: g, G.FOLLOW, f"{CELLS} e")
 _edges("io_load_graph_undirected", lambda s, d: text.load_graph(s, _file(text.graph_lines(G.partners(s, d)))), lambda g, *_: g, G.PARTNERS, f"{CELLS} e")
-_add("io_load_labels", lambda s, d: text.load_labels(s, _file(text.labels_lines(G.part_sizes(s, d))), G.table(s, d, "part").count()), "SELECT p_partkey AS id, p_size::BIGINT AS label FROM part")
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    path = new_folder(s)
+    text.write_labels(G.part_sizes(s, d), path)
+    return text.load_labels(s, path, G.table(s, d, "part").count())
+
+
+_add("io_load_labels", _labels, "SELECT p_partkey AS id, p_size::BIGINT AS label FROM part")
 _add("io_load_gml", _gml, f"WITH {G.TRADE} {CELLS.replace(' FROM', ', true AS directed, (SELECT count(*) FROM v) AS nodes FROM')} e")
 _add("io_labels_text", lambda s, d: text.labels_lines(G.regions(s, d)).select("line"), f"WITH {G.TRADE} SELECT '# Labels' AS line UNION ALL SELECT string_agg(label::VARCHAR, ' ' ORDER BY id) FROM l")
 

@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 FILE_ROWS = 20_000
 #: Folders of written tables, in the order of writing.
 _written: list[tuple[SparkSession, str]] = []
+#: Folders that are deleted when the application ends.
+_ending: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -49,20 +51,35 @@ def stash(df: DataFrame, rows: int | None = None) -> DataFrame:
     path = f"{_stash_folder(spark)}/{uuid.uuid4().hex}"
     files = partitions(spark) if rows is None else max(1, -(-rows // FILE_ROWS))
     (df.coalesce(files) if files < partitions(spark) else df).write.parquet(path)
-    _written.append((spark, path))
+    _note(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _note(spark: SparkSession, path: str) -> None:
+    """Remember a written table; all of an application's go when its JVM ends."""
+    _written.append((spark, path))
+    folder = _stash_folder(spark)
+    if folder not in _ending:
+        _ending.add(folder)
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def bucketed(df: DataFrame, key: str, files: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder in buckets of ``key``, as many as shuffle partitions, so that joins and aggregates on it deal out only their other side."""
     spark = df.sparkSession
     n, name = partitions(spark), f"graphloom_{uuid.uuid4().hex}"
     path = f"{_stash_folder(spark)}/{name}"
     df.repartition(n, key).write.format("parquet").option("compression", files).option("path", path).bucketBy(n, key).saveAsTable(name)
-    _written.append((spark, path))
+    _note(spark, path)
     return spark.table(name)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder, for files that go with the application's tables."""
+    return f"{_stash_folder(spark)}/{uuid.uuid4().hex}"
+
+
 @contextmanager
 def scratch() -> Iterator[None]:
     """Tables that :func:`stash` writes inside are deleted at the end; what is still needed must have been written elsewhere by then."""
