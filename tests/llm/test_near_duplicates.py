@@ -1,6 +1,7 @@
 """SimHash against all pairs."""
 
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -179,3 +180,53 @@ def test_stage_links_similar_texts(spark):
     words = [f"w{i}" for i in range(60)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:57]) + " other end here"), (3, "something else")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
+def test_no_link_is_lost_where_masks_end_at_different_levels(spark):
+    """Many words over the few bits that one mask leaves free, while others can still be cut."""
+    count = lambda x: bin(x % (1 << 64)).count("1")
+    for blocks in (9, 10):
+        free = next(f for m in simhash.masks(3, blocks) for f in simhash.finer(m, 3) if 64 - count(f) <= 9)
+        bits = [i for i in range(64) if not free >> i & 1]
+        rng = random.Random(blocks)
+        base, prints = rng.getrandbits(64), set()
+        for w in rng.sample([w for w in range(1 << len(bits)) if count(w) % 2 == 0], 30):
+            x = base
+            for i, b in enumerate(bits):
+                x ^= (w >> i & 1) << b
+            prints.add(x - (1 << 64) * (x >> 63))
+        prints = sorted(prints)
+        root = {x: x for x in prints}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in combinations(prints, 2):
+            if count(a ^ b) <= 3:
+                root[find(a)] = find(b)
+        want = {frozenset(x for x in prints if find(x) == r) for r in {find(x) for x in prints}}
+        root.update({x: x for x in prints})
+        for r in simhash.class_links(spark.createDataFrame([(x,) for x in prints], "fp long"), blocks=blocks).collect():
+            assert count(r["a"] ^ r["b"]) <= 3
+            root[find(r["a"])] = find(r["b"])
+        assert {frozenset(x for x in prints if find(x) == r) for r in {find(x) for x in prints}} == want
+
+
+def test_masks_cut_finer_lose_no_pair():
+    """For every number of blocks, levels end at nine free bits or fewer, and any three differing bits leave one mask of each level whole."""
+    count = lambda x: bin(x % (1 << 64)).count("1")
+    rng = random.Random(3)
+    for blocks in range(6, 25):
+        level = rng.sample(simhash.masks(3, blocks), 3)
+        for mask in level:
+            chain = [mask]
+            while finer := simhash.finer(chain[-1], 3):
+                free = [i for i in range(64) if not chain[-1] >> i & 1]
+                for _ in range(20):
+                    apart = sum(1 << b for b in rng.sample(free, 3))
+                    assert any(not f & apart for f in finer)
+                assert all(count(f) > count(chain[-1]) for f in finer)
+                chain.append(rng.choice(finer))
+            assert 64 - count(chain[-1]) <= 9
