@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -15,7 +18,7 @@ from ..runtime import drop_stash, partitions, small_batches, stash
 #: Bytes that are in no term: all below 128 but the letters.
 _SEPARATE = bytes(32 if b < 128 and not chr(b).isalpha() else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Terms that a task adds up before it gives its sums away.
-HELD = 200_000
+HELD = 600_000
 #: Bytes of a text that are split into terms at once; a text of more pieces is one document all the same.
 PIECE = 1 << 20
 #: A group's remaining candidates are ranked at once if there are so many or fewer; more are cut by further digits.
@@ -36,55 +39,119 @@ def _pieces(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each group and term that a task has met: occurrences and documents, added up as far as :data:`HELD` allows."""
-    sums: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-    held, giants, task = 0, 0, TaskContext.get().partitionId()
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        columns = zip(*rows, strict=True) if rows else [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "source", "term", "n", "docs", "part_of"])
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), terms in sums.items():
-            yield batch_of([(lang, source, None, 0, 0, None), *[(lang, source, t, n, d, None) for t, (n, d) in terms.items()]])
-        sums.clear()
-
-    for batch in batches:
-        for text, lang, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            own = sums.setdefault((lang, source), {})
-            if len(text) <= PIECE:
-                for terms in _pieces(text):
-                    for t in terms:
-                        if (s := own.get(t)) is None:
-                            own[t] = [1, 0]
-                            held += 1
-                        else:
-                            s[0] += 1
-                    for t in set(terms):
-                        own[t][1] += 1
-            else:
-                # The documents of such terms are told apart by number, so that no set of all terms of a giant text is held.
-                giants += 1
-                for terms in _pieces(text):
-                    counts: dict[bytes, int] = {}
-                    for t in terms:
-                        counts[t] = counts.get(t, 0) + 1
-                    yield batch_of([(lang, source, t, n, 0, task << 32 | giants) for t, n in counts.items()])
-            if held >= HELD:
-                yield from flush()
-                held = 0
-    yield from flush()
-
-
-def term_counts(documents: DataFrame) -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences of each term (bytes) in each group and the documents that have it, and a row with a null term for each group."""
+#: A block: the groups it names, and for each entry the group's place among them, the term, occurrences and documents.
+_BLOCK = "part int, langs array<string>, sources array<string>, at binary, terms binary, n binary, docs binary, part_of bigint"
+_KEPT = "lang string, source string, term binary, n bigint, total bigint, first bigint"
+
+
+def _counted(parts: int) -> Callable:
+    """For each group and term that a task has met: occurrences and documents, added up as far as :data:`HELD` allows, in blocks by parts of the terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held, giants, task = 0, 0, TaskContext.get().partitionId()
+
+        def blocks(groups: list[tuple[str, str]], at: np.ndarray, terms: list[bytes], n: np.ndarray, docs: np.ndarray, part_of: int | None) -> pa.RecordBatch:
+            part = np.array([crc32(t) for t in terms], dtype=np.int64) % parts
+            order = np.argsort(part, kind="stable")
+            which, begin = np.unique(part[order], return_index=True)
+            langs, sources = ([g[i] for g in groups] for i in (0, 1))
+            # Each group is named once more for itself, so that those without terms are known.
+            rows = [(0, langs, sources, b"", b"", b"", b"", part_of)]
+            for p, i in zip(which.tolist(), np.split(order, begin[1:]), strict=True):
+                own = at[i]
+                named, places = np.unique(own, return_inverse=True)
+                rows.append((p, [langs[g] for g in named], [sources[g] for g in named], places.astype(np.int32).tobytes(), b" ".join([terms[k] for k in i.tolist()]), n[i].tobytes(), docs[i].tobytes(), part_of))
+            kinds = [pa.int32(), *[pa.list_(pa.string())] * 2, *[pa.binary()] * 4, pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "langs", "sources", "at", "terms", "n", "docs", "part_of"])
+
+        def flush() -> pa.RecordBatch:
+            terms, n, docs, sizes = [], [], [], []
+            for own, held_by in sums.values():
+                terms += own
+                n.append(np.fromiter(own.values(), dtype=np.int64, count=len(own)))
+                docs.append(np.fromiter(map(held_by.__getitem__, own), dtype=np.int64, count=len(own)))
+                sizes.append(len(own))
+            return blocks(list(sums), np.repeat(np.arange(len(sums)), sizes), terms, np.concatenate(n), np.concatenate(docs), None)
+
+        for batch in batches:
+            for text, lang, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own, docs = sums.setdefault((lang, source), (Counter(), Counter()))
+                if len(text) <= PIECE:
+                    for terms in _pieces(text):
+                        before = len(own)
+                        own.update(terms)
+                        docs.update(set(terms))
+                        held += len(own) - before
+                else:
+                    # The documents of such terms are told apart by number, so that no set of all terms of a giant text is held.
+                    giants += 1
+                    for terms in _pieces(text):
+                        counts = Counter(terms)
+                        yield blocks([(lang, source)], np.zeros(len(counts), dtype=np.int64), list(counts), np.array(list(counts.values()), dtype=np.int64), np.zeros(len(counts), dtype=np.int64), task << 32 | giants)
+                if held >= HELD:
+                    yield flush()
+                    sums, held = {}, 0
+        if sums:
+            yield flush()
+
+    return run
+
+
+def _kept(least: int) -> Callable:
+    """Adds up the blocks of a part: the terms that ``least`` documents of their language have, and a row with a null term for each group that is named."""
+
+    def run(table: pa.Table) -> pa.Table:
+        langs: dict[str, int] = {}
+        groups: dict[tuple[str, str], int] = {}
+        terms: list[bytes] = []
+        parts: list[tuple[np.ndarray, ...]] = []
+        for row in table.select(["langs", "sources", "at", "terms", "n", "docs", "part_of"]).to_pylist():
+            codes = np.array([groups.setdefault((a, b), len(groups)) for a, b in zip(row["langs"], row["sources"], strict=True)], dtype=np.int64)
+            at, n, docs = (np.frombuffer(row[c], dtype=k) for c, k in (("at", np.int32), ("n", np.int64), ("docs", np.int64)))
+            if len(at):
+                terms += row["terms"].split(b" ")
+                parts.append((codes[at], n, docs, np.full(len(at), -1 if row["part_of"] is None else row["part_of"], dtype=np.int64)))
+        lang_of = np.array([langs.setdefault(a, len(langs)) for a, _ in groups], dtype=np.int64)
+        names = list(groups)
+        out = [pa.table([pa.array([g[0] for g in names]), pa.array([g[1] for g in names]), pa.nulls(len(names), pa.binary()), *[pa.array(np.zeros(len(names), dtype=np.int64))] * 3], schema=_SCHEMA)]
+        if parts:
+            group, n, docs, part_of = (np.concatenate(x) for x in zip(*parts, strict=True))
+            coded = pa.array(terms, type=pa.binary()).dictionary_encode()
+            term = coded.indices.to_numpy().astype(np.int64)
+            many = len(coded.dictionary)
+            pair, place = np.unique(group * many + term, return_inverse=True)
+            total, found = np.bincount(place, n).astype(np.int64), np.bincount(place, docs).astype(np.int64)
+            giant = np.flatnonzero(part_of >= 0)
+            if len(giant):
+                # The pieces of one giant text are one document.
+                once = np.unique(np.stack([place[giant], part_of[giant]]), axis=1)[0]
+                found += np.bincount(once, minlength=len(found))
+            group, term = pair // many, pair % many
+            whole, of = np.unique(lang_of[group] * many + term, return_inverse=True)
+            every, in_docs = np.bincount(of, total).astype(np.int64), np.bincount(of, found)
+            first = np.zeros(len(pair), dtype=np.int64)
+            first[np.unique(of, return_index=True)[1]] = 1
+            keep = np.flatnonzero(in_docs[of] >= least)
+            name = [pa.array([g[i] for g in names]).take(pa.array(group[keep])) for i in (0, 1)]
+            out.append(pa.table([*name, coded.dictionary.take(pa.array(term[keep])), pa.array(total[keep]), pa.array(every[of[keep]]), pa.array(first[keep])], schema=_SCHEMA))
+        return pa.concat_tables(out)
+
+    return run
+
+
+_SCHEMA = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("total", pa.int64()), ("first", pa.int64())])
+
+
+def kept_terms(documents: DataFrame, least: int) -> DataFrame:
+    """``lang, source, term, n, total, first``: occurrences of each kept term (bytes) in each group and in the language, and 1 in one of its groups; and a row with a null term for each group.
+
+    Terms are dealt out in parts by a hash, so a part has all groups of its terms; a task that reads text sends each term once for each group and :data:`HELD` terms.
+    """
     small_batches(documents.sparkSession)
     read = [F.coalesce("text", F.lit("")).cast("binary").alias("_t"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]]
-    met = documents.select(*read).mapInArrow(_count, "lang string, source string, term binary, n bigint, docs bigint, part_of bigint")
-    each = met.groupBy("lang", "source", "term", "part_of").agg(F.sum("n").alias("n"), F.when(F.col("part_of").isNull(), F.sum("docs")).otherwise(1).alias("docs"))
-    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    met = documents.select(*read).mapInArrow(_counted(partitions(documents.sparkSession)), _BLOCK)
+    return met.groupBy("part").applyInArrow(_kept(least), _KEPT)
 
 
 def _share(n: str, total: str) -> Column:
@@ -116,21 +183,19 @@ def audit(documents: DataFrame, least_documents: int = 3, most: int = 200) -> Da
     """
     spark = documents.sparkSession
     salts = max(1, min(64, partitions(spark)))
-    counts = stash(term_counts(documents))
-    # A term stands in a language once for each source, so a window's rows are bounded by those.
-    of_term = Window.partitionBy("lang", "term")
-    known = counts.where("term IS NOT NULL").withColumns({"_all": F.sum("n").over(of_term), "_docs": F.sum("docs").over(of_term), "_first": F.row_number().over(of_term.orderBy("source"))})
-    kept = stash(known.where(F.col("_docs") >= least_documents).select("lang", "source", "term", "n", "_all", (F.col("_first") == 1).cast("long").alias("_first")))
-    own = kept.groupBy("lang", "source").agg(F.sum("n").alias("_n"), F.sum("_first").alias("_v"))
+    counts = stash(kept_terms(documents, least_documents))
+    kept = counts.where("term IS NOT NULL")
+    own = kept.groupBy("lang", "source").agg(F.sum("n").alias("_n"), F.sum("first").alias("_v"))
     whole = own.groupBy("lang").agg(F.sum("_n").alias("_nl"), F.sum("_v").alias("_v"))
-    groups = counts.where("term IS NULL").select("lang", "source").join(own.drop("_v"), ["lang", "source"], "left").join(whole, "lang", "left")
+    named = counts.where("term IS NULL").select("lang", "source").distinct()
+    groups = named.join(own.drop("_v"), ["lang", "source"], "left").join(whole, "lang", "left")
     groups = groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("_n", "_nl", "_v")])
     # A language without kept terms has no shares; 1 stands in for them.
     groups = stash(groups.withColumn("_p0", F.when(F.col("_v") > 0, F.expr(f"1 + {SCALE} div (_n + _v)")).otherwise(1)))
     shares = kept.withColumn("_salt", _salt(salts, "term")).join(_spread(groups, salts), ["lang", "source", "_salt"])
-    shares = stash(shares.select("lang", "source", "term", "n", "_p0", _share("n", "_n").alias("_p"), _share("_all", "_nl").alias("_q")))
+    shares = stash(shares.select("lang", "source", "term", "n", "_p0", _share("n", "_n").alias("_p"), _share("total", "_nl").alias("_q")))
     found = _pairs(shares, groups, salts).unionByName(_terms(shares, most, salts))
-    drop_stash(counts, kept)
+    drop_stash(counts)
     return found
 
 
@@ -154,9 +219,17 @@ def _pairs(shares: DataFrame, groups: DataFrame, salts: int) -> DataFrame:
         met = one.join(_spread(groups.select("lang", *(b if mine == "a" else a)), salts), ["lang", "_salt"]).where(other)
         gap = _gap(F.col("_p"), F.col("_p0_b")) if mine == "a" else _gap(F.col("_p0_a"), F.col("_q"))
         sums.append(met.select("lang", "source_a", "source_b", (F.col("_many") * (gap - zero)).alias("_s")))
-    both = shares.select("lang", "term", *a, F.col("_p").alias("_pa")).join(shares.select("lang", "term", *b, F.col("_p").alias("_pb")), ["lang", "term"]).where(other)
-    common = _gap(F.col("_pa"), F.col("_pb")) - _gap(F.col("_pa"), F.col("_p0_b")) - _gap(F.col("_p0_a"), F.col("_pb")) + zero
-    sums.append(both.select("lang", "source_a", "source_b", common.alias("_s")))
+    # Terms that two groups have, each pair of groups once; both directions come of one row.
+    x, y = ([F.col(c).alias(f"{c}_{k}") for c in ("source", "_p", "_p0")] for k in "xy")
+    both = shares.select("lang", "term", *x).join(shares.select("lang", "term", *y), ["lang", "term"]).where("source_x < source_y")
+
+    def common(a: str, b: str) -> Column:
+        p, p0, q, q0 = (F.col(f"{c}_{k}") for k in (a, b) for c in ("_p", "_p0"))
+        return F.sum(_gap(p, q) - _gap(p, q0) - _gap(p0, q) + _gap(p0, q0))
+
+    met = both.groupBy("lang", "source_x", "source_y").agg(common("x", "y").alias("_xy"), common("y", "x").alias("_yx"))
+    ways = F.array(F.struct(F.col("source_x").alias("source_a"), F.col("source_y").alias("source_b"), F.col("_xy").alias("_s")), F.struct(F.col("source_y").alias("source_a"), F.col("source_x").alias("source_b"), F.col("_yx").alias("_s")))
+    sums.append(met.select("lang", F.inline(ways)))
     # Each way is added up before they meet.
     added = [s.groupBy("lang", "source_a", "source_b").agg(F.sum("_s").alias("_s")) for s in sums]
     every = added[0]
