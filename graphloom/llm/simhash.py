@@ -112,7 +112,8 @@ def class_links(prints: DataFrame, differing: int = 3, blocks: int | None = None
     With more blocks than differing bits, a close pair agrees in ``blocks - differing`` of them, so it shares the bucket of one such
     choice. In buckets of up to ``small`` fingerprints each meets each. In a larger one each meets the most central one (that shares the most
     buckets); where that leaves several components in a bucket, it is cut into buckets that keep half of the free
-    bits as well, again for all choices, so that no close pair is lost, until so few bits are free that a bucket can't be large. Rows thus
+    bits as well, again for all choices, so that no close pair is lost. A bucket whose mask leaves so few bits free that it can't be large (three for each bit that
+    may differ: at most 512 fingerprints for three) is compared pair by pair, also while others are cut. Rows thus
     grow with the fingerprints, not with the square of a group. ``prints`` holds each fingerprint once: copies make no pairs.
     """
     spark = prints.sparkSession
@@ -128,12 +129,13 @@ def class_links(prints: DataFrame, differing: int = 3, blocks: int | None = None
         live = stash(keyed.join(shared, same).select("fp", "_root", "_m", "_v", "_n"))
         rows = live.count()
         following = {m: finer(m, differing) for m in chosen}
-        last = not any(following.values())
-        few, many = (live, live.where("false")) if last else (live.where(F.col("_n") <= small), live.where(F.col("_n") > small))
+        # Masks of one level end at different levels; what can't be cut finer is compared pair by pair.
+        at_once = (F.col("_n") <= small) | (F.bit_count(F.bitwise_not("_m")) <= 3 * differing)
+        few, many = live.where(at_once), live.where(~at_once)
         close = F.bit_count(F.col("fp").bitwiseXOR(F.col("_fp2"))) <= differing
         other = few.select(F.col("fp").alias("_fp2"), F.col("_root").alias("_root2"), F.col("_m").alias("_m2"), F.bitwise_not("_v").alias("_v2"))
         pairs = few.join(other, same & (F.col("fp") < F.col("_fp2")) & (F.col("_root") != F.col("_root2")) & close).select(F.col("fp").alias("a"), F.col("_fp2").alias("b"))
-        crowded = 0 if last else many.count()
+        crowded = many.count()
         if crowded:
             weight = many.groupBy(F.col("fp").alias("_f")).agg(F.sum("_n").alias("_w"))
             hubs = many.join(weight, F.col("fp") == F.col("_f")).groupBy("_m", "_v").agg(F.max_by("fp", F.struct("_w", "fp")).alias("_fp2"))
