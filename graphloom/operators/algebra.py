@@ -27,11 +27,14 @@ class PowerIteration:
         x = stash(self.nodes.select("id", ((F.col("id") * 7919 % 1000 + 1) / 1000.0).alias("value")))
         square = lambda v: v.agg(F.sum(F.col("value") * F.col("value")).alias("s")).first()["s"] or 0.0
         norm = square(x) ** 0.5
-        for _ in range(iterations or 100):
+        for step in range(iterations or 100):
             y = stash(own.multiply_vector(x.select("id", (F.col("value") / F.lit(norm)).alias("value"))))
             longer = square(y) ** 0.5
             if longer == 0:
                 drop_stash(y)
+                if step == 0 and own.cells.isEmpty():
+                    # Without edges nothing is stretched.
+                    norm = 0.0
                 break
             drop_stash(x)
             x, norm = y, longer

@@ -1,5 +1,7 @@
 """Text formats, programs and the registered queries' shape."""
 
+import random
+
 import pytest
 from helpers import cells, labels, undirected, vector
 
@@ -88,3 +90,57 @@ def test_programs(spark, tmp_path, capsys):
     gml = run("gml", f"--one={clusters}", f"--two={clusters}")[1]
     assert gml[3:5] == ["        two 0", "        one 0"]
     assert cli.main(["components", str(tmp_path / "none")], spark) == 1
+
+
+@pytest.fixture
+def in_splits(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k, v in zip(old, ("700", "1"), strict=True):
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def joined(folder):
+    return b"".join(p.read_bytes() for p in sorted(folder.rglob("part-*"), key=lambda p: (str(p.parent), p.name)))
+
+
+def test_files_of_many_splits(spark, tmp_path, in_splits):
+    """Numbers of lines, the header and the last of repeated edges hold over splits; parts one after the other are the file."""
+    rng = random.Random(2)
+    rows = [(rng.randrange(200), rng.randrange(200), rng.randint(1, 9)) for _ in range(2000)]
+    path = tmp_path / "g.graph"
+    path.write_text("# first\n;second\n\n200\n" + "".join(f"{'# c' if rng.random() < 0.02 else ''}\n{i + 1} {j + 1} {w}" for i, j, w in rows) + "\n")
+    assert text.placed(spark, str(path)).rdd.getNumPartitions() > 10
+    assert [r["text"] for r in text.numbered_lines(spark, str(path)).orderBy("line_no").collect()] == path.read_text().split("\n")[:-1]
+    want = {(i, j): float(w) for i, j, w in rows}
+    g = text.load_graph(spark, str(path), directed=True)
+    assert cells(g) == want
+    text.write_lines(text.graph_lines(g), str(tmp_path / "out"))
+    assert joined(tmp_path / "out").decode() == "\n".join(["200", *(f"{i + 1} {j + 1}" + (f" {w:f}" if w != 1 else "") for (i, j), w in sorted(want.items()))]) + "\n\n"
+    assert cells(text.load_graph(spark, str(tmp_path / "out"), directed=True)) == want
+
+
+def test_labels_in_one_long_line(spark, tmp_path, in_splits):
+    rng = random.Random(3)
+    own = [rng.randrange(50) for _ in range(1000)]
+    line = "# Labels\n" + " ".join(map(str, own)) + "\n"
+    text.write_labels(labels(spark, own), str(tmp_path / "out"))
+    (tmp_path / "one").write_text(line)
+    assert joined(tmp_path / "out").decode() == line
+    for path in ("out", "one"):
+        assert vector(text.load_labels(spark, str(tmp_path / path), 1000)) == own
+    (tmp_path / "odd").write_text("# 1 2 3 4 5 6 7" * 200 + " x\n1 2\n;3 4\n 5\t6 \n# " + "9 " * 900 + "\n7 8")
+    assert vector(text.load_labels(spark, str(tmp_path / "odd"), 6)) == [1, 2, 5, 6, 7, 8]
+    text.write_labels(labels(spark, [7]), str(tmp_path / "single"))
+    assert joined(tmp_path / "single") == b"# Labels\n7\n"
+
+
+def test_nested_gml(spark, tmp_path, in_splits):
+    node = lambda k: f' node [ id {7 * k + 3} graphics [ x 1.5 label "no" deep [ id 5 ] ] label "a ] \'{k}\' [" ]\n' if k % 2 else f" node\n [\n id {7 * k + 3}\n label \"n{k}\"\n ]\n"
+    edge = lambda k: f' edge [ source {7 * k + 3} target {7 * ((k * k + 1) % 60) + 3} data [ value 99 ] value {k / 2} label "two\nlines [ ]" ]\n'
+    (tmp_path / "g.gml").write_text('Creator "x [ y"\n# comment [ "\ngraph [\n directed 1\n comment "a ] b"\n' + "".join(map(node, range(60))) + "".join(map(edge, range(60))) + "]\n")
+    g, names = text.load_gml(spark, str(tmp_path / "g.gml"))
+    assert g.directed and cells(g) == {(k, (k * k + 1) % 60): k / 2 for k in range(60)}
+    assert {tuple(r) for r in names.collect()} == {(k, f"a ] '{k}' [" if k % 2 else f"n{k}") for k in range(60)}
