@@ -14,6 +14,7 @@ import math
 import struct
 import zlib
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from ..runtime import small_batches
 UNIT = 192
 LIFT, CATEGORY = 256, 9
 MARK = b"payload-bytes:"
+#: Bytes of scans that are decoded at once.
+RUN = 4 << 20
 
 
 def pad(text: bytes) -> bytes:
@@ -36,13 +39,9 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def encode(payload: bytes) -> bytes:
-    units = len(payload) // UNIT
-    across = math.isqrt(units - 1) + 1
-    down = -(-units // across)
-    if max(across, down) * 8 > 65535:
-        raise ValueError("the payload needs more than 65535 pixels a side")
-    v = np.frombuffer(payload + b" " * (UNIT * (across * down - units)), np.uint8).reshape(-1, 4)
+def _coded(payload: bytes, first: int, last: bool) -> bytes:
+    """The scan of units from number ``first`` on, each a restart segment; the last of all has no marker behind it."""
+    v = np.frombuffer(payload, np.uint8).reshape(-1, 4)
     # Four coefficients are 40 bits: each the code 0, then 1 and the byte (256 + v in nine bits).
     bits = np.empty((len(v), 5), np.uint8)
     bits[:, 0] = 0x40 | v[:, 0] >> 2
@@ -50,15 +49,28 @@ def encode(payload: bytes) -> bytes:
     bits[:, 2] = (v[:, 1] & 15) << 4 | 0x04 | v[:, 2] >> 6
     bits[:, 3] = (v[:, 2] & 63) << 2 | 0x01
     bits[:, 4] = v[:, 3]
-    coded = bits.reshape(across * down, -1)
+    coded = bits.reshape(len(payload) // UNIT, -1)
     marks = np.empty((len(coded), 2), np.uint8)
-    marks[:, 0], marks[:, 1] = 0xFF, 0xD0 + np.arange(len(coded)) % 8
-    scan = np.concatenate([coded, marks], axis=1).ravel()[:-2]
-    stuffed = np.flatnonzero(scan[: len(scan)] == 0xFF)
+    marks[:, 0], marks[:, 1] = 0xFF, 0xD0 + np.arange(first, first + len(coded)) % 8
+    scan = np.concatenate([coded, marks], axis=1).ravel()
+    scan = scan[:-2] if last else scan
+    stuffed = np.flatnonzero(scan == 0xFF)
     width = coded.shape[1] + 2
     stuffed = stuffed[stuffed % width != width - 2]  # data, not the markers
-    if len(stuffed):
-        scan = np.insert(scan, stuffed + 1, 0)
+    return (np.insert(scan, stuffed + 1, 0) if len(stuffed) else scan).tobytes()
+
+
+def encode(payload: bytes) -> bytes:
+    units = len(payload) // UNIT
+    across = math.isqrt(units - 1) + 1
+    down = -(-units // across)
+    if max(across, down) * 8 > 65535:
+        raise ValueError("the payload needs more than 65535 pixels a side")
+    # Made in runs, so that only payload and file are held whole.
+    scan, step = [], RUN // UNIT
+    for first in range(0, across * down, step):
+        last = min(first + step, across * down)
+        scan.append(_coded(payload[first * UNIT : last * UNIT].ljust((last - first) * UNIT), first, last == across * down))
     table = bytes([1, *[0] * 15, CATEGORY])
     return b"".join(
         [
@@ -69,7 +81,7 @@ def encode(payload: bytes) -> bytes:
             _segment(0xC4, b"\x00" + table + b"\x10" + table),
             _segment(0xDD, b"\x00\x01"),
             _segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])),
-            scan.tobytes(),
+            *scan,
             b"\xff\xd9",
         ]
     )
@@ -132,13 +144,13 @@ class Header:
         ends = flags[(scan[flags + 1] & 0xF8) != 0xD0]
         stop = int(ends[0]) if len(ends) else len(scan)
         cuts = flags[flags < stop]
+        stuffed = np.flatnonzero((scan[: stop - 1] == 0xFF) & (scan[1:stop] == 0)) + 1
+        gone = np.unique(np.concatenate([cuts, np.minimum(cuts + 1, stop - 1), stuffed])) if stop else np.zeros(0, np.int64)
         keep = np.ones(stop, bool)
-        keep[cuts] = keep[np.minimum(cuts + 1, stop - 1)] = False
-        keep[np.flatnonzero((scan[: stop - 1] == 0xFF) & (scan[1:stop] == 0)) + 1] = False
-        kept = np.concatenate([[0], np.cumsum(keep)])
+        keep[gone] = False
         self.scan = scan[:stop][keep]
         #: Where each segment's bytes begin, and how many units it has.
-        self.starts = np.concatenate([[0], kept[cuts]]).astype(np.int64)
+        self.starts = np.concatenate([[0], cuts - np.searchsorted(gone, cuts)]).astype(np.int64)
         units = self.across * self.down
         each = self.interval or units
         self.units = np.minimum(each, units - each * np.arange(-(-units // each)))
@@ -247,11 +259,35 @@ def decode_segments(headers: list[Header]) -> list[np.ndarray]:
     return found
 
 
+def in_runs(header: Header) -> list[Header]:
+    """The file as parts of consecutive restart segments, each of :data:`RUN` bytes of scan or one segment, so that a large file is never decoded at once."""
+    if len(header.scan) <= RUN:
+        return [header]
+    ends = np.concatenate([header.starts[1:], [len(header.scan)]])
+    out, at = [], 0
+    while at < len(header.starts):
+        low = int(header.starts[at])
+        end = max(at + 1, int(np.searchsorted(ends, low + RUN, side="right")))
+        part = copy(header)
+        part.scan, part.starts, part.units = header.scan[low : int(ends[end - 1])], header.starts[at:end] - low, header.units[at:end]
+        out.append(part)
+        at = end
+    return out
+
+
+def luminance_dc(header: Header, coefficients: np.ndarray) -> np.ndarray:
+    """Units x luminance blocks: their quantised DC coefficients."""
+    return coefficients[:, [k for k, p in enumerate(header.blocks) if p == 0], 0].astype(np.int64)
+
+
 def thumbnail(header: Header, coefficients: np.ndarray) -> np.ndarray:
     """One luminance sample for each 8x8 block, from the DC coefficients alone."""
+    return dc_thumbnail(header, luminance_dc(header, coefficients))
+
+
+def dc_thumbnail(header: Header, dc: np.ndarray) -> np.ndarray:
     _, wide, high, table = header.parts[0]
-    dc = coefficients[:, [i for i, p in enumerate(header.blocks) if p == 0], 0] * header.quant[table][0]
-    grid = dc.reshape(header.down, header.across, high, wide).swapaxes(1, 2).reshape(header.down * high, header.across * wide)
+    grid = (dc * header.quant[table][0]).reshape(header.down, header.across, high, wide).swapaxes(1, 2).reshape(header.down * high, header.across * wide)
     return np.clip(grid / 8 + 128, 0, 255)
 
 
@@ -271,18 +307,25 @@ def read(media: list[bytes]) -> list[dict]:
         groups.setdefault(h.layout(), []).append(i)
     out: list[dict] = [{} for _ in media]
     for members in groups.values():
+        parts = [(i, p) for i in members for p in in_runs(headers[i])]
+        dc: dict[int, list[np.ndarray]] = {i: [] for i in members}
+        payload: dict[int, list[np.ndarray]] = {i: [] for i in members}
         # Bounded work: so many bytes of scans at a time.
-        while members:
+        while parts:
             n, total = 0, 0
-            while n < len(members) and (n == 0 or total + len(headers[members[n]].scan) < 4 << 20):
-                total += len(headers[members[n]].scan)
+            while n < len(parts) and (n == 0 or total + len(parts[n][1].scan) <= RUN):
+                total += len(parts[n][1].scan)
                 n += 1
-            some, members = members[:n], members[n:]
-            for i, found in zip(some, decode_segments([headers[i] for i in some]), strict=True):
-                h = headers[i]
-                out[i] = {"width": h.width, "height": h.height, "thumbnail_hash": thumbnail_hash(thumbnail(h, found)), "payload": None}
-                if h.comment.startswith(MARK):
-                    out[i]["payload"] = (found.ravel()[: int(h.comment[len(MARK) :])] - LIFT).astype(np.uint8).tobytes()
+            some, parts = parts[:n], parts[n:]
+            for (i, _), found in zip(some, decode_segments([p for _, p in some]), strict=True):
+                dc[i].append(luminance_dc(headers[i], found))
+                if headers[i].comment.startswith(MARK):
+                    payload[i].append((found.ravel() - LIFT).astype(np.uint8))
+        for i in members:
+            h = headers[i]
+            out[i] = {"width": h.width, "height": h.height, "thumbnail_hash": thumbnail_hash(dc_thumbnail(h, np.concatenate(dc.pop(i)))), "payload": None}
+            if h.comment.startswith(MARK):
+                out[i]["payload"] = np.concatenate(payload.pop(i))[: int(h.comment[len(MARK) :])].tobytes()
     return out
 
 

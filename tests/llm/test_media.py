@@ -99,3 +99,16 @@ def test_media_columns(spark, odd, nothing):
     assert len({(r["media_sha256"], r["feature"]) for r in rows if r["doc_id"] in (6, 77)}) == 1
     lost = jpeg.read_media(spark.createDataFrame([(1, 5, None)], "doc_id long, n_bytes long, media binary")).first()
     assert lost["doc_id"] == 1 and lost["payload_sha256"] is None and lost["feature"] is None
+
+
+def test_large_files_are_decoded_in_runs(monkeypatch):
+    """The same payload, dimensions and hash whatever is decoded at once, also for files among others."""
+    rng = np.random.default_rng(5)
+    payloads = [bytes(rng.integers(32, 127, n, dtype=np.uint8)) for n in (10, 400_000, 5_000, 90_000)]
+    media = [jpeg.encode(jpeg.pad(p)) for p in payloads]
+    whole = jpeg.read(media)
+    assert [r["payload"].rstrip(b" ") for r in whole] == [p.rstrip(b" ") for p in payloads]
+    for run in (1, 3_000, 100_000):
+        monkeypatch.setattr(jpeg, "RUN", run)
+        assert jpeg.read(media) == whole
+        assert len(jpeg.in_runs(jpeg.Header(media[1]))) > 1
