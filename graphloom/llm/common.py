@@ -41,9 +41,12 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
     """``text, label, part`` of at most ``rows`` labelled rows, the same at every run; ``part`` is crc32 of the id modulo 5, never 0.
 
     The chosen ids (at most ``rows`` longs) are broadcast, so the texts aren't shuffled to find them. Null ids and labels teach
-    nothing; of several labels of an id the greatest holds.
+    nothing; of several labels of an id the greatest holds, and of several texts the one with the least hash.
     """
     learn = labels.where(~held_out(F.col("doc_id"), 5, 0) & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     marks = learn.groupBy("doc_id").agg(F.max(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     part = (F.crc32(F.col("doc_id").cast("string")) % 5).alias("part")
-    return documents.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", F.col("label").cast("int").alias("label"), part)
+    met = documents.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
+    # Of an id that stands several times one row teaches, so an id of a million rows doesn't bring them all.
+    once = met.groupBy("doc_id").agg(F.max("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return once.select("text", F.col("label").cast("int").alias("label"), part)

@@ -88,7 +88,7 @@ class ToxicityModel:
         return np.clip(self.curve(self.trees.margin(x)), 0.0, 1.0) if len(x) else np.zeros(0)
 
 
-def _lexicon(sample: DataFrame, most: int, odds: float) -> dict[str, float]:
+def _lexicon(sample: DataFrame, odds: float) -> dict[str, float]:
     """Beginnings of words that stand in toxic texts far more often than chance has it, with their log odds."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,21 +119,21 @@ def _lexicon(sample: DataFrame, most: int, odds: float) -> dict[str, float]:
     rate = whole["bad"] / whole["n"]
     log_odds = F.log((F.col("bad") + 0.5) / (F.col("n") - F.col("bad") + 0.5)) - math.log(rate / (1 - rate))
     spread = (F.col("bad") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate) + 1)
-    # A report of the ``most`` surest terms. Chance must be ruled out over about a million terms: four standard
+    # Chance must be ruled out over about a million terms: four standard
     # deviations and several toxic texts.
     best = counts.where(F.col("term") != "\n").select("term", "bad", log_odds.alias("odds"), spread.alias("z")).where((F.col("odds") >= odds) & (F.col("z") >= 5.0) & (F.col("bad") >= 4))
-    return {r["term"]: float(r["odds"]) for r in best.orderBy(F.desc("z"), "term").limit(most).collect()}
+    return {r["term"]: float(r["odds"]) for r in best.orderBy("term").collect()}
 
 
-def fit(documents: DataFrame, labels: DataFrame, rows: int = 20_000, terms: int = 2_000, odds: float = 2.0) -> ToxicityModel:
+def fit(documents: DataFrame, labels: DataFrame, rows: int = 20_000, odds: float = 2.0) -> ToxicityModel:
     """Lexicon and trees from three parts of the labelled sample, the calibration curve from a fourth.
 
-    ``rows`` bounds the sample of labelled rows that the classifier is fitted on, ``terms`` the lexicon.
+    ``rows`` bounds the sample of labelled rows that the classifier is fitted on; the lexicon has all terms that pass the test of significance on it.
     """
     small_batches(documents.sparkSession)
     # Written once, so that the documents are read once for all that is learnt.
     sample = stash(labelled_sample(documents, labels, "toxic", rows))
-    lexicon = _lexicon(sample, terms, odds)
+    lexicon = _lexicon(sample, odds)
     model = ToxicityModel(lexicon, BoostedTrees(prior=0.1), Isotonic())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
