@@ -86,8 +86,11 @@ class Algebra(PowerIteration):
         a place of its own, so that no task makes all its pairs.
         """
         self.require_same_size(other)
-        left = self.cells.select("src", F.col("dst").alias("_mid"), F.col("weight").alias("_w1"))
-        right = other.cells.select(F.col("src").alias("_mid"), "dst", F.col("weight").alias("_w2"))
+        # Written once, as degrees and products read them both.
+        mine = stash(self.cells.select("src", "dst", "weight"))
+        theirs = mine if other.cells is self.cells else stash(other.cells.select("src", "dst", "weight"))
+        left = mine.select("src", F.col("dst").alias("_mid"), F.col("weight").alias("_w1"))
+        right = theirs.select(F.col("src").alias("_mid"), "dst", F.col("weight").alias("_w2"))
         into, out = (t.groupBy("_mid").agg(F.count("*").alias(c)) for t, c in ((left, "_in"), (right, "_out")))
         # A middle vertex with many pairs of edges has more than TILE on one side, so there are few.
         heavy = stash(into.join(out, "_mid").where(F.col("_in") * F.col("_out") > tile * tile).select("_mid", *[F.ceil(F.col(c) / tile).cast("int").alias(k) for c, k in (("_in", "_rows"), ("_out", "_columns"))]))

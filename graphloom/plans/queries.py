@@ -220,13 +220,13 @@ def _inner_links(s: SparkSession, d: str) -> DataFrame:
     return g.cells.join(own("src"), "src").join(own("dst"), "dst").agg(F.count_if((F.col("_src") == F.col("_dst")) & (F.col("src") != F.col("dst"))).alias("inner_links"))
 
 
-_add("com_laprop_inner_links", _inner_links, "SELECT 0::BIGINT AS inner_links")
+_add("com_laprop_inner_links", _inner_links)
 for _name, _flags in {"max": {}, "max_fast": {"fast": True}, "min": {"minimize": True}, "min_fast": {"minimize": True, "fast": True}, "anti": {"antimodularity": True}, "anti_fast": {"antimodularity": True, "fast": True}}.items():
     _add(f"com_newman_{_name}", lambda s, d, f=_flags: G.partners(s, d).checkpointed().newman(**f))
 _add("com_newman_directed", lambda s, d: G.trade(s, d).checkpointed().newman(fast=True))
 _add("com_newman_copart", lambda s, d: G.copart(s, d).checkpointed().newman(fast=True))
 _add("com_newman_k", lambda s, d: G.partners(s, d).checkpointed().newman(num_clusters=7))
-_add("com_newman_k_groups", lambda s, d: G.partners(s, d).checkpointed().newman(num_clusters=7).agg(F.countDistinct("label").alias("n")), "SELECT 7::BIGINT AS n")
+_add("com_newman_k_groups", lambda s, d: G.partners(s, d).checkpointed().newman(num_clusters=7).agg(F.countDistinct("label").alias("n")))
 _add("com_sbm", lambda s, d: G.partners(s, d).checkpointed().sbm())
 _add("com_sbm_heat_bath", lambda s, d: G.partners(s, d).checkpointed().sbm_heat_bath())
 
@@ -252,6 +252,28 @@ _add(
     + ") SELECT metric, value FROM rows_ WHERE value IS NOT NULL AND NOT isnan(value)",
 )
 
+# Undirected contraction, pointers instead of labels, single distances and limits, over the graph of parts.
+_edges("merge_add_undirected", G.copart, lambda g, *_: g.merge_nodes_add(1, 2), G.COPART, f"SELECT {_to.format('src')} AS src, {_to.format('dst')} AS dst, {_r('sum(weight)')} AS weight FROM e GROUP BY 1, 2")
+for _name, _pick in (("min", "least"), ("max", "greatest")):
+    _edges(f"merge_{_name}_undirected", _written(G.copart), lambda g, *_, m=_name: getattr(g, f"merge_nodes_{m}")(1, 2), f"""{G.COPART},
+      x AS (SELECT dst, max(CASE WHEN src = 1 THEN weight END) AS a, max(CASE WHEN src = 2 THEN weight END) AS b FROM e WHERE src IN (1, 2) AND dst NOT IN (1, 2) GROUP BY 1),
+      y AS (SELECT dst, CASE WHEN b IS NULL THEN a ELSE {_pick}(coalesce(a, 0), b) END AS weight FROM x)""", f"""SELECT src::BIGINT AS src, dst::BIGINT AS dst, {_r('weight')} AS weight FROM (SELECT src, dst, weight FROM e WHERE src NOT IN (1, 2) AND dst NOT IN (1, 2)
+      UNION ALL SELECT 1, dst, weight FROM y UNION ALL SELECT dst, 1, weight FROM y UNION ALL SELECT 1, 1, {_pick}(0, weight) FROM e WHERE src = 1 AND dst = 2)""")
+_edges("merge_custom_parts", _written(G.copart), lambda g, *_: g.merge_nodes_custom(1, 2, 0.5, 0.5, -0.25, 0.0), *(x.replace(G.PARTNERS, G.COPART).removeprefix("WITH ") for x in (ORACLES["merge_custom"].split(" SELECT src::BIGINT")[0], "SELECT src::BIGINT" + ORACLES["merge_custom"].split(" SELECT src::BIGINT")[1])))
+_pointers = lambda s, d: G.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.expr("CASE WHEN p_partkey % 3 = 0 THEN p_partkey div 3 ELSE p_partkey + 100000000 END").alias("parent"))
+_chained = "RECURSIVE " + G.COPART.replace("l AS (SELECT p_partkey AS id, p_size::BIGINT AS label FROM part)", "z AS (SELECT p_partkey AS id, p_partkey AS cur FROM part UNION SELECT id, cur // 3 FROM z WHERE cur % 3 = 0), l AS (SELECT id, min(cur) AS label FROM z GROUP BY 1)")
+_one("obj_modularity_decode", lambda s, d: s.createDataFrame([(G.copart(s, d).checkpointed().modularity_decode(_pointers(s, d)),)], "modularity double"), "modularity", _chained + _mod.replace("o AS (SELECT label", "oo AS (SELECT label").format(o="oo"), f"SELECT {_r('(s - q / n) / n')} AS modularity FROM s, w, q")
+_one("obj_antimodularity_decode", lambda s, d: s.createDataFrame([(G.copart(s, d).checkpointed().antimodularity_decode(_pointers(s, d)),)], "antimodularity double"), "antimodularity", _chained + _anti, f"SELECT {_r(_anti_value)} AS antimodularity")
+_edges("edges_limit", G.copart, lambda g, *_: g.edges(limit=100), G.COPART, f"{CELLS} e WHERE dst >= src ORDER BY src, dst LIMIT 100")
+_edges("edges_row_limit", G.copart, lambda g, *_: g.out_edges(7, limit=5), G.COPART, f"SELECT dst, {_r('weight')} AS weight FROM e WHERE src = 7 ORDER BY dst LIMIT 5")
+
+
+def _apart(s: SparkSession, d: str) -> DataFrame:
+    """Both distances from part 0 to the last part."""
+    g = G.follow(s, d).checkpointed()
+    return _round(s.createDataFrame([(g.distance_count(0, g.num_nodes - 1), g.distance_weight(0, g.num_nodes - 1))], "hops long, weight double"), "weight")
+
+
 # Complements of the graph of parts, of which no query makes the square; the SQL does.
 _inv = f"{G.COPART}, i AS MATERIALIZED (SELECT a.id AS src, b.id AS dst, coalesce((10 - weight)::FLOAT, 10)::FLOAT AS weight FROM v a CROSS JOIN v b LEFT JOIN e ON src = a.id AND dst = b.id WHERE a.id <> b.id AND (weight IS NULL OR 10 - weight > 0))"
 _complement = lambda s, d: G.copart(s, d).checkpointed().complement(10, False)
@@ -295,6 +317,7 @@ _edges("alg_square_parts", G.follow, lambda g, *_: g.square(), G.FOLLOW, _matmul
 _power20 = _power.split(", x21 AS MATERIALIZED")[0]
 _add("alg_power_parts", lambda s, d: _round(G.copart(s, d).power_iteration(20)[0], "value"), f"WITH {G.COPART.replace('o AS (', 'o AS MATERIALIZED (', 1)}, {_power20} SELECT id, {_r('value')} AS value FROM x20")
 _one("stat_reciprocity_parts", lambda s, d: G.follow(s, d).checkpointed().reciprocity_table(), "reciprocity", G.FOLLOW, f"SELECT {_r(_share)} AS reciprocity FROM e a LEFT JOIN e b ON a.src = b.dst AND a.dst = b.src")
+_add("trv_distance", _apart, f"WITH {_follow_once}, {_relax}, {_all_pairs} SELECT (SELECT min(n)::BIGINT FROM (" + " UNION ALL ".join(f"SELECT {k} AS n FROM r{k} WHERE s = 0 AND t = (SELECT max(id) FROM v)" for k in range(13)) + f")) AS hops, {_r('coalesce(max(d), CAST(' + chr(39) + 'Infinity' + chr(39) + ' AS DOUBLE))')} AS weight FROM z24 WHERE t = (SELECT max(id) FROM v)")
 _add("stat_counts_parts", lambda s, d: _round(G.copart(s, d).counts(), "weights"), f"WITH {G.COPART} SELECT (count(*) + count(*) FILTER (src = dst)) // 2 AS links, count(*) AS cells, count(*) FILTER (src = dst) AS diagonal, {_r('(sum(weight) + coalesce(sum(weight) FILTER (src = dst), 0)) / 2')} AS weights FROM e")
 _edges("edges_lower_triangle_parts", G.copart, lambda g, *_: g.lower_triangle(), G.COPART, f"{CELLS} e WHERE dst <= src")
 _add("io_graph_text_parts", lambda s, d: text.graph_lines(G.follow(s, d)).select("line"), f"WITH {G.FOLLOW} SELECT (SELECT count(*)::VARCHAR FROM part) AS line UNION ALL SELECT '' UNION ALL SELECT concat_ws(' ', (src + 1)::VARCHAR, (dst + 1)::VARCHAR, CASE WHEN weight <> 1 THEN printf('%.6f', weight::DOUBLE) END) FROM e")
