@@ -5,7 +5,7 @@ from __future__ import annotations
 from copy import copy
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..runtime import bucketed, drop_stash, stash
@@ -24,12 +24,16 @@ class PowerIteration:
         in the next step, so a step is one job and a graph of any size goes the same way. The cells are written by their targets beforehand.
         """
         own = self._by_target()
-        x = stash(self.nodes.select("id", ((F.col("id") * 7919 % 1000 + 1) / 1000.0).alias("value")))
-        square = lambda v: v.agg(F.sum(F.col("value") * F.col("value")).alias("s")).first()["s"] or 0.0
-        norm = square(x) ** 0.5
+
+        def written(vector: DataFrame) -> tuple[DataFrame, float]:
+            """The vector, written, and its length, which is added up while it is written."""
+            seen = Observation()
+            held = stash(vector.observe(seen, F.sum(F.col("value") * F.col("value")).alias("squares")))
+            return held, (seen.get["squares"] or 0.0) ** 0.5
+
+        x, norm = written(self.nodes.select("id", ((F.col("id") * 7919 % 1000 + 1) / 1000.0).alias("value")))
         for step in range(iterations or 100):
-            y = stash(own.multiply_vector(x.select("id", (F.col("value") / F.lit(norm)).alias("value"))))
-            longer = square(y) ** 0.5
+            y, longer = written(own.multiply_vector(x.select("id", (F.col("value") / F.lit(norm)).alias("value"))) if norm else x)
             if longer == 0:
                 drop_stash(y)
                 if step == 0 and own.cells.isEmpty():
