@@ -7,7 +7,7 @@ import pytest
 from helpers import cells, vector
 
 from graphloom.model import Graph
-from graphloom.operators import algebra, centrality
+from graphloom.operators import algebra, centrality, traverse
 from graphloom.operators import visited as V
 
 
@@ -139,3 +139,32 @@ def test_power_iteration_of_any_size(spark):
     assert vector(found) == pytest.approx(x, abs=1e-9)
     assert value == pytest.approx(sum(x[i] * w * x[j] for i, r in ways.items() for j, w in r.items()))
     assert vector(Graph.empty(spark, 3).power_iteration(2)[0]) == [0, 0, 0]
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_components_are_searched_in_tasks_of_their_own(spark, monkeypatch, directed):
+    """Counts and distances are the same from tasks and from joins, also where targets and pairs go to several tasks, and no pair in two components is searched."""
+    rng = random.Random(11)
+    rows = [(c * 40 + rng.randrange(40), c * 40 + rng.randrange(40)) for c in range(3) for _ in range(70)]
+    g = Graph.from_rows(spark, rows, 125, directed=directed).checkpointed()
+    ways, want = near(g), {}
+    for v in range(125):
+        for d in hops(ways, v).values():
+            if d:
+                want[v, d] = want.get((v, d), 0) + 1
+    monkeypatch.setattr(centrality, "TASK_WORK", 1000)
+    monkeypatch.setattr(centrality, "BITS", 16)
+    for local in (0, 130, 1 << 20):
+        assert {(r["id"], r["hops"]): r["n"] for r in g.hop_counts(local_cells=local).collect()} == want
+    assert {(r["id"], r["hops"]): r["n"] for r in g.hop_counts(2).collect()} == {k: n for k, n in want.items() if k[1] <= 2}
+    pairs = [(rng.randrange(125), rng.randrange(125)) for _ in range(300)] + [(3, 3), (124, 124), (0, 300), (-1, 2)]
+    asked = spark.createDataFrame(pairs, "a long, b long")
+    far = {(a, b): hops(ways, a).get(b) if 0 <= a < 125 else None for a, b in pairs}
+    monkeypatch.setattr(traverse, "BITS", 16)
+    monkeypatch.setattr(traverse, "TASK_PAIRS", 10)
+    for local in (130, 1 << 20):
+        assert {(r["a"], r["b"]): r["value"] for r in g.pair_distances(asked, few=5, local_cells=local).collect()} == far
+    searched = []
+    monkeypatch.setattr(Graph, "_meeting", lambda self, alive, most: searched.append({(r["a"], r["b"]) for r in alive.collect()}) or alive.selectExpr("source", "a AS value").where("false"))
+    g.pair_distances(asked, few=5, local_cells=0)
+    assert all(a // 40 == b // 40 for a, b in searched[0])
