@@ -32,7 +32,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each group of texts that five-word shingles link at a similarity of 0.8: the smallest doc_id, null last. Texts that are null or have no
+    """One row for each group of texts that five-word shingles link at a similarity of 0.8: the smallest doc_id, null last. SimHash fingerprints within 3 bits
+    are compared first, bands of least hashes find the near copies that lie further apart. Texts that are null or have no
     word are one group; of repeated rows one stays; an empty table stays empty."""
     return simhash.keep_one_similar(docs)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -54,8 +54,13 @@ def shingle_hashes(text: bytes, words: int, seed: int) -> Iterator[np.ndarray]:
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """Bit b is 1 if it is set in over half the shingle hashes; 0 for a text without words."""
     # bytes.lower and bytes.split know ASCII only: A-Z and the six white-space code points.
+    return majority(shingle_hashes((text or "").encode("utf-8", "surrogatepass").lower(), words, seed))
+
+
+def majority(pieces: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half the hashes."""
     ones, n = np.zeros(BITS, dtype=np.int64), 0
-    for hashes in shingle_hashes((text or "").encode("utf-8", "surrogatepass").lower(), words, seed):
+    for hashes in pieces:
         for i in range(0, len(hashes), 1 << 16):
             part = hashes[i : i + (1 << 16)]
             ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -262,11 +267,12 @@ def _per_text(documents: DataFrame, kind: str, keep: str, of: Callable[[str | No
     return documents.select("text", keep).mapInArrow(run, f"{documents.select(keep).schema.simpleString()[7:-1]}, {kind}")
 
 
-def similar_links(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    """``a, b``: links whose components are those of all pairs of sets that share a band and are ``least`` similar or more.
+def similar_links(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float, differing: int = 3) -> DataFrame:
+    """``a, b``: links whose components are those of all pairs of sets that are ``least`` similar or more and whose fingerprints link or that share a band.
 
-    ``keyed`` has ``_set, _n, _bands, _marks``, each set once; ``sets(chosen)`` gives ``_set, _hashes`` for the sets in ``chosen``.
-    First each set of a band meets the band's most central one (that shares the most bands with others), so a large group of near copies makes
+    ``keyed`` has ``_set, _n, _fp, _bands, _marks``, each set once; ``sets(chosen)`` gives ``_set, _hashes`` for the sets in ``chosen``.
+    Fingerprints go first: sets of one fingerprint meet its least set, and the least sets of fingerprints that differ in ``differing`` bits or fewer meet (:func:`class_links`).
+    Near copies may differ in more bits, so bands find what fingerprints have left apart. In bands that hold several components each set of a band meets the band's most central one (that shares the most bands with others), so a large group of near copies makes
     rows in proportion to its size and mostly falls into one component. Then, in bands that still hold several components, the
     sets outside the band's largest component meet all others. Of these pairs only those go on whose sizes and marks allow the similarity, a bound that
     loses none. Every pair that counts is compared on the whole sets.
@@ -277,22 +283,32 @@ def similar_links(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], leas
     shared = every.groupBy("_b", "_v").agg(F.count("*").alias("_many")).where("_many > 1").select(F.col("_b").alias("_b2"), other, "_many")
     live = stash(every.join(shared, same).select("_set", "_n", "_b", "_v", "_many"))
     rows = live.count()
-    held = stash(sets(live.select("_set").distinct()))
+    printed = stash(keyed.select("_set", "_n", "_fp"))
+    leaders = stash(printed.groupBy(F.col("_fp").alias("_f")).agg(F.min(F.struct("_set", "_n")).alias("_lead")))
+    copies = printed.join(leaders, F.col("_fp") == F.col("_f")).select("_set", "_n", F.col("_lead._set").alias("_set2"), F.col("_lead._n").alias("_n2")).where("_set <> _set2")
+    lead = lambda c, name: leaders.select(F.col("_f").alias(c), F.col("_lead._set").alias(f"_set{name}"), F.col("_lead._n").alias(f"_n{name}"))
+    linked = class_links(leaders.select(F.col("_f").alias("fp")), differing).join(lead("a", ""), "a").join(lead("b", "2"), "b").select("_set", "_n", "_set2", "_n2")
+    printed_pairs = stash(copies.unionByName(linked))
+    met = printed_pairs.count()
+    named = printed_pairs.select(F.explode(F.array("_set", "_set2")).alias("_set"))
+    held = stash(sets(live.select("_set").unionByName(named).distinct()))
     one = held.select(F.col("_set").alias("_s1"), F.col("_hashes").alias("_h1"))
     two = held.select(F.col("_set").alias("_s2"), F.col("_hashes").alias("_h2"))
     sizes = F.least("_n", "_n2") >= F.lit(least) * F.greatest("_n", "_n2")
 
-    def close(met: DataFrame) -> DataFrame:
+    def close(met: DataFrame, rows: int) -> DataFrame:
         pairs = met.select(F.least("_set", "_set2").alias("a"), F.greatest("_set", "_set2").alias("b")).distinct()
         judged = stash(pairs, rows).join(one, F.col("a") == F.col("_s1")).join(two, F.col("b") == F.col("_s2"))
         both = F.size(F.array_intersect("_h1", "_h2"))
         # Whole numbers on both sides of the bound but for the factor, so a similarity of just ``least`` counts.
         return stash(judged.where(both >= F.lit(least) * (F.size("_h1") + F.size("_h2") - both)).select("a", "b"))
 
+    found = close(printed_pairs.where(sizes), met)
+    live = _torn(live, component_roots(found, "a", "b"), same, rows)
     weight = live.groupBy(F.col("_set").alias("_s")).agg(F.sum("_many").alias("_w"))
     hubs = live.join(weight, F.col("_set") == F.col("_s")).groupBy("_b", "_v").agg(F.max_by(F.struct("_set", "_n"), F.struct("_w", "_set")).alias("_hub"))
     hubs = hubs.select(F.col("_b").alias("_b2"), other, F.col("_hub._set").alias("_set2"), F.col("_hub._n").alias("_n2"))
-    found = close(live.join(hubs, same & (F.col("_set") != F.col("_set2")) & sizes))
+    found = found.unionByName(close(live.join(hubs, same & (F.col("_set") != F.col("_set2")) & sizes), rows))
     roots = component_roots(found, "a", "b")
     rooted = stash(live.join(roots, F.col("_set") == F.col("id"), "left").select("_set", "_n", "_b", "_v", F.coalesce("root", "_set").alias("_root")), rows)
     largest = rooted.groupBy("_b", "_v", "_root").agg(F.count("*").alias("_k")).groupBy("_b", "_v").agg(F.max_by("_root", F.struct("_k", "_root")).alias("_top"), F.count("*").alias("_kinds"))
@@ -305,16 +321,25 @@ def similar_links(keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], leas
     # Sets of n and m members whose similarity is s differ in (n + m) * (1 - s) / (1 + s) members.
     near = F.lit(1 + least) * apart <= F.lit(1 - least) * (F.col("_n") + F.col("_n2")) + 1e-6
     once = (F.col("_root2") == F.col("_top")) | (F.col("_set") < F.col("_set2"))
-    found = found.unionByName(close(torn.where("_root <> _top").join(right, same & (F.col("_root") != F.col("_root2")) & once & sizes & near)))
-    drop_stash(live, held, rooted, torn)
+    found = found.unionByName(close(torn.where("_root <> _top").join(right, same & (F.col("_root") != F.col("_root2")) & once & sizes & near), rows))
+    drop_stash(live, held, rooted, torn, printed, leaders, printed_pairs)
     return found
 
 
-def keep_one_similar(documents: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+def _torn(live: DataFrame, roots: DataFrame, same: Column, rows: int) -> DataFrame:
+    """The rows of bands that ``roots`` leave in several components, written anew."""
+    rooted = stash(live.join(roots, F.col("_set") == F.col("id"), "left").select(*live.columns, F.coalesce("root", "_set").alias("_root")), rows)
+    several = rooted.groupBy("_b", "_v").agg(F.min("_root").alias("_r1"), F.max("_root").alias("_r2")).where("_r1 <> _r2").select(F.col("_b").alias("_b2"), F.bitwise_not("_v").alias("_v2"))
+    left = stash(rooted.join(several, same, "left_semi").select(*live.columns), rows)
+    drop_stash(live, rooted)
+    return left
+
+
+def keep_one_similar(documents: DataFrame, words: int = 5, least: float = 0.8, differing: int = 3) -> DataFrame:
     """The rows of ``documents`` of which one stays for each group of similar texts: the smallest doc_id (null last).
 
     Texts link if their sets of ``words``-word shingles (lower-cased, split at white space) have a Jaccard similarity of ``least``
-    or more, and groups are what links reach. Candidates share a band of least hashes (:data:`BANDS`); each is compared exactly. Texts without
+    or more, and groups are what links reach. Candidates have SimHash fingerprints (of the set) within ``differing`` bits, or share a band of least hashes (:data:`BANDS`); each is compared exactly. Texts without
     words are one group. Repeated rows are one document, of which one row stays; columns come back as they were. An empty table gives an
     empty result.
     """
@@ -324,19 +349,20 @@ def keep_one_similar(documents: DataFrame, words: int = 5, least: float = 0.8) -
         hashes = shingle_set(text, words)
         return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64)), hashes.view(np.int64)
 
-    def keys(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
+    def keys(text: str | None) -> tuple[int, int, int, np.ndarray, np.ndarray]:
         key, hashes = whole(text)
-        return key, len(hashes), bands(hashes.view(np.uint64)), marks(hashes.view(np.uint64))
+        own = int(np.uint64(majority([hashes.view(np.uint64)])).view(np.int64))
+        return key, len(hashes), own, bands(hashes.view(np.uint64)), marks(hashes.view(np.uint64))
 
     texts = held.select("row.text", _rank().alias("_rank"))
-    prints = stash(_per_text(texts, "_set: bigint, _n: bigint, _bands: array<bigint>, _marks: array<bigint>", "_rank", keys))
+    prints = stash(_per_text(texts, "_set: bigint, _n: bigint, _fp: bigint, _bands: array<bigint>, _marks: array<bigint>", "_rank", keys))
     # Copies meet here, before any pair is made.
-    distinct = stash(prints.groupBy("_set").agg(F.min("_rank").alias("_own"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands"), F.first("_marks").alias("_marks")))
+    distinct = stash(prints.groupBy("_set").agg(F.min("_rank").alias("_own"), F.first("_n").alias("_n"), F.first("_fp").alias("_fp"), F.first("_bands").alias("_bands"), F.first("_marks").alias("_marks")))
 
     def sets(chosen: DataFrame) -> DataFrame:
         numbers = distinct.join(chosen, "_set", "left_semi").select("_own._row")
         return _per_text(_of(held.select("_row", "row.text"), numbers), "_set: bigint, _hashes: array<bigint>", "_row", whole).select("_set", "_hashes")
 
-    roots = component_roots(similar_links(distinct.select("_set", "_n", "_bands", "_marks"), sets, least), "a", "b")
+    roots = component_roots(similar_links(distinct.select("_set", "_n", "_fp", "_bands", "_marks"), sets, least, differing), "a", "b")
     rooted = distinct.join(roots, F.col("_set") == F.col("id"), "left").select("_own", F.coalesce("root", "_set").alias("_root"))
     return _stay(held, rooted.groupBy("_root").agg(F.min("_own").alias("_least")))

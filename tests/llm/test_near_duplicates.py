@@ -182,6 +182,22 @@ def test_stage_links_similar_texts(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
 
 
+def test_stage_compares_fingerprints_first(spark, monkeypatch):
+    """Without bands the stage still finds near copies by fingerprints within 3 bits, and by them only; their similarity is still checked."""
+    rng, texts = random.Random(8), {}
+    for k in range(4):
+        base = [f"w{rng.randrange(900)}" for _ in range(400)]
+        texts |= {10 * k: " ".join(base), 10 * k + 1: " ".join([*base[:399], "end"]), 10 * k + 2: " ".join(base[:330])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    prints = {i: simhash.majority([simhash.shingle_set(t, 5)]) for i, t in texts.items()}
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3
+    assert any(near(10 * k, 10 * k + 1) for k in range(4)) and not all(near(10 * k, 10 * k + 2) for k in range(4))
+    assert {r["doc_id"] for r in simhash.keep_one_similar(docs).collect()} == {0, 10, 20, 30}
+    monkeypatch.setattr(simhash, "bands", lambda hashes: hashes[:0].view("int64"))
+    kept = {r["doc_id"] for r in simhash.keep_one_similar(docs).collect()}
+    assert all((10 * k + 1 in kept) != near(10 * k, 10 * k + 1) or near(10 * k + 1, 10 * k + 2) for k in range(4)) and len(kept) < len(texts)
+
+
 def test_no_link_is_lost_where_masks_end_at_different_levels(spark):
     """Many words over the few bits that one mask leaves free, while others can still be cut."""
     count = lambda x: bin(x % (1 << 64)).count("1")
