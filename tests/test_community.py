@@ -259,3 +259,27 @@ def test_known_networks(spark, size, laprop, fast, least, anti):
         assert score(g.newman(fast=True), g.modularity) == pytest.approx(fast, abs=1e-6)
     assert score(g.newman(minimize=True), g.modularity) == pytest.approx(least, abs=1e-6)
     assert score(g.newman(antimodularity=True), g.antimodularity) == pytest.approx(anti, abs=1e-6)
+
+
+def test_label_propagation_by_components(spark):
+    """Sweeps as they are defined, over several components, loops and vertices without links."""
+    rng = random.Random(4)
+    rows = [(c * 25 + rng.randrange(25), c * 25 + rng.randrange(25)) for c in range(3) for _ in range(rng.choice([30, 60, 120]))] + [(76, 77)]
+    g = Graph.from_rows(spark, rows, 82).checkpointed()
+    links, want, changed = cells(g), list(range(82)), True
+    near = {i: {b for a, b in links if a == i} for i in range(82)}
+    while changed:
+        changed = False
+        for i in range(82):
+            taken = {want[k] for k in near[i]}
+            first = next((want[j] for j in range(82) if j not in near[i] and want[j] < want[i] and want[j] not in taken), None)
+            if first is not None:
+                want[i], changed = first, True
+    assert vector(g.laprop()) == want
+
+
+def test_colours_of_many_vertices():
+    """Work grows with the cells: the former kernel looked at all vertices for each vertex."""
+    n = 200_000
+    ids, colours = kernels.spread_colours(np.arange(1, n), np.arange(n - 1))
+    assert (ids == np.arange(n)).all() and (colours == np.arange(n) % 2).all()
