@@ -128,6 +128,36 @@ def test_sparse_merges_equal_dense_ones(seed):
             assert kernels.greedy_scattered(src, dst, m[src, dst], norm, strength, minimize, which) == want
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_merges_without_a_heap_of_pairs(seed):
+    """The same merges as with all pairs in the heap, with many ties and with hardly any, rows as arrays among them; what is pushed grows with links, not with all pairs of a merged community."""
+    rng = np.random.default_rng(seed)
+    n = 120
+    m = np.full((n, n), np.nan)
+    for a, b in rng.integers(0, n, (150 + 90 * seed, 2)):
+        m[a, b] = m[b, a] = single(rng.random() - 0.1) if seed % 2 else float(rng.integers(0, 3))
+    src, dst = np.nonzero(~np.isnan(m))
+    strength = np.nan_to_num(m).sum(axis=1)
+    norm, low = strength.sum(), src >= dst
+    pushed = {}
+
+    def pushes(kind, run):
+        real, pushed[kind] = kernels.heapq.heappush, 0
+
+        def push(heap, item):
+            pushed[kind] += 1
+            real(heap, item)
+
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(kernels.heapq, "heappush", push)
+            return run()
+
+    want = pushes("pairs", lambda: kernels.greedy_links(src, dst, m[src, dst], norm, False, {v: (x, x) for v, x in enumerate(strength)}))
+    found = pushes("best", lambda: kernels.greedy_neighbours(src[low], dst[low], m[src, dst][low], norm, dict(enumerate(strength))))
+    assert found == want and len(want) > 60
+    assert pushed["best"] <= low.sum() + n < pushed["pairs"]
+
+
 def test_agglomeration_of_more_vertices_than_a_matrix_holds(spark, monkeypatch):
     monkeypatch.setattr("graphloom.operators.community.DENSE_VERTICES", 10)
     g = scattered(spark, 20, 0.2, 7)
