@@ -1,11 +1,14 @@
 """Text formats, programs and the registered queries' shape."""
 
+import gzip
 import random
+from pathlib import Path
 
 import pytest
-from helpers import cells, labels, undirected, vector
+from helpers import cells, directed, labels, undirected, vector
 
 from graphloom import cli
+from graphloom.runtime import shared_root
 from graphloom.sources import text
 
 FILE = """; a comment
@@ -144,3 +147,54 @@ def test_nested_gml(spark, tmp_path, in_splits):
     g, names = text.load_gml(spark, str(tmp_path / "g.gml"))
     assert g.directed and cells(g) == {(k, (k * k + 1) % 60): k / 2 for k in range(60)}
     assert {tuple(r) for r in names.collect()} == {(k, f"a ] '{k}' [" if k % 2 else f"n{k}") for k in range(60)}
+
+
+def gml_file(folder):
+    return b"".join(gzip.decompress(p.read_bytes()) if p.suffix == ".gz" else p.read_bytes() for p in sorted(folder.glob("part-*")))
+
+
+@pytest.mark.parametrize("make", [undirected, directed])
+def test_gml_of_plain_lists(spark, tmp_path, make):
+    """Parts of GML, compressed or not, are the file of the lines; reading one writes a part of what the text takes, not a row for each word."""
+    pairs = {(i * i % 300, (7 * i + k) % 300): (i + k) / 2 - 3 for i in range(300) for k in range(8)}
+    g = make(spark, 300, [(a, b, w) for (a, b), w in pairs.items()]).checkpointed()
+    sides = {"side": labels(spark, [i % 3 for i in range(300)])}
+    lines = "\n".join(text.collect_lines(text.gml_lines(g, sides))) + "\n"
+    stashed = lambda: sum(p.stat().st_size for p in Path(shared_root(spark).removeprefix("file://")).rglob("*.parquet"))
+    for kind in ("none", "gzip"):
+        text.write_gml(g, str(tmp_path / kind), sides, kind)
+        assert gml_file(tmp_path / kind).decode() == lines
+        before = stashed()
+        again, names = text.load_gml(spark, str(tmp_path / kind))
+        assert again.directed == g.directed and again.num_nodes == names.count() == 300 and cells(again) == cells(g)
+        assert stashed() - before < len(lines)
+
+
+def test_gml_that_only_looks_plain(spark, tmp_path):
+    """What isn't plain goes by the depth of brackets, with the same result as if all did."""
+    node = lambda k: f" node [ id {k} ]\n"
+    edge = "    edge [\n        source {}\n        target {}\n        value {}\n    ]\n".format
+    nodes, edges = "".join(map(node, range(5))), "".join(edge(k, (k + 1) % 5, k + 2) for k in range(5))
+    files = {
+        "plain": f"Creator \"a\"\ngraph [ directed 1\n{nodes}{edges}]\n",
+        "no line feed": f"graph [ directed 1\n{nodes}{edges}]",
+        "in a string": f"graph [ directed 1 label \"\n{edge(3, 3, 9)}\"\n{nodes}{edges}]\n",
+        "comments": f"graph [ directed 1\n{nodes}# ]\n#{edge(3, 3, 9).splitlines()[0]}\n{edges}]\n",
+        "behind the graph": f"graph [ directed 1\n{nodes}{edges}]\n{edge(3, 3, 9)}",
+        "before the graph": f"{edge(3, 3, 9)}graph [ directed 1\n{nodes}{edges}]\n",
+        "other lists": f"graph [ directed 1\n{nodes}{edges} data [ source 3 target 3 ]\n]\n",
+        "further keys": f"graph [ directed 1\n{nodes}{edges.replace('source', 'label \"source 4 target 4\" source')}]\n",
+        "repeated keys": f"graph [ directed 1\n{nodes}{edges.replace('    ]', ' value 77 ]')}]\n",
+        "repeated edges": f"graph [ directed 1\n{nodes}{edges.replace('value', 'value 5 x')}{edges}]\n",
+    }
+    for name, content in files.items():
+        (tmp_path / "one.gml").write_text(content)
+        g, names = text.load_gml(spark, str(tmp_path / "one.gml"))
+        want, _ = text._nested_lists(spark, str(tmp_path / "one.gml"))
+        assert g.directed and names.count() == 5, name
+        assert cells(g) == {(k, (k + 1) % 5): k + 2 for k in range(5)}, name
+        assert want.where("kind = 'edge'").count() >= 5, name
+    # Ids that aren't 0 .. n-1, links to vertices that aren't there, and an undirected edge whose last weight stands the other way round.
+    (tmp_path / "two.gml").write_text("graph [\n" + "".join(map(node, (9, 4, 7))) + edge(9, 4, 1) + edge(4, 9, 2) + edge(7, 7, 3) + edge(7, 8, 4) + "]\n")
+    g, names = text.load_gml(spark, str(tmp_path / "two.gml"))
+    assert cells(g) == {(0, 2): 2, (2, 0): 2, (1, 1): 3} and names.count() == 3
