@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import drop_stash, running_totals, stash
+from ..runtime import drop_stash, ended_shuffles, running_totals, stash
 from .common import fresh, row_key
 
 
@@ -114,7 +114,7 @@ def near_lines(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     proven = claims.join(texts, "rank").join(texts.select(F.col("rank").alias("_r2"), F.col("words").alias("_words2")), F.col("other") == F.col("_r2"))
     proven = proven.where(_without("words", "gone") == _without("_words2", "there")).select("rank")
     found = stash(placed.join(proven, "rank", "left_semi").select("h1", "h2"), 2 * placed.count())
-    drop_stash(rows, texts, claims)
+    drop_stash(placed, rows, texts, claims)
     return found
 
 
@@ -129,12 +129,15 @@ def line_dedup(documents: DataFrame, least_words: int = 5, columns: bool = False
     A null text stays null and has no lines; an empty one has one line without words. Rows with equal doc_id and text are one
     document for this purpose and come back as often as they came. An empty table gives an empty result.
     """
-    lines = _lines(documents).where(F.col("plain") != "").withColumn("n", F.char_length("plain") - F.char_length(F.replace("plain", F.lit(" "), F.lit(""))) + 1)
-    lines = stash(lines.select("_k1", "_k2", "doc", "line_no", *_line_key(), F.when(F.col("n") >= least_words, _halves()).alias("halves")))
-    distinct = stash(lines.groupBy("h1", "h2").agg(F.min(_order()).alias("at"), F.count("*").alias("n"), F.first("halves").alias("halves")), lines.count())
-    near = near_lines(documents, distinct)
-    judged = distinct.select("h1", "h2", "at", "n").join(near.withColumn("_near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or _near is not null")
-    judged = stash(judged.select(F.bitwise_not("h1").alias("_g1"), F.col("h2").alias("_g2"), "at", "_near"))
+    # One after the other these steps exchange several times the input; what a step has exchanged goes when it is written.
+    with ended_shuffles(documents.sparkSession):
+        lines = _lines(documents).where(F.col("plain") != "").withColumn("n", F.char_length("plain") - F.char_length(F.replace("plain", F.lit(" "), F.lit(""))) + 1)
+        lines = stash(lines.select("_k1", "_k2", "doc", "line_no", *_line_key(), F.when(F.col("n") >= least_words, _halves()).alias("halves")))
+        distinct = stash(lines.groupBy("h1", "h2").agg(F.min(_order()).alias("at"), F.count("*").alias("n"), F.first("halves").alias("halves")), lines.count())
+        near = near_lines(documents, distinct)
+        judged = distinct.select("h1", "h2", "at", "n").join(near.withColumn("_near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or _near is not null")
+        judged = stash(judged.select(F.bitwise_not("h1").alias("_g1"), F.col("h2").alias("_g2"), "at", "_near"))
+    drop_stash(distinct, near)
     going = lines.drop("halves").join(judged, (F.bitwise_not("h1") == F.col("_g1")) & (F.col("h2") == F.col("_g2"))).where(F.col("_near").isNotNull() | (_order() != F.col("at")))
     gone = going.groupBy("_k1", "_k2").agg(F.collect_set("line_no").alias("_gone")).select(F.col("_k1").alias("_g1"), F.col("_k2").alias("_g2"), "_gone")
     # Other columns travel in one struct, so that no name of theirs can clash.
