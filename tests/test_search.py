@@ -2,13 +2,17 @@
 
 import heapq
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from helpers import cells, vector
+from pyspark.sql import functions as F
 
 from graphloom.model import Graph
-from graphloom.operators import algebra, centrality, traverse
+from graphloom.operators import algebra, centrality, components, kernels, traverse
 from graphloom.operators import visited as V
+from graphloom.runtime import stash
 
 
 def near(graph):
@@ -168,3 +172,38 @@ def test_components_are_searched_in_tasks_of_their_own(spark, monkeypatch, direc
     monkeypatch.setattr(Graph, "_meeting", lambda self, alive, most: searched.append({(r["a"], r["b"]) for r in alive.collect()}) or alive.selectExpr("source", "a AS value").where("false"))
     g.pair_distances(asked, few=5, local_cells=0)
     assert all(a // 40 == b // 40 for a, b in searched[0])
+
+
+def test_long_rows_of_bits_and_ids_far_apart():
+    """Rows longer than what is ored at once, and ids that lie close together or far apart, give the hops that a plain search gives."""
+    rng = random.Random(5)
+    for far in (1, 10**12):
+        pairs = sorted({(0, v) for v in range(1, 700)} | {(rng.randrange(900), rng.randrange(900)) for _ in range(1500)})
+        src, dst = (np.array(x) * far + 3 for x in zip(*pairs, strict=True))
+        ids, near_, far_ = kernels.numbered(src, dst)
+        assert ids.tolist() == sorted({*src.tolist(), *dst.tolist()}) and (np.diff(near_) >= 0).all()
+        assert sorted(zip(ids[near_].tolist(), ids[far_].tolist(), strict=True)) == list(zip(src.tolist(), dst.tolist(), strict=True))
+        ways: dict = {}
+        for a, b in zip(near_.tolist(), far_.tolist(), strict=True):
+            ways.setdefault(a, {})[b] = 1
+        got = {}
+        for n, bits in kernels.hop_bits(near_, far_, len(ids), np.arange(len(ids))):
+            for v, k in zip(*np.nonzero(np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little")), strict=True):
+                got[int(v), int(k)] = n
+        assert got == {(v, t): d for v in range(len(ids)) for t, d in hops(ways, v).items() if d}
+    assert kernels.targets_at_once(20_000, 2048) == 2048 and kernels.targets_at_once(2_000_000, 2048) * 2_000_000 <= 1 << 29
+
+
+def test_a_forest_of_near_ids_has_few_links(spark, monkeypatch):
+    """The forest connects what the links connect, with as many links a task as vertices at most, also where tasks pass on what they have."""
+    rng = random.Random(2)
+    rows = sorted({tuple(sorted((c * 50 + rng.randrange(50), c * 50 + rng.randrange(50)), reverse=True)) for c in range(8) for _ in range(900)})
+    links = stash(spark.createDataFrame(rows, "src long, dst long"))
+    want = {(r["id"], r["root"]) for r in components.component_roots(links).collect()}
+    for most in (components.FOREST_LINKS, 40):
+        monkeypatch.setattr(components, "FOREST_LINKS", most)
+        found = components.forest(links, False)
+        assert {(r["id"], r["root"]) for r in components.component_roots(found).collect()} == want
+        assert {r["src"]: r["n"] for r in found.groupBy("src").agg(F.sum("n").alias("n")).collect()} == dict(Counter(v for a, b in rows for v in {a, b}))
+        if most > 40:
+            assert found.count() <= 2 * 400 < len(rows)
