@@ -207,3 +207,13 @@ def test_a_forest_of_near_ids_has_few_links(spark, monkeypatch):
         assert {r["src"]: r["n"] for r in found.groupBy("src").agg(F.sum("n").alias("n")).collect()} == dict(Counter(v for a, b in rows for v in {a, b}))
         if most > 40:
             assert found.count() <= 2 * 400 < len(rows)
+
+
+def test_pair_distances_let_their_shuffle_files_go(spark, monkeypatch):
+    key, real, noted = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", traverse.stash, []
+    before = spark.conf.get(key, None)
+    monkeypatch.setattr(traverse, "stash", lambda df, *rows: noted.append(spark.conf.get(key, None)) or real(df, *rows))
+    g = Graph.from_rows(spark, [(0, 1), (1, 2), (3, 4)], 5, directed=True)
+    asked = spark.createDataFrame([(0, 2), (0, 4), (3, 4)], "a long, b long")
+    assert {(r["a"], r["b"]): r["value"] for r in g.pair_distances(asked, few=1).collect()} == {(0, 2): 2, (0, 4): None, (3, 4): 1}
+    assert set(noted) == {"true"} and spark.conf.get(key, None) == before
