@@ -217,3 +217,18 @@ def test_pair_distances_let_their_shuffle_files_go(spark, monkeypatch):
     asked = spark.createDataFrame([(0, 2), (0, 4), (3, 4)], "a long, b long")
     assert {(r["a"], r["b"]): r["value"] for r in g.pair_distances(asked, few=1).collect()} == {(0, 2): 2, (0, 4): None, (3, 4): 1}
     assert set(noted) == {"true"} and spark.conf.get(key, None) == before
+
+
+def test_undirected_edges_are_made_once(spark):
+    """No union makes the edges a second time for the other direction."""
+    g = Graph.from_edges(spark.createDataFrame([(0, 1, 2.0), (2, 2, 3.0)], "src long, dst long, weight double"), 3)
+    assert cells(g) == {(0, 1): 2, (1, 0): 2, (2, 2): 3}
+    assert "Union" not in g.cells._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_harmonic_counts_let_their_shuffle_files_go(spark, monkeypatch):
+    key, real, noted = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", centrality.stash, []
+    monkeypatch.setattr(centrality, "stash", lambda df, *rows: noted.append(spark.conf.get(key, None)) or real(df, *rows))
+    g = Graph.from_rows(spark, [(0, 1), (1, 2)], 4, directed=True).checkpointed()
+    assert vector(g.harmonic_centrality(unreachable="ignore")) == pytest.approx([0.5, 1 / 3, 0, 0])
+    assert set(noted) == {"true"}
