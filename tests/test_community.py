@@ -313,3 +313,23 @@ def test_colours_of_many_vertices():
     n = 200_000
     ids, colours = kernels.spread_colours(np.arange(1, n), np.arange(n - 1))
     assert (ids == np.arange(n)).all() and (colours == np.arange(n) % 2).all()
+
+
+def test_label_propagation_writes_its_links_once_at_most(spark, monkeypatch):
+    from graphloom.operators import community
+
+    key, real, noted = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", community.stash, []
+    monkeypatch.setattr(community, "stash", lambda df, *rows: noted.append((spark.conf.get(key, None), tuple(df.columns))) or real(df, *rows))
+    g = Graph.from_rows(spark, [(0, 1), (1, 2), (0, 2)], 5)
+    assert {(r["id"], r["label"]) for r in g.laprop().collect()} == {(0, 0), (1, 1), (2, 2), (3, 0), (4, 0)}
+    assert noted == [("true", ("src", "dst")), ("true", ("id", "colour"))]
+
+
+def test_inner_links_write_links_once(spark, monkeypatch):
+    from graphloom.operators import community
+    from graphloom.plans import queries
+
+    real, noted = community.stash, []
+    monkeypatch.setattr(community, "stash", lambda df, *rows: noted.append(df.columns) or real(df, *rows))
+    assert queries.QUERIES["com_laprop_inner_links"](spark, "/root/testdata/sf0.001").first()["inner_links"] == 0
+    assert noted == [["id", "colour"]]
