@@ -333,3 +333,8 @@ def test_inner_links_write_links_once(spark, monkeypatch):
     monkeypatch.setattr(community, "stash", lambda df, *rows: noted.append(df.columns) or real(df, *rows))
     assert queries.QUERIES["com_laprop_inner_links"](spark, "/root/testdata/sf0.001").first()["inner_links"] == 0
     assert noted == [["id", "colour"]]
+
+
+def test_links_share_equal_weights():
+    links = kernels._Links(np.arange(1, 50), np.zeros(49, int), np.full(49, 1.5, np.float32), 50)
+    assert len({id(w) for w in links.rows[0].values()}) == 1
